@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python workers by rows and by bytes."""
+    """Bound the Arrow batches sent to Python workers by rows and by bytes, and let local workers import this package.
+
+    A cluster gets the package with --py-files.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -52,17 +61,16 @@ def remainder(column: str, modulus: int):
 
 
 def frequent(counts: DataFrame, column: str, n: str, most: int) -> list:
-    """At most `most` of the most frequent keys, as (key, n), all keys of one count together; n desc, key.
+    """At most `most` of the most frequent keys, as (key, n), all keys of one band of counts together; n desc, key.
 
     The cut comes from a histogram of counts, so the driver gets a bounded number of rows.
     """
-    ceiling = 1 << 16
-    seen = counts.groupBy(F.least(F.col(n), F.lit(ceiling)).alias("n")).count().collect()
+    band = F.floor(16 * F.log2(F.col(n))).cast("int")  # about a thousand bands at most
     kept, cut = 0, None
-    for row in sorted(seen, key=lambda r: -r["n"]):
-        if kept + row["count"] > most:
+    for row in counts.groupBy(band.alias("band")).agg(F.count("*").alias("keys"), F.min(n).alias("least")).sort(F.desc("band")).collect():
+        if kept + row["keys"] > most:
             break
-        kept, cut = kept + row["count"], row["n"]
+        kept, cut = kept + row["keys"], row["least"]
     if cut is None:
         return []
     got = counts.filter(F.col(n) >= cut).select(column, n).toArrow()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe_chunks
+from .lm import op3_lm_scoring
 from .media import op7_media_columns
 from .packing import op10_best_fit_packing
 from .sharding import OP1_SQL, op1_sharding
+from .tokencount import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op7_media_columns, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_lm_scoring, op4_bpe_chunks, op6_token_counts, op7_media_columns, op10_best_fit_packing)}
 SQL = {"op1_sharding": OP1_SQL}
