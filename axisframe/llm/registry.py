@@ -6,8 +6,10 @@ from .bpe import op4_bpe_chunks
 from .lm import op3_lm_scoring
 from .media import op7_media_columns
 from .packing import op10_best_fit_packing
+from .quality import op2_quality_classifier
 from .sharding import OP1_SQL, op1_sharding
 from .tokencount import op6_token_counts
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_lm_scoring, op4_bpe_chunks, op6_token_counts, op7_media_columns, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_lm_scoring, op4_bpe_chunks, op6_token_counts, op7_media_columns, op8_toxicity, op10_best_fit_packing)}
 SQL = {"op1_sharding": OP1_SQL}
