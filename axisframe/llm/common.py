@@ -80,3 +80,14 @@ def frequent(counts: DataFrame, column: str, n: str, most: int) -> list:
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, null as the empty text."""
     return [x or "" for x in batch[column].to_pylist()]
+
+
+def kept_rows(df: DataFrame, keep) -> DataFrame:
+    """The rows of df for whose texts keep(list of texts) says true, all columns as they are, without a join."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(texts_of(batch)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

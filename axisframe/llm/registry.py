@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_chunks
+from .jaccard import op5_ngram_jaccard
 from .lm import op3_lm_scoring
 from .media import op7_media_columns
 from .packing import op10_best_fit_packing
 from .quality import op2_quality_classifier
 from .sharding import OP1_SQL, op1_sharding
 from .tokencount import op6_token_counts
+from .topk import OP9_SQL, op9_exact_topk
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_lm_scoring, op4_bpe_chunks, op6_token_counts, op7_media_columns, op8_toxicity, op10_best_fit_packing)}
-SQL = {"op1_sharding": OP1_SQL}
+OPERATORS = (
+    op1_sharding, op2_quality_classifier, op3_lm_scoring, op4_bpe_chunks, op5_ngram_jaccard,
+    op6_token_counts, op7_media_columns, op8_toxicity, op9_exact_topk, op10_best_fit_packing,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+SQL = {"op1_sharding": OP1_SQL, "op9_exact_topk": OP9_SQL}
