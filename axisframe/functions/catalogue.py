@@ -31,15 +31,21 @@ def log_of(f):
     return lambda x: F.when(x > 0, f(x)).when(x == 0, F.lit(-INF)).otherwise(F.lit(float("nan")))
 
 
+def div(a: Column, b: Column) -> Column:
+    """a / b with the array libraries' infinities and NaN for b = 0."""
+    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * INF)
+    return F.when(b == 0, by_zero).otherwise(a.cast("double") / b)
+
+
 UNARY = {
     "exp": F.exp, "exp2": lambda x: F.pow(F.lit(2.0), x), "expm1": F.expm1, "log": log_of(F.log), "log2": log_of(F.log2), "log10": log_of(F.log10),
-    "log1p": lambda x: log_of(lambda y: F.log1p(y - 1))(x + 1), "sqrt": F.sqrt, "rsqrt": lambda x: 1 / F.sqrt(x), "cbrt": F.cbrt, "square": lambda x: x * x,
+    "log1p": lambda x: log_of(lambda y: F.log1p(y - 1))(x + 1), "sqrt": F.sqrt, "rsqrt": lambda x: div(F.lit(1.0), F.sqrt(x)), "cbrt": F.cbrt, "square": lambda x: x * x,
     "abs": F.abs, "fabs": F.abs, "sign": F.signum, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "trunc": trunc, "rint": F.rint,
-    "positive": lambda x: x, "negative": lambda x: -x, "reciprocal": lambda x: 1 / x,
+    "positive": lambda x: x, "negative": lambda x: -x, "reciprocal": lambda x: div(F.lit(1.0), x),
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
     "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh, "deg2rad": F.radians, "rad2deg": F.degrees,
     "isnan": F.isnan, "isinf": lambda x: F.abs(x) == INF, "isfinite": lambda x: ~F.isnan(x) & (F.abs(x) < INF), "isneginf": lambda x: x == -INF, "isposinf": lambda x: x == INF,
-    "signbit": lambda x: (x < 0) | ((x == 0) & (F.lit(1.0) / x < 0)), "logical_not": lambda x: ~x.cast("boolean"),
+    "signbit": lambda x: (x < 0) | ((x == 0) & x.cast("string").startswith("-")), "logical_not": lambda x: ~x.cast("boolean"),
     "nan_to_num": lambda x: F.when(F.isnan(x), 0.0).when(x == INF, BIGGEST).when(x == -INF, -BIGGEST).otherwise(x),
     "relu": lambda x: F.greatest(x, F.lit(0.0)), "relu6": lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(6.0)), "sigmoid": sigmoid,
     "gelu": lambda x: 0.5 * x * (1 + F.tanh(sqrt(2 / pi) * (x + 0.044715 * x * x * x))), "silu": lambda x: x * sigmoid(x),
@@ -76,8 +82,8 @@ def keep_nan(f):
 
 
 BINARY = {
-    "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": lambda a, b: a / b,
-    "floor_divide": lambda a, b: F.floor(a / b).cast("double"), "power": F.pow, "remainder": lambda a, b: a - b * F.floor(a / b), "fmod": lambda a, b: a % b,
+    "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": div,
+    "floor_divide": lambda a, b: F.floor(div(a, b)).cast("double"), "power": F.pow, "remainder": lambda a, b: F.when(b == 0, F.lit(float("nan"))).otherwise(a - b * F.floor(a / b)), "fmod": lambda a, b: F.when(b == 0, F.lit(float("nan"))).otherwise(a % b),
     "copysign": lambda a, b: F.when(UNARY["signbit"](b), -F.abs(a)).otherwise(F.abs(a)),
     "maximum": keep_nan(F.greatest), "minimum": keep_nan(F.least), "fmax": skip_nan(F.greatest), "fmin": skip_nan(F.least),
     "equal": lambda a, b: a == b, "not_equal": lambda a, b: a != b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b, "greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b,
