@@ -10,6 +10,7 @@ from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..tensor import fail_unless
 
@@ -18,7 +19,7 @@ FINDING = ["source", "row_key", "rule", "kind", "message", "axis"]
 
 def array_sizes(column: str, rank: int) -> Column:
     """The sizes of a nested array column as an array of integers; null where an inner level is ragged."""
-    fail_unless(rank in (1, 2, 3), f"rank {rank}")
+    fail_unless(rank >= 1, f"rank {rank}")
     sizes, level = [F.size(column)], F.col(column)
     for _ in range(rank - 1):
         inner = F.transform(level, F.size)
@@ -63,7 +64,11 @@ def check_contract(df: DataFrame, key: str, column: str, spec: str, sizes: Colum
     fail_unless(parts.count("...") <= 1, "one ellipsis at most")
     open_ = "..." in parts
     rank = len(parts) - open_
-    measured = sizes if sizes is not None else array_sizes(column, max(1, rank))
+    depth, kind = 0, df.schema[column].dataType
+    while isinstance(kind, T.ArrayType):
+        depth, kind = depth + 1, kind.elementType
+    fail_unless(sizes is not None or depth > 0, f"{column} is no array column")
+    measured = sizes if sizes is not None else array_sizes(column, depth)
     base = df.select(F.col(key).alias("k_"), measured.alias("s_"))
     bad_rank = (F.size("s_") < rank) if open_ else (F.size("s_") != rank)
     checks = [F.when(bad_rank, F.struct(F.lit(None).cast("int").alias("axis"), F.concat(F.lit(f"rank is not that of '{spec}': "), F.size("s_").cast("string")).alias("message")))]

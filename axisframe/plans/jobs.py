@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -337,10 +338,8 @@ def t7_daily_windows_batch(spark, d):
 def streamed(spark, d, job, keys: list[str], order: str) -> DataFrame:
     """The table that a streaming job over events leaves behind."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-axisframe-")
-    import uuid
-
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    T.run_once(T.upserts(job(T.read_events(spark, f"{d}/events.parquet")), path, keys, order, f"{path}-checkpoint"), spark)
+    T.run_once(T.upserts(job(T.read_events(spark, d, "events.parquet")), path, keys, order, f"{path}-checkpoint"), spark)
     return T.current(spark, path, keys, order)
 
 

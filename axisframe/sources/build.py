@@ -24,7 +24,7 @@ def tensor_from_table(df: DataFrame, dims: dict[str, Column | str] | list[str],
 
 def scan_corpus(spark: SparkSession, path: str, pattern: str = "*", skip: tuple[str, ...] = ("build", "target", "node_modules", "__pycache__", ".git")) -> DataFrame:
     """(path, text): one row for each file below path whose name fits, each file once, build folders left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     for folder in skip:
         named = named.filter(~F.col("path").contains(f"/{folder}/"))

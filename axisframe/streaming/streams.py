@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark: SparkSession, path: str, ts: str = "ts", files_per_trigger: int | None = None, schema=None) -> DataFrame:
-    """A stream of Parquet files with a zoned time column."""
-    schema = schema or spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+def read_events(spark: SparkSession, folder: str, pattern: str = "*.parquet", ts: str = "ts", files_per_trigger: int | None = None, schema=None) -> DataFrame:
+    """A stream of the Parquet files of a folder whose names fit, with a zoned time column."""
+    schema = schema or spark.read.parquet(f"{folder}/{pattern}").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
+    return reader.parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def debounce(events: DataFrame, keys: list[str], ts: str, gap, late: str = "1 hour") -> DataFrame:
