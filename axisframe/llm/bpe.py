@@ -124,7 +124,7 @@ class Encoder:
                     window = pending + piece[: starts[k + TAIL]]
                     seen, parts = self.scan(window)
                     want = len(pending) + starts[k]
-                    if want in seen[:-TAIL] and starts[k] <= tail:
+                    if want in seen[: 1 - TAIL] and starts[k] <= tail:
                         agreed = k
                         out.append(b"".join(parts[: seen.index(want)]))
                         break
