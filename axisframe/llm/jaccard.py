@@ -3,7 +3,7 @@
 A document's set holds the distinct shingles of so many words (with fewer words, the whole sequence is one shingle).
 Documents with equal sets form one node. Two sets whose similarity reaches the threshold share a token among the
 first n - ceil(t n) + 1 of each, under whatever order of all tokens. The first order puts rare tokens first and gives
-candidates by a join on prefix tokens with size and position filters; a candidate must then share prefix tokens under
+candidates by a join on prefix tokens with filters on sizes, positions and the number of shared prefix tokens; a candidate must then share prefix tokens under
 further orders too; what is left is verified on whole sets.
 
 Rarity comes from a count of all shingles in a table of fixed size, so hot passages stand at the end of every order;
@@ -159,6 +159,19 @@ def possible(na, nb, ia, ib, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * F.least(na - ia, nb - ib) >= percent * (na + nb))
 
 
+def enough_shared(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share as many tokens as the threshold needs.
+
+    A common token that is not in both prefixes lies behind the prefix that ends first, so the intersection is at most
+    the number of shared prefix tokens plus the longer of the two rests.
+    """
+    side = lambda name, to: lists.select(F.col("node").alias(name), F.col("tokens").alias(f"t{to}"), F.col("n").alias(f"n{to}"))
+    need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1  # noqa: E731  what lies behind the prefix
+    shared = F.size(F.array_intersect("t1", "t2"))
+    return pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter(shared + F.greatest(rest("n1"), rest("n2")) >= need).select("a", "b")
+
+
 def candidate_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """(node, others, tokens): for nodes in pairs, the prefixes under the further orders and the whole set.
 
@@ -227,7 +240,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     posted = durable(rows.join(lead, "token").select("token", "node", "n", "pos", "l").distinct(), "postings")
 
     lo, hi = F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")
-    stars = durable(posted.filter((F.col("node") != F.col("l.node")) & possible(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), percent)).select(lo, hi).distinct(), "candidates")
+    lists = durable(posted.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")), "lists")
+    stars = posted.filter((F.col("node") != F.col("l.node")) & possible(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), percent)).select(lo, hi).distinct()
+    stars = durable(enough_shared(stars, lists, percent), "candidates")
     links = durable(verified(docs, stars, width, percent, levels), "links")
     roots = durable(components(links), "roots")
 
@@ -237,7 +252,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     x, y = open_.alias("x"), open_.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
     rest = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = durable(rest, "rest")
+    rest = durable(enough_shared(rest, lists, percent), "rest")
     if not rest.isEmpty():
         roots = components(links.unionByName(verified(docs, rest, width, percent, levels)))
 
