@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, durable, table
 from .graph import components
-from .wordbpe import Cached
 
 CELLS = 1 << 20
 SLICE = 1 << 14
@@ -36,7 +35,12 @@ BITS = 1 << 23
 SEEN = 50_000  # nodes a task remembers, to leave out copies early
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_words = Cached(xxhash.xxh64_intdigest, 400_000)
+PART = 1 << 20
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BYTE = np.random.default_rng(77).integers(0, 1 << 64, 256, dtype=np.uint64)
+STEP = 0x9E3779B97F4A7C15 | 3  # odd, and 3 modulo 4
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,10 +49,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of STEP and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((STEP, pow(STEP, -1, 1 << 64))):
+            steps = np.full(max(n, PART), base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between ASCII white space: a polynomial in its bytes' random values, from running sums."""
+    out = []
+    while raw:
+        part, raw = raw, b""
+        if len(part) > PART:
+            at = max(part.rfind(c, 0, PART) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if at > 0:
+                part, raw = part[:at], part[at:]
+        b = np.frombuffer(part, np.uint8)
+        up, down = powers(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(BYTE[b] * up[: len(b)], out=sums[1:])
+        space = np.concatenate([[True], SPACE[b], [True]])
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edge[::2], edge[1::2]
+        out.append((sums[end] - sums[start]) * down[start])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct 64-bit tokens of a text's shingles; A-Z count as a-z, words lie between ASCII white space."""
-    words = (text or "").encode().lower().split()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = word_hashes((text or "").encode().lower())
     if not len(w):
         return w
     k = min(width, len(w))
