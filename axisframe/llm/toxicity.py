@@ -83,8 +83,8 @@ class Bags:
     def __init__(self, bags: list[np.ndarray], y: np.ndarray):
         self.y = y
         self.size = np.array([max(LEAST, len(b)) for b in bags], dtype=np.float32)
-        self.bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        self.bucket = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+        self.bag = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+        self.bucket = np.concatenate(bags) if bags else np.zeros(0, np.int32)
 
 
 def fit(bags: Bags, embed: np.ndarray, out: np.ndarray, steps: int, rate: float = 0.05) -> None:
@@ -115,9 +115,15 @@ def train(texts: list[str], y: list[int], seed: int = 7) -> dict | None:
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    docs = [grams(part) for t in texts for part in parts_of(t)[:1]]  # the sample's documents, their first PART bytes
-    used = np.unique(np.concatenate([b for b, _, _ in docs]))
-    docs = [(np.searchsorted(used, b), w, n) for b, w, n in docs]
+    docs = []
+    for t in texts:  # the sample's documents, their first PART bytes, as narrow as the numbers allow
+        b, w, n = grams(parts_of(t)[0])
+        docs.append((b, w.astype(np.int32), n))
+    used = np.zeros(BUCKETS, bool)
+    for b, _, _ in docs:
+        used[b] = True
+    used = np.flatnonzero(used)
+    docs = [(np.searchsorted(used, b).astype(np.int32), w, n) for b, w, n in docs]
     embed = rng.normal(0, 0.1, (len(used), SIDE)).astype(np.float32)
     out = np.vstack([rng.normal(0, 0.5, (SIDE, 2)), np.zeros(2)]).astype(np.float32)
 
