@@ -1,13 +1,18 @@
-"""Bounded samples of labelled documents for fitting classifiers."""
+"""Fitting classifiers on bounded samples of labelled documents."""
 
 from __future__ import annotations
 
+import pickle
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most per_class documents of each class, chosen by the hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(doc_id, text, y) of at most per_class documents of each class, chosen by the hash of their id.
 
     labels has doc_id and a 0/1 column; rows with a null in either, or whose document has no text, teach nothing. An
     id with both labels counts as 1. The sample, and so the broadcast of its ids, is bounded whatever the tables hold.
@@ -18,5 +23,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id").toArrow()
-    return rows["text"].to_pylist(), rows["y"].to_pylist()
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, train) -> dict | None:
+    """train(texts, labels) of the sample in order of ids, run in one task: the sample is bounded, and only the model,
+    whose size its parameters fix, reaches the driver."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        texts, y = [], []
+        for batch in batches:
+            texts += batch["text"].to_pylist()
+            y += batch["y"].to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y))], pa.binary())], ["model"])
+
+    ordered = labelled_sample(docs, labels, label, per_class).repartition(1).sortWithinPartitions("doc_id")
+    found = ordered.select("text", "y").mapInArrow(run, "model binary").collect()  # one row, or none without a sample
+    return pickle.loads(found[0]["model"]) if found else None

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, remainder, table, texts_of
-from .labelled import labelled_sample
+from .labelled import fitted
 
 PER_CLASS = 1500
 RANK = 48
@@ -117,7 +117,7 @@ def quality_scores(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
     """Fitted on at most per_class labelled documents of each class."""
-    return train(*labelled_sample(docs, labels, "quality", per_class))
+    return fitted(docs, labels, "quality", per_class, train)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, remainder, table, texts_of
-from .labelled import labelled_sample
+from .labelled import fitted
 
 BUCKETS = 1 << 17
 SIDE = 8  # embedding width
@@ -66,6 +66,17 @@ def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets), np.concatenate(of), len(words)
 
 
+def whole(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """grams of all parts of a text, as narrow as the numbers allow."""
+    buckets, of, n = [], [], 0
+    for raw in parts_of(text):
+        b, w, words = grams(raw)
+        buckets.append(b.astype(np.int32))
+        of.append((w + n).astype(np.int32))
+        n += words
+    return np.concatenate(buckets), np.concatenate(of), n
+
+
 def windows(values: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
     """The mean value of each window's n-grams."""
     if not n:
@@ -115,10 +126,7 @@ def train(texts: list[str], y: list[int], seed: int = 7) -> dict | None:
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    docs = []
-    for t in texts:  # the sample's documents, their first PART bytes, as narrow as the numbers allow
-        b, w, n = grams(parts_of(t)[0])
-        docs.append((b, w.astype(np.int32), n))
+    docs = [whole(t) for t in texts]
     used = np.zeros(BUCKETS, bool)
     for b, _, _ in docs:
         used[b] = True
@@ -186,7 +194,7 @@ def toxicity_scores(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
     """Fitted on at most per_class labelled documents of each class."""
-    return train(*labelled_sample(docs, labels, "toxic", per_class))
+    return fitted(docs, labels, "toxic", per_class, train)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
