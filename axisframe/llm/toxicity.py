@@ -66,15 +66,19 @@ def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets), np.concatenate(of), len(words)
 
 
-def whole(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """grams of all parts of a text, as narrow as the numbers allow."""
-    buckets, of, n = [], [], 0
-    for raw in parts_of(text):
-        b, w, words = grams(raw)
-        buckets.append(b.astype(np.int32))
-        of.append((w + n).astype(np.int32))
-        n += words
-    return np.concatenate(buckets), np.concatenate(of), n
+def gathered(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """grams of all parts of each text; the arrays are slices of two, sized beforehand and as narrow as the numbers allow."""
+    room = 3 * sum(len(raw) + 2 for t in texts for raw in parts_of(t))
+    buckets, of, end, out = np.empty(room, np.int32), np.empty(room, np.int32), 0, []
+    for t in texts:
+        start, n = end, 0
+        for raw in parts_of(t):
+            b, w, words = grams(raw)
+            buckets[end : end + len(b)] = b
+            of[end : end + len(b)] = w + n
+            end, n = end + len(b), n + words
+        out.append((buckets[start:end], of[start:end], n))
+    return out
 
 
 def windows(values: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
@@ -126,12 +130,13 @@ def train(texts: list[str], y: list[int], seed: int = 7) -> dict | None:
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    docs = [whole(t) for t in texts]
+    docs = gathered(texts)
     used = np.zeros(BUCKETS, bool)
     for b, _, _ in docs:
         used[b] = True
     used = np.flatnonzero(used)
-    docs = [(np.searchsorted(used, b).astype(np.int32), w, n) for b, w, n in docs]
+    for b, _, _ in docs:
+        b[:] = np.searchsorted(used, b)
     embed = rng.normal(0, 0.1, (len(used), SIDE)).astype(np.float32)
     out = np.vstack([rng.normal(0, 0.5, (SIDE, 2)), np.zeros(2)]).astype(np.float32)
 
