@@ -60,10 +60,10 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def frequent(counts: DataFrame, column: str, n: str, most: int) -> list:
-    """At most `most` of the most frequent keys, as (key, n), all keys of one band of counts together; n desc, key.
+def least_frequent(counts: DataFrame, n: str, most: int) -> int | None:
+    """The smallest count with at most `most` rows of that count or more, all rows of one band of counts together.
 
-    The cut comes from a histogram of counts, so the driver gets a bounded number of rows.
+    It comes from a histogram of counts, so the driver gets a bounded number of rows; None where not even one band fits.
     """
     band = F.floor(16 * F.log2(F.col(n))).cast("int")  # about a thousand bands at most
     kept, cut = 0, None
@@ -71,6 +71,12 @@ def frequent(counts: DataFrame, column: str, n: str, most: int) -> list:
         if kept + row["keys"] > most:
             break
         kept, cut = kept + row["keys"], row["least"]
+    return cut
+
+
+def frequent(counts: DataFrame, column: str, n: str, most: int) -> list:
+    """At most `most` of the most frequent keys, as (key, n), all keys of one band of counts together; n desc, key."""
+    cut = least_frequent(counts, n, most)
     if cut is None:
         return []
     got = counts.filter(F.col(n) >= cut).select(column, n).toArrow()

@@ -1,11 +1,13 @@
 """Language-model scores by deleted interpolation.
 
-Bigram, unigram and uniform maximum-likelihood estimates are mixed; the weights depend on a bucket of the context's
-frequency and are learned by expectation-maximisation on the counts of a held-out part of the training documents.
-The model works on word classes: each of the `classes` - 1 most frequent words is a class of its own and all other
-words share the last, within which a word has its add-one estimate. All counts cover all training documents; the
-count of every word, however rare, is exact: those of the `lexicon` most frequent words come by a broadcast of that
-bounded size, the others by a shuffled join.
+Bigram, unigram and uniform maximum-likelihood estimates of words are mixed; the weights depend on a bucket of the
+context word's frequency and are learned by expectation-maximisation on the counts of a held-out part of the training
+documents. Every word and every pair of adjacent words has its own exact count over all training documents, however
+rare; the uniform estimate shares its mass among the known words and one for all unknown ones.
+
+The `lexicon` most frequent words are numbered by a broadcast of that bounded size, so that a pair of them is one
+number; other words stand for themselves. The log probabilities of the `classes` ** 2 most frequent pairs come by a
+broadcast of that bounded size, those of all other pairs by a shuffled join. Both bounds change no result.
 
 A null text is the empty text: one end token. Repeated rows are scored each. Without training rows every count is
 0 and all scores are those of the empty model. Other columns of the input are not read.
@@ -20,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, frequent, remainder, table
+from .common import bounded_batches, durable, least_frequent, remainder, table
 
 CLASSES = 2048
 LEXICON = 400_000
 FLUSH = 300_000
+TOKENS = 3_000_000
 END = b""  # no word is empty
+PARTS = ["fit", "held", "other"]
+PAIR = ["key", "h", "w"]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -33,51 +38,120 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, n) over all tokens of train."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, fit, held, other, n, train): occurrences in each part, in all of them, and in the training parts."""
 
-    def rows(seen: Counter):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    def rows(seen: list[Counter]):
+        for part, counts in enumerate(seen):
+            n = pa.array(list(counts.values()), pa.int64())
+            none = pa.array(np.zeros(len(n), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(n if k == part else none for k in range(3))], ["word", *PARTS])
+            counts.clear()
 
     def run(batches):
-        seen: Counter = Counter()
+        seen: list[Counter] = [Counter() for _ in PARTS]
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                seen.update(tokens(text))
-                if len(seen) > FLUSH:
-                    yield rows(seen)
-                    seen.clear()
-        yield rows(seen)
+            for text, part in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), strict=True):
+                seen[part].update(tokens(text))
+                if len(seen[part]) > FLUSH:
+                    yield from rows(seen)
+        yield from rows(seen)
 
-    return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text", "part").mapInArrow(run, "word binary, fit long, held long, other long").groupBy("word").agg(*(F.sum(c).alias(c) for c in PARTS))
+    return counts.withColumns({"n": F.col("fit") + F.col("held") + F.col("other"), "train": F.col("fit") + F.col("held")})
 
 
-def bigram_counts(train: DataFrame, classes, k: int) -> DataFrame:
-    """(pair, fit, held): for pair = k * context class + class, occurrences in the fitting and in the held-out part."""
+def coded(text: str | None, at: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The text's tokens, their numbers and those of their contexts, -1 for words outside the lexicon; an end stands
+    before the first word."""
+    words = tokens(text)
+    w = np.fromiter((at.get(x, -1) for x in words), np.int64, len(words))
+    return words, w, np.concatenate([w[-1:], w[:-1]])
+
+
+def rare_pair(words: list[bytes], j: int, h: int, w: int) -> tuple[int, bytes, bytes]:
+    """(key, h, w) of the pair at j with a word outside the lexicon: the key tells the number of the other one, which
+    is left out of h and w; -1 if both are outside."""
+    if h >= 0:
+        return -2 - 2 * h, END, words[j]
+    return (-3 - 2 * w, words[j - 1], END) if w >= 0 else (-1, words[j - 1], words[j])
+
+
+def numbers(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the context and the word of every key, -1 for those outside the lexicon."""
+    h = np.where(key >= 0, key // size, np.where(key % 2 == 0, (-2 - key) // 2, -1))
+    return h, np.where(key >= 0, key % size, np.where((key % 2 == 1) & (key < -1), (-3 - key) // 2, -1))
 
-    def run(batches):
-        of = classes.value
-        held, size = [[], []], 0
 
-        def rows():
-            counts = [np.bincount(np.concatenate(x) if x else np.zeros(0, np.int64), minlength=k * k) for x in held]
-            pairs = np.flatnonzero(counts[0] + counts[1])
-            for at in range(0, len(pairs), 200_000):
-                part = pairs[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(c[part], pa.int64()) for c in counts)], ["pair", "fit", "held"])
+def bigram_counts(docs: DataFrame, lexicon) -> DataFrame:
+    """(key, h, w, fit, held, other, n): occurrences of every pair. The key of two words of the lexicon is the number of
+    the context times the lexicon's size plus the word's; see rare_pair for the others."""
+
+    def run(batches):
+        at = lexicon.value
+        known: list[np.ndarray] = []
+        rare: Counter = Counter()
+        size = 0
+
+        def common_rows():
+            if known:
+                code, n = np.unique(np.concatenate(known), return_counts=True)
+                first = np.flatnonzero(np.diff(code // 3, prepend=-1))
+                counts = np.zeros((3, len(first)), np.int64)
+                counts[code % 3, np.cumsum(np.diff(code // 3, prepend=-1) != 0) - 1] = n
+                for i in range(0, len(first), 200_000):
+                    key = code[first[i : i + 200_000]] // 3
+                    none = pa.array([END] * len(key), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key), none, none, *(pa.array(c[i : i + 200_000]) for c in counts)], [*PAIR, *PARTS])
+                known.clear()
+
+        def rare_rows():
+            if rare:
+                part, key, h, w = zip(*rare, strict=True)
+                part, n = np.array(part), np.fromiter(rare.values(), np.int64, len(rare))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.binary()), pa.array(w, pa.binary()), *(pa.array(np.where(part == k, n, 0)) for k in range(3))], [*PAIR, *PARTS])
+                rare.clear()
 
         for batch in batches:
-            for text, part in zip(batch["text"].to_pylist(), batch["held"].to_pylist(), strict=True):
-                words = tokens(text)
-                c = np.fromiter((of.get(w, k - 1) for w in words), np.int64, len(words))
-                held[part].append(k * np.concatenate([c[-1:], c[:-1]]) + c)  # an end stands before the first word
+            for text, part in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), strict=True):
+                words, w, h = coded(text, at)
+                inside = (w >= 0) & (h >= 0)
+                known.append((h[inside] * len(at) + w[inside]) * 3 + part)
                 size += len(words)
-                if size > 4_000_000:
-                    yield from rows()
-                    held, size = [[], []], 0
-        yield from rows()
+                for j in np.flatnonzero(~inside).tolist():
+                    rare[(part, *rare_pair(words, j, int(h[j]), int(w[j])))] += 1
+                if size > TOKENS:
+                    yield from common_rows()
+                    size = 0
+                if len(rare) > FLUSH:
+                    yield from rare_rows()
+        yield from common_rows()
+        yield from rare_rows()
+
+    schema = "key long, h binary, w binary, fit long, held long, other long"
+    counts = docs.select("text", "part").mapInArrow(run, schema).groupBy(*PAIR).agg(*(F.sum(c).alias(c) for c in PARTS))
+    return counts.withColumn("n", F.col("fit") + F.col("held") + F.col("other"))
+
+
+SIDES = ["h_fit", "h_train", "w_fit", "w_train"]
 
-    return train.select("text", "held").mapInArrow(run, "pair int, fit long, held long").groupBy("pair").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"))
+
+def with_rare_sides(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """pairs with the counts of their words outside the lexicon; 0 stands for those that the lexicon has. The words
+    joined are rare, and the others are no join keys, so no key is frequent."""
+    inside = pairs.filter("key >= 0").withColumns({c: F.lit(0).cast("long") for c in SIDES})
+    rare = pairs.filter("key < 0")
+    no_word = lambda c: F.concat(F.lit(b" "), F.col(c))
+    rare = rare.withColumn("h_", F.when(F.expr("key % 2 <> 0"), F.col("h")).otherwise(no_word("w"))).withColumn("w_", F.when(F.expr("key = -1 OR key % 2 = 0"), F.col("w")).otherwise(no_word("h")))
+    for side in ("h", "w"):
+        rare = rare.join(vocabulary.select(F.col("word").alias(f"{side}_"), F.col("fit").alias(f"{side}_fit"), F.col("train").alias(f"{side}_train")), f"{side}_", "left")
+    return inside.unionByName(rare.drop("h_", "w_").fillna(0, SIDES))
+
+
+def sides(batch: pa.RecordBatch, lexicon: dict) -> list[np.ndarray]:
+    """SIDES of every pair of a batch, from the lexicon or as joined."""
+    h, w = numbers(batch["key"].to_numpy(), len(lexicon["fit"]))
+    return [np.where(i >= 0, lexicon[c[2:]][i], batch[c].to_numpy()) for c, i in zip(SIDES, (h, h, w, w), strict=True)]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -85,15 +159,8 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(context + 1)).astype(np.int64)
 
 
-def learn_weights(pair: np.ndarray, fit: np.ndarray, held: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
-    """(buckets, 3): weights of bigram, unigram and uniform estimates from `fit` that EM finds on `held`."""
-    context = np.bincount(pair // k, fit, k)
-    word = np.bincount(pair % k, fit, k)
-    seen = held > 0
-    pair, count = pair[seen], held[seen].astype(float)
-    h, w = pair // k, pair % k
-    p = np.stack([fit[seen] / np.maximum(context[h], 1), word[w] / max(word.sum(), 1), np.full(len(pair), 1 / k)], axis=1)
-    b = bucket(context)[h]
+def em(b: np.ndarray, p: np.ndarray, count: np.ndarray, rounds: int) -> np.ndarray:
+    """(buckets, 3): the weights that make `count` events with three estimates p in buckets b likeliest."""
     weights = np.full((65, 3), 1 / 3)
     weights[0] = 0, 0.5, 0.5
     for _ in range(rounds):
@@ -107,8 +174,20 @@ def learn_weights(pair: np.ndarray, fit: np.ndarray, held: np.ndarray, k: int, r
     return weights
 
 
+def learn_weights(pair: np.ndarray, fit: np.ndarray, held: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
+    """(buckets, 3): weights of bigram, unigram and uniform estimates from `fit` that EM finds on `held`, for k words in
+    memory and pair = k * context + word."""
+    context = np.bincount(pair // k, fit, k)
+    word = np.bincount(pair % k, fit, k)
+    seen = held > 0
+    pair, count = pair[seen], held[seen].astype(float)
+    h, w = pair // k, pair % k
+    p = np.stack([fit[seen] / np.maximum(context[h], 1), word[w] / max(word.sum(), 1), np.full(len(pair), 1 / k)], axis=1)
+    return em(bucket(context)[h], p, count, rounds)
+
+
 def log_matrix(pair: np.ndarray, n: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """log10 of the mixed probability of every class after every class; k * k values, whatever the corpus."""
+    """log10 of the mixed probability of each of k words in memory after each."""
     context, word = np.bincount(pair // k, n, k), np.bincount(pair % k, n, k)
     mix = weights[bucket(context)]
     out = mix[:, 1:2] * (word / max(word.sum(), 1))[None, :] + mix[:, 2:3] / k
@@ -116,72 +195,118 @@ def log_matrix(pair: np.ndarray, n: np.ndarray, weights: np.ndarray, k: int) ->
     return np.log10(out).astype(np.float32)
 
 
+def held_out_weights(pairs: DataFrame, lexicon, n_fit: int, n_words: int, rounds: int = 30) -> np.ndarray:
+    """The weights that EM finds on all held-out pairs. Pairs of one bucket whose bigram and unigram estimates agree
+    within an eighth of an octave count together, with their mean estimates: a bounded number of cells."""
+
+    def run(batches):
+        for batch in batches:
+            h_fit, _, w_fit, _ = sides(batch, lexicon.value)
+            held, fit = batch["held"].to_numpy().astype(float), batch["fit"].to_numpy()
+            p = fit / np.maximum(h_fit, 1), w_fit / max(n_fit, 1)
+            cell = bucket(h_fit)
+            for x in p:
+                cell = cell * 1024 + np.where(x > 0, 1000 + np.floor(8 * np.log2(np.maximum(x, 1e-30))), 0).astype(np.int64)
+            cells, i = np.unique(cell, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(np.bincount(i, x, len(cells)).astype(float)) for x in (held, held * p[0], held * p[1]))], ["cell", "n", "p1", "p2"])
+
+    got = pairs.filter("held > 0").select("key", "fit", "held", *SIDES).mapInArrow(run, "cell long, n double, p1 double, p2 double")
+    got = got.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p1", "p2"))).sort("cell").toArrow()
+    cell, n, p1, p2 = (got[c].to_numpy() for c in ("cell", "n", "p1", "p2"))
+    return em(cell >> 20, np.stack([p1 / n, p2 / n, np.full(len(n), 1 / n_words)], axis=1), n, rounds)
+
+
+def pair_scores(pairs: DataFrame, lexicon, weights: np.ndarray, n_all: int, v_all: int) -> DataFrame:
+    """(key, h, w, model, known, base): each pair's log10 probability and, where its word is outside the lexicon, whether
+    training has that word and its add-one log10 probability, else 0."""
+
+    def run(batches):
+        for batch in batches:
+            _, h_train, _, w_train = sides(batch, lexicon.value)
+            mix = weights[bucket(h_train)]
+            p = mix[:, 0] * batch["train"].to_numpy() / np.maximum(h_train, 1) + mix[:, 1] * w_train / max(n_all, 1) + mix[:, 2] / (v_all + 1)
+            rare = numbers(batch["key"].to_numpy(), len(lexicon.value["fit"]))[1] < 0
+            base = np.where(rare, np.log10((w_train + 1) / (n_all + v_all + 1)), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in PAIR), pa.array(np.log10(p)), pa.array((rare & (w_train > 0)).astype(np.int64)), pa.array(base)], [*PAIR, "model", "known", "base"])
+
+    ready = pairs.select(*PAIR, (F.col("fit") + F.col("held")).alias("train"), *SIDES)
+    return ready.mapInArrow(run, "key long, h binary, w binary, model double, known long, base double")
+
+
 def lm_scores(docs: DataFrame, train: str = "train", held: str = "held", classes: int = CLASSES, lexicon: int = LEXICON) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for docs with boolean columns that say which
     rows train the model and which of these are held out of the estimates while the weights are learned."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     bounded_batches(spark)
-    docs = docs.select("doc_id", "text", F.col(train).alias("train"), F.col(held).cast("int").alias("held"))
-    learning = docs.filter("train")
-    vocabulary = durable(word_counts(learning), "words")
-    total = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = total["n"] or 0, total["v"]
-    top = frequent(vocabulary, "word", "n", lexicon)
-    lead = [w for w, _ in top if w != END][: classes - 2]
-    of = sc.broadcast({END: 0} | {w: i + 1 for i, w in enumerate(lead)})
-    pairs = bigram_counts(learning, of, classes).toArrow()  # at most classes ** 2 rows
-    pair, fit, kept = (pairs[c].to_numpy().astype(np.int64) for c in ("pair", "fit", "held"))
-    matrix = log_matrix(pair, fit + kept, learn_weights(pair, fit, kept, classes), classes)
-
-    named = set(lead) | {END}
-    count = dict(top)
-    if END not in count:  # a lexicon too small to hold it
-        ends = vocabulary.filter(F.length("word") == 0).first()
-        count[END] = ends["n"] if ends else 0
-    n_rare = n_all - sum(count.get(w, 0) for w in named)
-    rare_below = n_rare + (v_all - sum(count.get(w, 0) > 0 for w in named)) + 1
-    words = list(count.keys() | {END})
-    c = np.array([count.get(w, 0) for w in words], dtype=float)
+    part = F.when(F.col(train), F.when(F.col(held), 1).otherwise(0)).otherwise(2)
+    docs = docs.select("doc_id", "text", F.col(train).alias("train"), part.alias("part"))
+    vocabulary = durable(word_counts(docs), "words")
+    total = vocabulary.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v"), F.sum("fit").alias("fit")).first()
+    n_all, v_all, n_fit = total["n"] or 0, total["v"], total["fit"] or 0
+    cut = least_frequent(vocabulary, "n", lexicon)
+    inside = (F.length("word") == 0) | (F.col("n") >= cut if cut is not None else F.lit(False))
+    top = vocabulary.filter(inside).select("word", "fit", "train").toArrow()
+    words = top["word"].to_pylist() or [END]
+    at = sc.broadcast({w: i for i, w in enumerate(words)})
+    counts = {c: top[c].to_numpy() if len(top) else np.zeros(1, np.int64) for c in ("fit", "train")}
+    sizes = sc.broadcast(counts)
+    del top, words
+
+    raw = durable(bigram_counts(docs, at), "pairs")
+    pairs = with_rare_sides(raw, vocabulary.filter(~inside))
+    weights = held_out_weights(pairs, sizes, n_fit, v_all + 1)
+    least = least_frequent(raw.filter("key >= 0"), "n", classes**2)
+    often = (F.col("key") >= 0) & (F.col("n") >= least if least is not None else F.lit(False))
+    lead = pair_scores(raw.filter(often).withColumns({c: F.lit(0).cast("long") for c in SIDES}), sizes, weights, n_all, v_all).select("key", F.col("model").cast("float").alias("model")).toArrow()
+    order = np.argsort(lead["key"].to_numpy())
     model = sc.broadcast({
-        "at": {w: i for i, w in enumerate(words)},
-        "class": np.array([of.value.get(w, classes - 1) for w in words] + [classes - 1], dtype=np.int32),
-        "base": np.append(np.log10((c + 1) / (n_all + v_all + 1)), 0.0),
-        "inner": np.append(np.where([w in named for w in words], 0.0, np.log10((c + 1) / rare_below)), 0.0),
-        "known": np.append((c > 0).astype(np.int64), 0),
-        "matrix": matrix,
+        "key": np.append(lead["key"].to_numpy()[order], np.iinfo(np.int64).max),
+        "model": np.append(lead["model"].to_numpy()[order], np.float32(0)),
+        "base": np.append(np.log10((counts["train"] + 1) / (n_all + v_all + 1)), 0.0),
+        "known": np.append(counts["train"] > 0, False),
     })
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    del lead, order
     names = ["doc_id", "train", "n_tokens", "known", "base", "model", "rest"]
 
     def run(batches):
-        m = model.value
-        at, k = m["at"], len(m["matrix"])
-        flat = m["matrix"].ravel()
+        m, of = model.value, at.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for text in batch["text"].to_pylist():
-                ws = tokens(text)
-                i = np.fromiter((at.get(w, -1) for w in ws), np.int64, len(ws))
-                cl = m["class"][i].astype(np.int64)
-                flow = flat[k * np.concatenate([cl[-1:], cl[:-1]]) + cl].sum(dtype=np.float64)
-                rest = Counter(ws[j] for j in np.flatnonzero(i < 0))
-                row = (len(ws), int(m["known"][i].sum()), float(m["base"][i].sum()), float(flow + m["inner"][i].sum()), [{"word": w, "n": n} for w, n in rest.items()])
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest_type]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["train"], *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, known long, base double, model double, rest array<struct<word:binary,n:long>>"
+            texts = batch["text"].to_pylist()
+            key, length, rare, local = [], np.zeros(len(texts), np.int64), [], {}
+            known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for d, text in enumerate(texts):
+                words, w, h = coded(text, of)
+                length[d], known[d], base[d] = len(words), m["known"][w].sum(), m["base"][w].sum()
+                k = h * len(of) + w
+                for j in np.flatnonzero((w < 0) | (h < 0)).tolist():
+                    k[j] = -1 - local.setdefault(pair := rare_pair(words, j, int(h[j]), int(w[j])), len(rare))
+                    if len(local) > len(rare):
+                        rare.append(pair)
+                key.append(k)
+            key, doc = np.concatenate(key or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(texts)), length)
+            i = np.searchsorted(m["key"], key)
+            hit = m["key"][i] == key
+            flow = np.bincount(doc[hit], m["model"][i[hit]], len(texts)).astype(float)
+            key, doc = key[~hit], doc[~hit]
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(doc, prepend=-1) != 0))
+            n = np.diff(first, append=len(key))
+            key, doc = key[first], doc[first]
+            h, w, out = [END] * len(key), [END] * len(key), key.copy()
+            for j in np.flatnonzero(key < 0).tolist():
+                out[j], h[j], w[j] = rare[-1 - key[j]]
+            pieces = pa.StructArray.from_arrays([pa.array(out), pa.array(h, pa.binary()), pa.array(w, pa.binary()), pa.array(n)], [*PAIR, "n"])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32()), pieces)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["train"], *map(pa.array, (length, known, base, flow)), rest], names)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, known long, base double, model double, rest array<struct<key:long,h:binary,w:binary,n:long>>"
     rows = durable(docs.select("doc_id", "text", "train").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
-    seen = F.coalesce(F.col("c"), F.lit(0))
     rest = (
         rows.select("row", F.explode("rest").alias("r")).select("row", "r.*")
-        .join(vocabulary.select("word", F.col("n").alias("c")), "word", "left")
-        .groupBy("row").agg(
-            F.sum(F.when(seen > 0, F.col("n")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("n") * F.log10((seen + 1) / F.lit(float(n_all + v_all + 1)))).alias("more_base"),
-            F.sum(F.col("n") * F.log10((seen + 1) / F.lit(float(rare_below)))).alias("more_model"))
+        .join(pair_scores(pairs.filter(~often), sizes, weights, n_all, v_all), PAIR)
+        .groupBy("row").agg(*(F.sum(F.col("n") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "model")))
     )
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return rows.drop("rest").join(rest, "row", "left").select(

@@ -71,6 +71,27 @@ def test_mixture_is_a_distribution_and_em_helps():
     assert (held * np.log(matrix.ravel())).sum() >= (held * np.log(even.ravel())).sum() - 1e-6
 
 
+def test_lm_counts_every_pair_of_words(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    docs = frame(spark, list(enumerate(texts))).withColumn("train", F.col("doc_id") % 7 != 2).withColumn("held", F.col("doc_id") % 7 == 3)
+    learning = [t for i, t in enumerate(texts) if i % 7 != 2]
+    names = sorted({w for t in learning for w in lm.tokens(t)})
+    k = len(names) + 1  # all unknown words as one
+    coded = lambda t: [names.index(w) if w in names else k - 1 for w in lm.tokens(t)]
+    pairs = lambda t: [k * h + w for h, w in zip([c[-1], *c[:-1]], c, strict=True)] if (c := coded(t)) else []
+    fit, held = (np.bincount([p for i, t in enumerate(texts) if i % 7 != 2 and (i % 7 == 3) == x for p in pairs(t)], minlength=k * k) for x in (False, True))
+    pair = np.arange(k * k)
+    matrix = lm.log_matrix(pair, fit + held, lm.learn_weights(pair, fit, held, k), k).ravel()
+    want = {i: float(matrix[pairs(t)].astype(float).sum()) for i, t in enumerate(texts)}
+    for classes, lexicon in ((2048, 400_000), (4, 400_000), (2, 5), (8, 0)):  # bounds on broadcasts change no score
+        got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, classes=classes, lexicon=lexicon).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - want[i]) < 1e-2 + 2e-3 * abs(want[i]) for i in want)
+
+
 def test_images_round_trip():
     rng = np.random.default_rng(1)
     grey, colour = rng.integers(0, 256, (11, 13), dtype=np.uint8), rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
