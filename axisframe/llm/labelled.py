@@ -11,13 +11,25 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y): one 0/1 label of every labelled id, 1 where it has both."""
+    return labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def class_totals(docs: DataFrame, labels: DataFrame, label: str) -> list[int]:
+    """How many ids of class 0 and of class 1 have a text, sampled or not."""
+    usable = known_labels(labels, label).join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    found = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    return [found.get(0, 0), found.get(1, 0)]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, y) of at most per_class documents of each class, chosen by the hash of their id.
 
     labels has doc_id and a 0/1 column; rows with a null in either, or whose document has no text, teach nothing. An
     id with both labels counts as 1. The sample, and so the broadcast of its ids, is bounded whatever the tables hold.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known_labels(labels, label)
     picked = None
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

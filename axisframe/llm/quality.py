@@ -3,15 +3,18 @@
 A document's terms are the trigrams of its byte classes (letters, digits, white space, each punctuation mark) and
 its repeated words and lines. Their tf-idf matrix over a bounded sample of labelled documents is reduced by a
 truncated singular value decomposition; the sample's vectors are broadcast, every document's cosines with all of
-them are computed exactly in blocks, and the nearest ones vote with their label, weighted by similarity.
+them are computed exactly in blocks, and the nearest ones vote with their label, weighted by similarity and by how
+many labelled documents of its class each one stands for, so that the sample's bound does not shift the classes' balance.
 
-A null, empty or unreadable text has a zero vector, no neighbours, and scores the sample's share of good documents.
+A null, empty or unreadable text has a zero vector, no neighbours, and scores the share of good ones among all labelled
+documents.
 Repeated rows score alike. Without labelled rows every score is 1: nothing speaks against a document. Empty tables
 give no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from operator import eq
 
 import numpy as np
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, remainder, table, texts_of
-from .labelled import fitted
+from .labelled import class_totals, fitted
 
 PER_CLASS = 1500
 RANK = 48
@@ -59,8 +62,11 @@ def vector(text: str, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return v / size if size > 0 else v
 
 
-def train(texts: list[str], y: list[int], rank: int = RANK, seed: int = 3) -> dict | None:
-    """idf and basis of the latent space, the sample's unit vectors and labels, and the share of label 1."""
+def train(texts: list[str], y: list[int], totals: list[int] | None = None, rank: int = RANK, seed: int = 3) -> dict | None:
+    """idf and basis of the latent space, the sample's unit vectors, labels and weights, and the share of label 1.
+
+    totals: how many documents of each class the sample stands for; its own numbers where None.
+    """
     if not texts:
         return None
     found = [terms(t) for t in texts]
@@ -81,15 +87,21 @@ def train(texts: list[str], y: list[int], rank: int = RANK, seed: int = 3) -> di
     full_idf, full_basis = np.zeros(TERMS, np.float32), np.zeros((TERMS, rank), np.float32)
     full_idf[used], full_basis[used] = idf, basis
     sample = np.stack([vector(t, full_idf, full_basis) for t in texts]).astype(np.float32)
-    return {"idf": full_idf, "basis": full_basis, "sample": sample, "y": np.array(y, np.float32), "share": float(np.mean(y))}
+    sampled = np.bincount(y, minlength=2)
+    all_ = sampled if totals is None else np.array(totals)
+    weight = (all_ / np.maximum(sampled, 1))[np.array(y)]
+    return {"idf": full_idf, "basis": full_basis, "sample": sample, "y": np.array(y, np.float32), "weight": weight, "share": float(all_[1] / all_.sum())}
 
 
 def votes(model: dict, v: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Scores of a block of unit vectors: similarity-weighted mean label of each one's nearest sample vectors."""
+    """Scores of a block of unit vectors: mean label of each one's nearest sample vectors, weighted by similarity and by
+    what each stands for."""
     cos = v @ model["sample"].T
     k = min(neighbours, cos.shape[1])
     near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
     w = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(float)
+    if "weight" in model:
+        w *= model["weight"][near]
     total = w.sum(axis=1)
     return np.where(total > 0, np.clip((w * model["y"][near]).sum(axis=1) / np.maximum(total, 1e-12), 0, 1), model["share"])
 
@@ -116,8 +128,8 @@ def quality_scores(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
-    """Fitted on at most per_class labelled documents of each class."""
-    return fitted(docs, labels, "quality", per_class, train)
+    """Fitted on at most per_class labelled documents of each class, which stand for all of their class."""
+    return fitted(docs, labels, "quality", per_class, partial(train, totals=class_totals(docs, labels, "quality")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,19 @@ def test_classifiers_on_held_out_rows():
     assert quality.scores(good, [""]) == [good["share"]]
 
 
+def test_quality_sample_keeps_the_balance_of_classes(spark):
+    rows = [(i, "".join(random.Random(i).choices("abc XY.", k=40)), int(i % 20 > 2)) for i in range(200)]  # 85 % good
+    docs = frame(spark, [*((i, t) for i, t, _ in rows), (900, None)])
+    labels = spark.createDataFrame([*((i, y, 0) for i, _, y in rows), (900, 0, 0), (901, 0, 0)], "doc_id long, quality int, toxic int")
+    for bound in (1000, 60, 20):
+        model = quality.quality_model(docs, labels, bound)
+        assert abs(quality.scores(model, [""])[0] - 0.85) < 1e-9
+        sampled = model["y"].astype(bool)
+        assert abs(model["weight"][sampled].sum() - 170) < 1e-6 and abs(model["weight"][~sampled].sum() - 30) < 1e-6
+        same = model | {"sample": np.ones((len(sampled), 1), np.float32)}  # all are equally near: the vote is the share
+        assert abs(quality.votes(same, np.ones((1, 1), np.float32), len(sampled))[0] - 0.85) < 1e-6
+
+
 def test_votes_are_exact_cosines():
     rng = np.random.default_rng(4)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
