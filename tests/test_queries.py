@@ -44,6 +44,21 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_connected_groups_take_every_link(spark, duck):
+    links = duck.execute("SELECT DISTINCT l_partkey * 2, l_suppkey * 2 + 1 FROM lineitem").fetchall()
+    up = {n: n for link in links for n in link}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    assert {r["node"]: r["group"] for r in catalogue.QUERIES["d5_connected_groups"](spark, DATA).collect()} == {n: top(n) for n in up}
+
+
 def test_registry_is_complete():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
     assert len(catalogue.QUERIES) > 150
