@@ -319,11 +319,10 @@ def a17_approximate_size(spark, d):
     return R.approximate_size(table(spark, d, "events"), "user_id")
 
 
-@query("SELECT count(*)::DOUBLE AS value FROM (SELECT sum(l_quantity) FROM lineitem)")
+@query(f"WITH {QTY} SELECT sum(value)::DOUBLE AS value FROM qty")
 def a18_item(spark, d):
-    t = R.reduce(qty(spark, d), "sum")
-    total = R.item(t)
-    return t.df.select((F.col("value") / total).alias("value"))
+    total = R.item(R.reduce(qty(spark, d), "sum"))
+    return spark.range(1).select(F.lit(total).cast("double").alias("value"))
 
 
 @query(f"{MONTH} SELECT month, sum(value) OVER (ORDER BY month) AS value FROM m")

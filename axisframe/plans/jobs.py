@@ -313,10 +313,12 @@ def t3_ewma_batch(spark, d):
     return D.ewma_cost(marked, ["user_id"], ["ts", "event_id"], "value", "reset").select("user_id", F.round("average", 6).alias("average"))
 
 
-@query("""WITH x AS (SELECT o_custkey AS key, o_orderkey AS v, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderkey % 4 = 0 THEN 'full' ELSE 'edit' END AS kind FROM orders),
-y AS (SELECT DISTINCT ON (key, version) * FROM x ORDER BY key, version, v) SELECT count(DISTINCT key) AS keys FROM y""")
+@query("""WITH x AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 2 - CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderkey % 4 = 0 THEN 'full' ELSE 'edit' END AS kind, o_orderpriority AS p FROM orders),
+b AS (SELECT *, count(*) FILTER (kind = 'full') OVER (PARTITION BY key ORDER BY version ROWS UNBOUNDED PRECEDING) AS base, lag(version) OVER (PARTITION BY key ORDER BY version) AS before FROM x),
+g AS (SELECT *, kind = 'edit' AND (base = 0 OR before IS NULL OR version - before <> 1) AS gap FROM b), r AS (SELECT *, max(gap::INT) OVER (PARTITION BY key, base ORDER BY version ROWS UNBOUNDED PRECEDING) = 1 AS broken FROM g), l AS (SELECT key, max(base) AS base FROM r GROUP BY key)
+SELECT key, max(version) FILTER (NOT broken) AS version, CASE WHEN base > 0 THEN string_agg(p, '' ORDER BY version) FILTER (NOT broken) END AS text, NOT bool_or(broken) AND base > 0 AS in_sync FROM r JOIN l USING (key, base) GROUP BY key, base""")
 def t4_change_log_keys(spark, d):
-    return D.apply_change_log(change_log(spark, d), ["key"]).agg(F.count("key").alias("keys"))
+    return D.apply_change_log(change_log(spark, d), ["key"]).select("key", "version", "text", "in_sync")
 
 
 def change_log(spark, d) -> DataFrame:
@@ -349,10 +351,11 @@ def t2_t6_latest_version_stream(spark, d):
     return out.select("user_id", "event_id", "event_type")
 
 
-@query("SELECT user_id, count(*) AS \"rows\" FROM events GROUP BY user_id")
+@query(f"""WITH RECURSIVE {EVENTS}, f AS (SELECT user_id, r, value AS a FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.r, a * 0.5 + value * 0.5 FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+SELECT user_id, round(arg_max(a, r), 6) AS average, max(r) AS "rows" FROM f GROUP BY user_id""")
 def t3_ewma_stream(spark, d):
-    out = streamed(spark, d, lambda s: T.ewma(s, "user_id", "ts", "value"), ["user_id"], "rows")
-    return out.select("user_id", "rows")
+    out = streamed(spark, d, lambda s: T.ewma(s, "user_id", ["ts", "event_id"], "value"), ["user_id"], "rows")
+    return out.select("user_id", F.round("average", 6).alias("average"), "rows")
 
 
 @query("SELECT DISTINCT event_id FROM events")

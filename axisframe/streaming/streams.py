@@ -33,7 +33,7 @@ def latest_version(events: DataFrame, keys: list[str], version: str, payload: st
     return events.groupBy(*keys).agg(F.max_by(payload, version).alias(payload), F.max(version).alias(version))
 
 
-def ewma(events: DataFrame, key: str, order: str, cost: str, reset: str | None = None, alpha: float = 0.5) -> DataFrame:
+def ewma(events: DataFrame, key: str, order: str | list[str], cost: str, reset: str | None = None, alpha: float = 0.5) -> DataFrame:
     """(key, average, rows) after each micro-batch: a fold in each key's state, rows of a batch in order; a reset row empties it."""
     kind = events.schema[key].dataType.simpleString()
 
