@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers: every bit of the result depends on every bit given."""
+    h = (h ^ (h >> np.uint64(32))) * A
+    h = (h ^ (h >> np.uint64(29))) * B
+    return h ^ (h >> np.uint64(32))
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the id's decimal text modulo a number; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, table
+from .common import B, bounded_batches, durable, mix, table
 from .graph import components
 
 CELLS = 1 << 20
@@ -33,7 +33,6 @@ SLICE = 1 << 14
 ORDERS = 3
 BITS = 1 << 23
 SEEN = 50_000  # nodes a task remembers, to leave out copies early
-A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 PART = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -43,12 +42,6 @@ STEP = 0x9E3779B97F4A7C15 | 3  # odd, and 3 modulo 4
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * A
-    h = (h ^ (h >> np.uint64(29))) * B
-    return h ^ (h >> np.uint64(32))
-
-
 def powers(n: int) -> list[np.ndarray]:
     """The first n powers of STEP and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:

@@ -2,12 +2,17 @@
 
 Bigram, unigram and uniform maximum-likelihood estimates of words are mixed; the weights depend on a bucket of the
 context word's frequency and are learned by expectation-maximisation on the counts of a held-out part of the training
-documents. Every word and every pair of adjacent words has its own exact count over all training documents, however
-rare; the uniform estimate shares its mass among the known words and one for all unknown ones.
-
-The `lexicon` most frequent words are numbered by a broadcast of that bounded size, so that a pair of them is one
-number; other words stand for themselves. The log probabilities of the `classes` ** 2 most frequent pairs come by a
-broadcast of that bounded size, those of all other pairs by a shuffled join. Both bounds change no result.
+documents. Every word and every pair of adjacent words has its own count over all training documents, however rare;
+the uniform estimate shares its mass among the known words and one for all unknown ones. A bucket holds the contexts
+seen equally often, so a weight learned for contexts of so many fitting occurrences serves those of as many
+occurrences in all training documents.
+
+Documents are coded once into blocks of so many tokens, a part (fitting, held-out, other) each to itself. A block asks
+for each of its distinct words and pairs once: the keys, sorted by hash, travel to the bucket that owns their range
+of hashes, the bucket adds up what all blocks hold, and answers each block in the order that it asked in, so no key
+travels back and no word or pair has its own row. Scores are then summed within blocks. A bucket holds a bounded
+number of distinct keys, whatever the corpus; its number grows with the tokens. Words are counted by their bytes,
+pairs by a 64-bit digest: among n distinct pairs two share a count with probability below n**2 / 2**65.
 
 A null text is the empty text: one end token. Repeated rows are scored each. Without training rows every count is
 0 and all scores are those of the empty model. Other columns of the input are not read.
@@ -15,22 +20,19 @@ A null text is the empty text: one end token. Repeated rows are scored each. Wit
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, least_frequent, remainder, table
+from .common import bounded_batches, durable, mix, remainder, table
 
-CLASSES = 2048
-LEXICON = 400_000
-FLUSH = 300_000
-TOKENS = 3_000_000
+BLOCK = 1_000_000  # tokens of a block; a longer text has a block of its own
+KEYS = 1_500_000  # tokens that one bucket stands for
 END = b""  # no word is empty
-PARTS = ["fit", "held", "other"]
-PAIR = ["key", "h", "w"]
+FIT, HELD, OTHER = range(3)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -38,120 +40,159 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, fit, held, other, n, train): occurrences in each part, in all of them, and in the training parts."""
+def squeezed(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def expanded(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_words(words: list[bytes]) -> bytes | None:
+    """Words as one compressed text; none as null, since the end alone is an empty text."""
+    return zstandard.ZstdCompressor(level=3).compress(b" ".join(words)) if words else None
 
-    def rows(seen: list[Counter]):
-        for part, counts in enumerate(seen):
-            n = pa.array(list(counts.values()), pa.int64())
-            none = pa.array(np.zeros(len(n), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(n if k == part else none for k in range(3))], ["word", *PARTS])
-            counts.clear()
+
+def unpacked_words(raw: bytes | None) -> list[bytes]:
+    return [] if raw is None else zstandard.ZstdDecompressor().decompress(raw).split(b" ")
+
+
+def coded_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(block, part, ids, sizes, n, words, codes): documents of one part, each one's number of tokens and their sum, the
+    distinct words (the end first), and every token's number among them. docs has doc_id, text and part."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        seen: list[Counter] = [Counter() for _ in PARTS]
+        from pyspark import TaskContext
+
+        task, number, id_type = TaskContext.get().partitionId() << 32, 0, None
+        fresh = lambda: ({END: 0}, [], [], [])  # noqa: E731  words, codes, ids, sizes
+        open_, filled = [fresh() for _ in (FIT, HELD, OTHER)], [0, 0, 0]
+
+        def closed(part):
+            nonlocal number
+            at, codes, ids, sizes = open_[part]
+            columns = [[task + number], [part], [ids], [sizes], [filled[part]], [packed_words(list(at))], [squeezed(np.concatenate(codes))]]
+            open_[part], filled[part], number = fresh(), 0, number + 1
+            kinds = [pa.int64(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "part", "ids", "sizes", "n", "words", "codes"])
+
         for batch in batches:
-            for text, part in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), strict=True):
-                seen[part].update(tokens(text))
-                if len(seen[part]) > FLUSH:
-                    yield from rows(seen)
-        yield from rows(seen)
+            id_type = batch.schema.field("doc_id").type
+            for doc_id, text, part in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["part"].to_pylist(), strict=True):
+                words = tokens(text)
+                if filled[part] and filled[part] + len(words) > block:
+                    yield closed(part)
+                filled[part] += len(words)
+                at, codes, ids, sizes = open_[part]
+                codes.append(np.fromiter((at.setdefault(w, len(at)) for w in words), np.uint32, len(words)))
+                ids.append(doc_id)
+                sizes.append(len(words))
+        for part in (FIT, HELD, OTHER):
+            if filled[part]:
+                yield closed(part)
 
-    counts = docs.select("text", "part").mapInArrow(run, "word binary, fit long, held long, other long").groupBy("word").agg(*(F.sum(c).alias(c) for c in PARTS))
-    return counts.withColumns({"n": F.col("fit") + F.col("held") + F.col("other"), "train": F.col("fit") + F.col("held")})
+    return docs.select("doc_id", "text", "part").mapInArrow(run, f"block long, part int, ids array<{kind}>, sizes array<long>, n long, words binary, codes binary")
 
 
-def coded(text: str | None, at: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The text's tokens, their numbers and those of their contexts, -1 for words outside the lexicon; an end stands
-    before the first word."""
-    words = tokens(text)
-    w = np.fromiter((at.get(x, -1) for x in words), np.int64, len(words))
-    return words, w, np.concatenate([w[-1:], w[:-1]])
+def pairs_of(words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(digest, context, word, n, of): a block's distinct pairs in order of their digests, an end standing before each
+    text's first word; words by number; `of` leads from each token to its pair."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    codes = codes.astype(np.int64)
+    pair, of, n = np.unique(np.concatenate([[0], codes[:-1]]) * len(words) + codes, return_inverse=True, return_counts=True)
+    context, word = pair // len(words), pair % len(words)
+    digest = mix(mix(hashes[context]) + hashes[word])
+    order = np.argsort(digest, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return digest[order], context[order], word[order], n[order], place[of]
 
 
-def rare_pair(words: list[bytes], j: int, h: int, w: int) -> tuple[int, bytes, bytes]:
-    """(key, h, w) of the pair at j with a word outside the lexicon: the key tells the number of the other one, which
-    is left out of h and w; -1 if both are outside."""
-    if h >= 0:
-        return -2 - 2 * h, END, words[j]
-    return (-3 - 2 * w, words[j - 1], END) if w >= 0 else (-1, words[j - 1], words[j])
+def word_order(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes in order, and which word each belongs to."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], order
 
 
-def numbers(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the context and the word of every key, -1 for those outside the lexicon."""
-    h = np.where(key >= 0, key // size, np.where(key % 2 == 0, (-2 - key) // 2, -1))
-    return h, np.where(key >= 0, key % size, np.where((key % 2 == 1) & (key < -1), (-3 - key) // 2, -1))
+def edges_of(digests: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range begins among sorted digests, and the end."""
+    return np.searchsorted((digests >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def bigram_counts(docs: DataFrame, lexicon) -> DataFrame:
-    """(key, h, w, fit, held, other, n): occurrences of every pair. The key of two words of the lexicon is the number of
-    the context times the lexicon's size plus the word's; see rare_pair for the others."""
+REQUEST = ["bucket", "block", "part", "words", "word_counts", "pairs", "pair_counts"]
+ANSWER = ["block", "bucket", "part", "words", "words_fit", "pairs", "pairs_fit", "v", "n", "n_fit"]
 
-    def run(batches):
-        at = lexicon.value
-        known: list[np.ndarray] = []
-        rare: Counter = Counter()
-        size = 0
-
-        def common_rows():
-            if known:
-                code, n = np.unique(np.concatenate(known), return_counts=True)
-                first = np.flatnonzero(np.diff(code // 3, prepend=-1))
-                counts = np.zeros((3, len(first)), np.int64)
-                counts[code % 3, np.cumsum(np.diff(code // 3, prepend=-1) != 0) - 1] = n
-                for i in range(0, len(first), 200_000):
-                    key = code[first[i : i + 200_000]] // 3
-                    none = pa.array([END] * len(key), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key), none, none, *(pa.array(c[i : i + 200_000]) for c in counts)], [*PAIR, *PARTS])
-                known.clear()
-
-        def rare_rows():
-            if rare:
-                part, key, h, w = zip(*rare, strict=True)
-                part, n = np.array(part), np.fromiter(rare.values(), np.int64, len(rare))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.binary()), pa.array(w, pa.binary()), *(pa.array(np.where(part == k, n, 0)) for k in range(3))], [*PAIR, *PARTS])
-                rare.clear()
 
+def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    """A row for every block and bucket: the words and pairs of that range that the block holds, and how often."""
+
+    def run(batches):
         for batch in batches:
-            for text, part in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), strict=True):
-                words, w, h = coded(text, at)
-                inside = (w >= 0) & (h >= 0)
-                known.append((h[inside] * len(at) + w[inside]) * 3 + part)
-                size += len(words)
-                for j in np.flatnonzero(~inside).tolist():
-                    rare[(part, *rare_pair(words, j, int(h[j]), int(w[j])))] += 1
-                if size > TOKENS:
-                    yield from common_rows()
-                    size = 0
-                if len(rare) > FLUSH:
-                    yield from rare_rows()
-        yield from common_rows()
-        yield from rare_rows()
-
-    schema = "key long, h binary, w binary, fit long, held long, other long"
-    counts = docs.select("text", "part").mapInArrow(run, schema).groupBy(*PAIR).agg(*(F.sum(c).alias(c) for c in PARTS))
-    return counts.withColumn("n", F.col("fit") + F.col("held") + F.col("other"))
-
-
-SIDES = ["h_fit", "h_train", "w_fit", "w_train"]
-
-
-def with_rare_sides(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """pairs with the counts of their words outside the lexicon; 0 stands for those that the lexicon has. The words
-    joined are rare, and the others are no join keys, so no key is frequent."""
-    inside = pairs.filter("key >= 0").withColumns({c: F.lit(0).cast("long") for c in SIDES})
-    rare = pairs.filter("key < 0")
-    no_word = lambda c: F.concat(F.lit(b" "), F.col(c))
-    rare = rare.withColumn("h_", F.when(F.expr("key % 2 <> 0"), F.col("h")).otherwise(no_word("w"))).withColumn("w_", F.when(F.expr("key = -1 OR key % 2 = 0"), F.col("w")).otherwise(no_word("h")))
-    for side in ("h", "w"):
-        rare = rare.join(vocabulary.select(F.col("word").alias(f"{side}_"), F.col("fit").alias(f"{side}_fit"), F.col("train").alias(f"{side}_train")), f"{side}_", "left")
-    return inside.unionByName(rare.drop("h_", "w_").fillna(0, SIDES))
-
-
-def sides(batch: pa.RecordBatch, lexicon: dict) -> list[np.ndarray]:
-    """SIDES of every pair of a batch, from the lexicon or as joined."""
-    h, w = numbers(batch["key"].to_numpy(), len(lexicon["fit"]))
-    return [np.where(i >= 0, lexicon[c[2:]][i], batch[c].to_numpy()) for c, i in zip(SIDES, (h, h, w, w), strict=True)]
+            for row in batch.to_pylist():
+                words, codes = unpacked_words(row["words"]), expanded(row["codes"], np.uint32)
+                digest, _, _, n, _ = pairs_of(words, codes)
+                hashes, order = word_order(words)
+                seen = np.bincount(codes, minlength=len(words))[order]
+                out = []
+                for b, (w0, w1, p0, p1) in enumerate(zip(*(e for x in (hashes, digest) for e in (edges_of(x, buckets)[:-1], edges_of(x, buckets)[1:])), strict=True)):
+                    if w1 > w0 or p1 > p0:
+                        keys = digest[p0:p1]
+                        out.append((b, packed_words([words[i] for i in order[w0:w1]]), squeezed(seen[w0:w1]), squeezed(np.diff(keys, prepend=np.uint64(0))), squeezed(n[p0:p1])))
+                b, *blobs = zip(*out, strict=True)
+                same = lambda x, k: pa.array([x] * len(b), k)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), same(row["block"], pa.int64()), same(row["part"], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], REQUEST)
+
+    return blocks.select("block", "part", "words", "codes").mapInArrow(run, "bucket int, block long, part int, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def totals(asked: pa.Table) -> pa.Table:
+    """The answers of one bucket: for each block, in its order, how often training (and its fitting part, where the block
+    is held out) has each word and pair; and one row without a block for the bucket's distinct and all training words."""
+    rows, at = asked.to_pylist(), {}
+    part = np.array([r["part"] for r in rows])
+    words = [np.fromiter((at.setdefault(w, len(at)) for w in unpacked_words(r["words"])), np.int64) for r in rows]
+    keys = [np.cumsum(expanded(r["pairs"], np.uint64), dtype=np.uint64) for r in rows]
+    _, pairs = np.unique(np.concatenate(keys), return_inverse=True)
+    out = []
+    for ends, of, kind in ((np.cumsum([0, *map(len, words)]), np.concatenate(words), "word_counts"), (np.cumsum([0, *map(len, keys)]), pairs, "pair_counts")):
+        n = np.concatenate([expanded(r[kind], np.int64) for r in rows])
+        parts = np.repeat(part, np.diff(ends))
+        size = int(of.max(initial=-1)) + 1
+        fit, held = (np.bincount(of[parts == k], n[parts == k], size).astype(np.int64) for k in (FIT, HELD))
+        out.append((ends, of, fit, fit + held))
+    (word_ends, word_of, word_fit, word_train), (pair_ends, pair_of, pair_fit, pair_train) = out
+    answers = []
+    for k, r in enumerate(rows):
+        w, p = word_of[word_ends[k] : word_ends[k + 1]], pair_of[pair_ends[k] : pair_ends[k + 1]]
+        held = r["part"] == HELD
+        answers.append((r["block"], r["bucket"], r["part"], squeezed(word_train[w]), squeezed(word_fit[w]) if held else None, squeezed(pair_train[p]), squeezed(pair_fit[p]) if held else None, None, None, None))
+    answers.append((None, rows[0]["bucket"], None, None, None, None, None, int((word_train > 0).sum()), int(word_train.sum()), int(word_fit.sum())))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*answers, strict=True), kinds, strict=True)], ANSWER)
+
+
+def answered(block: pa.Table, answers: pa.Table) -> tuple:
+    """(row, codes, pairs_of, words, pairs, words_fit, pairs_fit): one block with its words' and pairs' counts."""
+    row = block.to_pylist()[0]
+    words, codes = unpacked_words(row["words"]), expanded(row["codes"], np.uint32)
+    rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+    joined = lambda c: np.concatenate([expanded(r[c], np.int64) for r in rows]) if rows[0][c] is not None else None
+    order = word_order(words)[1]
+
+    def by_word(c):
+        found = joined(c)
+        if found is None:
+            return None
+        out = np.empty(len(words), np.int64)
+        out[order] = found
+        return out
+
+    return row, codes, pairs_of(words, codes), by_word("words"), joined("pairs"), by_word("words_fit"), joined("pairs_fit")
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -174,6 +215,25 @@ def em(b: np.ndarray, p: np.ndarray, count: np.ndarray, rounds: int) -> np.ndarr
     return weights
 
 
+def held_out_weights(blocks: DataFrame, answers: DataFrame, n_fit: int, n_words: int, rounds: int = 30) -> np.ndarray:
+    """The weights that EM finds on all held-out pairs. Pairs of one bucket whose bigram and unigram estimates agree
+    within an eighth of an octave count together, with their mean estimates: a bounded number of cells."""
+
+    def cells(block: pa.Table, found: pa.Table) -> pa.Table:
+        _, _, (_, h, w, n, _), _, _, words_fit, pairs_fit = answered(block, found)
+        p = pairs_fit / np.maximum(words_fit[h], 1), words_fit[w] / max(n_fit, 1)
+        cell = bucket(words_fit[h])
+        for x in p:
+            cell = cell * 1024 + np.where(x > 0, 1000 + np.floor(8 * np.log2(np.maximum(x, 1e-30))), 0).astype(np.int64)
+        cell, i = np.unique(cell, return_inverse=True)
+        return pa.table([pa.array(cell), *(pa.array(np.bincount(i, x, len(cell)).astype(float)) for x in (n.astype(float), n * p[0], n * p[1]))], ["cell", "n", "p1", "p2"])
+
+    got = blocks.filter(F.col("part") == HELD).groupBy("block").cogroup(answers.filter(F.col("part") == HELD).groupBy("block")).applyInArrow(cells, "cell long, n double, p1 double, p2 double")
+    got = got.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p1", "p2"))).sort("cell").toArrow()
+    cell, n, p1, p2 = (got[c].to_numpy() for c in ("cell", "n", "p1", "p2"))
+    return em(cell >> 20, np.stack([p1 / n, p2 / n, np.full(len(n), 1 / n_words)], axis=1), n, rounds)
+
+
 def learn_weights(pair: np.ndarray, fit: np.ndarray, held: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
     """(buckets, 3): weights of bigram, unigram and uniform estimates from `fit` that EM finds on `held`, for k words in
     memory and pair = k * context + word."""
@@ -189,129 +249,41 @@ def learn_weights(pair: np.ndarray, fit: np.ndarray, held: np.ndarray, k: int, r
 def log_matrix(pair: np.ndarray, n: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """log10 of the mixed probability of each of k words in memory after each."""
     context, word = np.bincount(pair // k, n, k), np.bincount(pair % k, n, k)
-    mix = weights[bucket(context)]
-    out = mix[:, 1:2] * (word / max(word.sum(), 1))[None, :] + mix[:, 2:3] / k
-    out[pair // k, pair % k] += mix[pair // k, 0] * n / np.maximum(context[pair // k], 1)
+    mixture = weights[bucket(context)]
+    out = mixture[:, 1:2] * (word / max(word.sum(), 1))[None, :] + mixture[:, 2:3] / k
+    out[pair // k, pair % k] += mixture[pair // k, 0] * n / np.maximum(context[pair // k], 1)
     return np.log10(out).astype(np.float32)
 
 
-def held_out_weights(pairs: DataFrame, lexicon, n_fit: int, n_words: int, rounds: int = 30) -> np.ndarray:
-    """The weights that EM finds on all held-out pairs. Pairs of one bucket whose bigram and unigram estimates agree
-    within an eighth of an octave count together, with their mean estimates: a bounded number of cells."""
-
-    def run(batches):
-        for batch in batches:
-            h_fit, _, w_fit, _ = sides(batch, lexicon.value)
-            held, fit = batch["held"].to_numpy().astype(float), batch["fit"].to_numpy()
-            p = fit / np.maximum(h_fit, 1), w_fit / max(n_fit, 1)
-            cell = bucket(h_fit)
-            for x in p:
-                cell = cell * 1024 + np.where(x > 0, 1000 + np.floor(8 * np.log2(np.maximum(x, 1e-30))), 0).astype(np.int64)
-            cells, i = np.unique(cell, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(np.bincount(i, x, len(cells)).astype(float)) for x in (held, held * p[0], held * p[1]))], ["cell", "n", "p1", "p2"])
-
-    got = pairs.filter("held > 0").select("key", "fit", "held", *SIDES).mapInArrow(run, "cell long, n double, p1 double, p2 double")
-    got = got.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p1", "p2"))).sort("cell").toArrow()
-    cell, n, p1, p2 = (got[c].to_numpy() for c in ("cell", "n", "p1", "p2"))
-    return em(cell >> 20, np.stack([p1 / n, p2 / n, np.full(len(n), 1 / n_words)], axis=1), n, rounds)
-
-
-def pair_scores(pairs: DataFrame, lexicon, weights: np.ndarray, n_all: int, v_all: int) -> DataFrame:
-    """(key, h, w, model, known, base): each pair's log10 probability and, where its word is outside the lexicon, whether
-    training has that word and its add-one log10 probability, else 0."""
-
-    def run(batches):
-        for batch in batches:
-            _, h_train, _, w_train = sides(batch, lexicon.value)
-            mix = weights[bucket(h_train)]
-            p = mix[:, 0] * batch["train"].to_numpy() / np.maximum(h_train, 1) + mix[:, 1] * w_train / max(n_all, 1) + mix[:, 2] / (v_all + 1)
-            rare = numbers(batch["key"].to_numpy(), len(lexicon.value["fit"]))[1] < 0
-            base = np.where(rare, np.log10((w_train + 1) / (n_all + v_all + 1)), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in PAIR), pa.array(np.log10(p)), pa.array((rare & (w_train > 0)).astype(np.int64)), pa.array(base)], [*PAIR, "model", "known", "base"])
-
-    ready = pairs.select(*PAIR, (F.col("fit") + F.col("held")).alias("train"), *SIDES)
-    return ready.mapInArrow(run, "key long, h binary, w binary, model double, known long, base double")
-
-
-def lm_scores(docs: DataFrame, train: str = "train", held: str = "held", classes: int = CLASSES, lexicon: int = LEXICON) -> DataFrame:
+def lm_scores(docs: DataFrame, train: str = "train", held: str = "held", block: int = BLOCK, keys: int = KEYS) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for docs with boolean columns that say which
     rows train the model and which of these are held out of the estimates while the weights are learned."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     bounded_batches(spark)
-    part = F.when(F.col(train), F.when(F.col(held), 1).otherwise(0)).otherwise(2)
-    docs = docs.select("doc_id", "text", F.col(train).alias("train"), part.alias("part"))
-    vocabulary = durable(word_counts(docs), "words")
-    total = vocabulary.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v"), F.sum("fit").alias("fit")).first()
-    n_all, v_all, n_fit = total["n"] or 0, total["v"], total["fit"] or 0
-    cut = least_frequent(vocabulary, "n", lexicon)
-    inside = (F.length("word") == 0) | (F.col("n") >= cut if cut is not None else F.lit(False))
-    top = vocabulary.filter(inside).select("word", "fit", "train").toArrow()
-    words = top["word"].to_pylist() or [END]
-    at = sc.broadcast({w: i for i, w in enumerate(words)})
-    counts = {c: top[c].to_numpy() if len(top) else np.zeros(1, np.int64) for c in ("fit", "train")}
-    sizes = sc.broadcast(counts)
-    del top, words
-
-    raw = durable(bigram_counts(docs, at), "pairs")
-    pairs = with_rare_sides(raw, vocabulary.filter(~inside))
-    weights = held_out_weights(pairs, sizes, n_fit, v_all + 1)
-    least = least_frequent(raw.filter("key >= 0"), "n", classes**2)
-    often = (F.col("key") >= 0) & (F.col("n") >= least if least is not None else F.lit(False))
-    lead = pair_scores(raw.filter(often).withColumns({c: F.lit(0).cast("long") for c in SIDES}), sizes, weights, n_all, v_all).select("key", F.col("model").cast("float").alias("model")).toArrow()
-    order = np.argsort(lead["key"].to_numpy())
-    model = sc.broadcast({
-        "key": np.append(lead["key"].to_numpy()[order], np.iinfo(np.int64).max),
-        "model": np.append(lead["model"].to_numpy()[order], np.float32(0)),
-        "base": np.append(np.log10((counts["train"] + 1) / (n_all + v_all + 1)), 0.0),
-        "known": np.append(counts["train"] > 0, False),
-    })
-    del lead, order
-    names = ["doc_id", "train", "n_tokens", "known", "base", "model", "rest"]
-
-    def run(batches):
-        m, of = model.value, at.value
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            key, length, rare, local = [], np.zeros(len(texts), np.int64), [], {}
-            known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for d, text in enumerate(texts):
-                words, w, h = coded(text, of)
-                length[d], known[d], base[d] = len(words), m["known"][w].sum(), m["base"][w].sum()
-                k = h * len(of) + w
-                for j in np.flatnonzero((w < 0) | (h < 0)).tolist():
-                    k[j] = -1 - local.setdefault(pair := rare_pair(words, j, int(h[j]), int(w[j])), len(rare))
-                    if len(local) > len(rare):
-                        rare.append(pair)
-                key.append(k)
-            key, doc = np.concatenate(key or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(texts)), length)
-            i = np.searchsorted(m["key"], key)
-            hit = m["key"][i] == key
-            flow = np.bincount(doc[hit], m["model"][i[hit]], len(texts)).astype(float)
-            key, doc = key[~hit], doc[~hit]
-            order = np.lexsort((key, doc))
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(doc, prepend=-1) != 0))
-            n = np.diff(first, append=len(key))
-            key, doc = key[first], doc[first]
-            h, w, out = [END] * len(key), [END] * len(key), key.copy()
-            for j in np.flatnonzero(key < 0).tolist():
-                out[j], h[j], w[j] = rare[-1 - key[j]]
-            pieces = pa.StructArray.from_arrays([pa.array(out), pa.array(h, pa.binary()), pa.array(w, pa.binary()), pa.array(n)], [*PAIR, "n"])
-            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32()), pieces)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["train"], *map(pa.array, (length, known, base, flow)), rest], names)
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, known long, base double, model double, rest array<struct<key:long,h:binary,w:binary,n:long>>"
-    rows = durable(docs.select("doc_id", "text", "train").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rest = (
-        rows.select("row", F.explode("rest").alias("r")).select("row", "r.*")
-        .join(pair_scores(pairs.filter(~often), sizes, weights, n_all, v_all), PAIR)
-        .groupBy("row").agg(*(F.sum(F.col("n") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "model")))
-    )
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return rows.drop("rest").join(rest, "row", "left").select(
-        "doc_id", "train", "n_tokens", add("known", "more_known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        add("base", "more_base").alias("base_score"), add("model", "more_model").alias("score"))
+    part = F.when(F.col(train), F.when(F.col(held), HELD).otherwise(FIT)).otherwise(OTHER)
+    blocks = durable(coded_blocks(docs.select("doc_id", "text", part.alias("part")), block), "blocks")
+    buckets = max(1, -(-(blocks.agg(F.sum("n").alias("n")).first()["n"] or 0) // keys))
+    kinds = "block long, bucket int, part int, words binary, words_fit binary, pairs binary, pairs_fit binary, v long, n long, n_fit long"
+    answers = durable(requests(blocks, buckets).groupBy("bucket").applyInArrow(totals, kinds), "answers")
+    total = answers.filter("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "n_fit"))).first()
+    n_all, v_all = total["n"], total["v"]
+    answers = answers.filter("block IS NOT NULL")
+    weights = held_out_weights(blocks, answers, total["n_fit"], v_all + 1)
+    id_type = docs.schema["doc_id"].dataType
+    names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def score(of: pa.Table, found: pa.Table) -> pa.Table:
+        row, codes, (_, h, w, _, pair_of), word_n, pair_n, _, _ = answered(of, found)
+        mixture = weights[bucket(word_n[h])]
+        p = mixture[:, 0] * pair_n / np.maximum(word_n[h], 1) + mixture[:, 1] * word_n[w] / max(n_all, 1) + mixture[:, 2] / (v_all + 1)
+        starts = np.cumsum([0, *row["sizes"][:-1]])
+        known, base, model = (np.add.reduceat(x, starts) for x in ((word_n > 0).astype(np.int64)[codes], np.log10((word_n + 1) / (n_all + v_all + 1))[codes], np.log10(p)[pair_of]))
+        same = lambda x, k: pa.array([x] * len(starts), k)
+        columns = [of["ids"].combine_chunks().flatten(), same(row["part"] != OTHER, pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(known), same(n_all, pa.int64()), pa.array(base), pa.array(model)]
+        return pa.table(columns, names)
+
+    schema = f"doc_id {id_type.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

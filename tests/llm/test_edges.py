@@ -62,8 +62,8 @@ def test_lm(spark, edge, empty, edge_rows):
                 counts[w] = counts.get(w, 0) + 1
     n, v = sum(counts.values()), len(counts)
     want = sorted(((i, len(lm.tokens(t)), sum(w in counts for w in lm.tokens(t)), n, round(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in lm.tokens(t)), 6)) for i, t in edge_rows), key=repr)
-    for lexicon in (400_000, 0):
-        got = lm.lm_scores(cut, classes=8, lexicon=lexicon).collect()
+    for block in (1_000_000, 50):
+        got = lm.lm_scores(cut, block=block, keys=5 * block).collect()
         assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=repr) == want
         assert all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got)
     assert lm.lm_scores(empty.withColumn("train", F.lit(True)).withColumn("held", F.lit(False))).count() == 0

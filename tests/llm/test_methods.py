@@ -86,8 +86,8 @@ def test_lm_counts_every_pair_of_words(spark):
     pair = np.arange(k * k)
     matrix = lm.log_matrix(pair, fit + held, lm.learn_weights(pair, fit, held, k), k).ravel()
     want = {i: float(matrix[pairs(t)].astype(float).sum()) for i, t in enumerate(texts)}
-    for classes, lexicon in ((2048, 400_000), (4, 400_000), (2, 5), (8, 0)):  # bounds on broadcasts change no score
-        got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, classes=classes, lexicon=lexicon).collect()}
+    for block, keys in ((1_000_000, 1_500_000), (100, 1_500_000), (1, 60), (200, 7)):  # sizes of blocks and buckets change no score
+        got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, block=block, keys=keys).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[i] - want[i]) < 1e-2 + 2e-3 * abs(want[i]) for i in want)
 
