@@ -6,13 +6,15 @@ conflict and `approximation` where it rests on a name alone.
 
 from __future__ import annotations
 
+import ast
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tensor import fail_unless
+from ..tensor import ShapeError, fail_unless
+from .reduce import placed
 
 FINDING = ["source", "row_key", "rule", "kind", "message", "axis"]
 
@@ -52,37 +54,98 @@ def spec_parts(spec: str) -> list[str]:
     return spec.replace(",", " ").split()
 
 
-def finding(source: str, key: Column, rule: str, kind: Column | str, message: Column, axis: Column | int | None) -> list[Column]:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    axis = axis if isinstance(axis, Column) else F.lit(axis)
-    return [F.lit(source).alias("source"), key.cast("string").alias("row_key"), F.lit(rule).alias("rule"), kind.alias("kind"), message.alias("message"), axis.cast("int").alias("axis")]
+def dim_value(text: str, bound: dict[str, Column]) -> Column | None:
+    """The size that an expression such as `n+1` or `2*n` of whole numbers and bound names stands for; None with a name
+    that no array binds."""
 
+    def value(x: ast.expr) -> Column | None:
+        if isinstance(x, ast.Constant) and isinstance(x.value, int):
+            return F.lit(x.value)
+        if isinstance(x, ast.Name):
+            return bound.get(x.id)
+        if isinstance(x, ast.BinOp) and type(x.op) in (ast.Add, ast.Sub, ast.Mult, ast.FloorDiv):
+            a, b = value(x.left), value(x.right)
+            if a is None or b is None:
+                return None
+            return {ast.Add: lambda: a + b, ast.Sub: lambda: a - b, ast.Mult: lambda: a * b, ast.FloorDiv: lambda: F.floor(a / F.nullif(b, F.lit(0)))}[type(x.op)]()
+        raise ShapeError(f"'{text}' is no size")
 
-def check_contract(df: DataFrame, key: str, column: str, spec: str, sizes: Column | None = None) -> DataFrame:
-    """Findings for rows whose sizes break a spec such as 'batch 64': an integer, `n=4`, `#n` (or size 1), `_`, a name, `...`."""
-    parts = spec_parts(spec)
-    fail_unless(parts.count("...") <= 1, "one ellipsis at most")
-    open_ = "..." in parts
-    rank = len(parts) - open_
+    try:
+        return value(ast.parse(text, mode="eval").body)
+    except SyntaxError:
+        raise ShapeError(f"'{text}' is no size") from None
+
+
+def nesting(df: DataFrame, column: str) -> int:
     depth, kind = 0, df.schema[column].dataType
     while isinstance(kind, T.ArrayType):
         depth, kind = depth + 1, kind.elementType
-    fail_unless(sizes is not None or depth > 0, f"{column} is no array column")
-    measured = sizes if sizes is not None else array_sizes(column, depth)
-    base = df.select(F.col(key).alias("k_"), measured.alias("s_"))
-    bad_rank = (F.size("s_") < rank) if open_ else (F.size("s_") != rank)
-    checks = [F.when(bad_rank, F.struct(F.lit(None).cast("int").alias("axis"), F.concat(F.lit(f"rank is not that of '{spec}': "), F.size("s_").cast("string")).alias("message")))]
-    at = parts.index("...") if open_ else len(parts)
-    for i, p in enumerate(parts):
-        want = p.split("=")[-1].lstrip("#")
-        if p == "..." or not want.isdigit():
+    return depth
+
+
+def check_contracts(df: DataFrame, key: str, specs: dict[str, str], sizes: dict[str, Column] | None = None) -> DataFrame:
+    """Findings for rows whose array columns break their specs, such as {'x': '*b n', 'w': '*b n+1'}.
+
+    A part of a spec is a whole number or `n=4` (that size), `_` (any), a name (one size wherever the row's arrays use
+    it), a sum, difference, product or whole quotient of names and numbers, `...` (any number of axes) or `*b` (any
+    number of axes, the same sizes wherever the row's arrays use it). After `#` the size 1 fits, too, and `#*b` stands
+    for sizes that broadcast with one another. A row whose rank does not fit its spec gives that finding alone for the
+    column and binds no name; null sizes break nothing.
+    """
+    sizes = sizes or {}
+    columns, base = {}, {}
+    for c, spec in specs.items():
+        parts = spec_parts(spec)
+        open_ = [i for i, p in enumerate(parts) if p == "..." or p.lstrip("#").startswith("*")]
+        fail_unless(len(open_) <= 1, f"'{spec}' leaves the rank open twice")
+        depth = nesting(df, c)
+        fail_unless(c in sizes or depth > 0, f"{c} is no array column")
+        base[c] = sizes.get(c, array_sizes(c, max(depth, 1)) if depth else None)
+        columns[c] = (spec, parts, open_[0] if open_ else None)
+    rows = df.select(F.col(key).alias("k_"), *(base[c].alias(f"s{i}_") for i, c in enumerate(specs)))
+    places: dict[str, list] = {}  # of each name: (column, axis, size, may be 1)
+    spans: dict[str, list] = {}  # of each group of axes
+    exact, rank_of = [], {}
+    for i, (c, (spec, parts, open_)) in enumerate(columns.items()):
+        s, rank = F.col(f"s{i}_"), len(parts) - (open_ is not None)
+        fits = F.size(s) >= rank if open_ is not None else F.size(s) == rank
+        rank_of[c] = fits
+        exact.append((c, None, ~fits, F.concat(F.lit(f"rank is not that of '{spec}': "), F.size(s).cast("string"))))
+        for k, p in enumerate(parts):
+            axis = k if open_ is None or k < open_ else k - len(parts)
+            loose, name = p.startswith("#"), p.lstrip("#")
+            if k == open_:
+                if name.startswith("*"):
+                    spans.setdefault(name[1:], []).append((c, F.when(fits, F.slice(s, F.lit(k + 1), F.greatest(F.size(s) - rank, F.lit(0)))), loose))
+            elif name != "_":
+                places.setdefault(name.split("=")[-1], []).append((c, axis, F.when(fits, size_at(s, axis)), loose))
+    bound: dict[str, Column] = {}
+    for name, uses in places.items():
+        if name.isidentifier():  # the first size that must hold, else the first that is not a stretched 1
+            bound[name] = F.coalesce(*(size for _, _, size, loose in uses if not loose), *(F.nullif(size, F.lit(1)) for _, _, size, loose in uses if loose), F.lit(None).cast("int"))
+    checks = list(exact)
+    for name, uses in places.items():
+        want = bound[name] if name in bound else dim_value(name, bound)
+        if want is None:
             continue
-        place = i if i < at else i - len(parts)
-        size = size_at(F.col("s_"), place)
-        wrong = (size != int(want)) & ((size != 1) if p.startswith("#") else F.lit(True))
-        checks.append(F.when(~bad_rank & wrong, F.struct(F.lit(place).cast("int").alias("axis"), F.concat(F.lit(f"size is not {want}: "), size.cast("string")).alias("message"))))
-    found = base.select("k_", F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("c"))
-    return found.select(*finding(column, F.col("k_"), "contract", "mismatch", F.col("c.message"), F.col("c.axis")))
+        for c, axis, size, loose in uses:
+            wrong = (size != want) & ((size != 1) if loose else F.lit(True))
+            text = f"size is not {name}: " if name.isdigit() else f"size is not {name} = "
+            says = F.concat(F.lit(text), size.cast("string")) if name.isdigit() else F.concat(F.lit(text), want.cast("string"), F.lit(": "), size.cast("string"))
+            checks.append((c, axis, wrong, says))
+    for name, uses in spans.items():
+        for j, (c, span, loose) in enumerate(uses):
+            for _, other, other_loose in uses[:j]:
+                wrong = F.exists(aligned_sizes(other, span), lambda p: (p["l"] != p["r"]) & (p["l"] != 1) & (p["r"] != 1)) if loose or other_loose else span != other
+                checks.append((c, None, wrong, F.concat(F.lit(f"sizes of *{name} differ: "), F.to_json(other), F.lit(" and "), F.to_json(span))))
+    found = F.array(*(F.when(wrong, F.struct(F.lit(c).alias("source"), F.lit(axis).cast("int").alias("axis"), message.alias("message"))) for c, axis, wrong, message in checks))
+    told = rows.select("k_", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).distinct()
+    return told.select(F.col("c.source").alias("source"), F.col("k_").cast("string").alias("row_key"), F.lit("contract").alias("rule"), F.lit("mismatch").alias("kind"), F.col("c.message").alias("message"), F.col("c.axis").alias("axis"))
+
+
+def check_contract(df: DataFrame, key: str, column: str, spec: str, sizes: Column | None = None) -> DataFrame:
+    """Findings for rows whose sizes break a spec such as 'batch 64'; see check_contracts."""
+    return check_contracts(df, key, {column: spec}, {} if sizes is None else {column: sizes})
 
 
 def bind_dims(observed: DataFrame) -> DataFrame:
@@ -96,13 +159,17 @@ def observed_sizes(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     return df.select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), sizes.alias("size"))).alias("o")).select("o.name", "o.size").dropna().distinct()
 
 
-def aligned(a: str, b: str) -> Column:
+def aligned_sizes(a: Column, b: Column) -> Column:
     """Right-aligned pairs of sizes, absent axes as 1."""
     n = F.greatest(F.size(a), F.size(b))
-    side = lambda x: F.reverse(F.concat(F.reverse(F.col(x)), F.array_repeat(F.lit(1), n - F.size(x))))
+    side = lambda x: F.concat(F.array_repeat(F.lit(1), n - F.size(x)), x)
     return F.zip_with(side(a), side(b), lambda x, y: F.struct(x.alias("l"), y.alias("r")))
 
 
+def aligned(a: str, b: str) -> Column:
+    return aligned_sizes(F.col(a), F.col(b))
+
+
 def broadcast_audit(ops: DataFrame, key: str = "op_id", left: str = "left_shape", right: str = "right_shape") -> DataFrame:
     """ops with `result` (null on a conflict) and `conflicts`, the axes counted from the left of the result."""
     pairs = aligned(left, right)
@@ -184,7 +251,8 @@ def worst(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
 
 def latency_stats(samples: DataFrame, scenario: str, value: str) -> DataFrame:
     """p50, p95 (nearest rank) and the largest, to one digit."""
-    at = lambda q: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)"), 1)
-    return samples.groupBy(scenario).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.max(value), 1).alias("max"))
+    rows = placed(samples.filter(F.col(value).isNotNull()).select(scenario, F.col(value).alias("v_")), [scenario], ["v_"])
+    at = lambda q: F.round(F.max(F.when(F.col("r_") == F.greatest(F.ceil(F.col("n_") * q), F.lit(1)) - 1, F.col("v_"))), 1)
+    return rows.groupBy(scenario).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.max("v_"), 1).alias("max"))
 
 

@@ -128,10 +128,11 @@ def masked_fill(t: Tensor, mask: Tensor, value: float) -> Tensor:
 def numbered(df: DataFrame, order: list, column: str) -> DataFrame:
     """df with a dense 0-based number in the given order, without gathering all rows in one task: sorted by range,
     numbered within partitions, and shifted by the counts of the partitions before."""
-    rows = durable(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    counts = rows.groupBy(part.alias("part")).count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("part", part).join(F.broadcast(counts.select("part", "before")), "part").withColumn(column, (place + F.col("before")).cast("long")).drop("at", "part", "before")
+    rows = durable(df.orderBy(*order).withColumn("row_at_", F.monotonically_increasing_id()))
+    part, place = F.shiftright("row_at_", 33), F.col("row_at_").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("row_part_")).count().withColumn("row_before_", F.coalesce(F.sum("count").over(Window.orderBy("row_part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = F.broadcast(counts.select("row_part_", "row_before_"))  # a row for each partition
+    return rows.withColumn("row_part_", part).join(counts, "row_part_").withColumn(column, (place + F.col("row_before_")).cast("long")).drop("row_at_", "row_part_", "row_before_")
 
 
 def masked_select(t: Tensor, mask: Tensor, dim: str = "i") -> Tensor:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as fold
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,15 +15,28 @@ FULL_ABOVE = 0.6
 
 
 def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hash): 64 bits of each row's other columns, equal keys together."""
+    """(keys, hash, rows): 64 bits of each row's other columns, equal keys together.
+
+    Hash functions pass nulls over, so (null, 5) would equal (5, null): the JSON text of the row, which names every
+    null, is hashed with the values.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.sum(F.xxhash64(*rest).cast("decimal(38,0)")).alias("hash"), F.count("*").alias("rows"))
+    row = F.xxhash64(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), *rest) if rest else F.lit(0).cast("long")
+    return df.groupBy(*keys).agg(F.sum(row.cast("decimal(38,0)")).alias("hash"), F.count("*").alias("rows"))
 
 
 def dirty_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The keys whose content is new, changed or gone."""
-    a, b = content_hash(old, keys).toDF(*keys, "h1", "n1"), content_hash(new, keys).toDF(*keys, "h2", "n2")
-    return a.join(b, keys, "full").filter(~(F.col("h1").eqNullSafe(F.col("h2")) & F.col("n1").eqNullSafe(F.col("n2")))).select(*keys)
+    a, b = content_hash(old, keys).toDF(*keys, "h_", "n_"), content_hash(new, keys).toDF(*keys, "h_", "n_")
+    both = a.withColumn("side_", F.lit(1)).unionByName(b.withColumn("side_", F.lit(2)))  # a null key is a key, too
+    same = (F.count("*") == 2) & (F.min("h_") == F.max("h_")) & (F.min("n_") == F.max("n_"))
+    return both.groupBy(*keys).agg(same.alias("same_")).filter("NOT same_").select(*keys)
+
+
+def of_keys(df: DataFrame, wanted: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows of df whose keys are (or, with left_anti, are not) among the wanted ones; nulls are keys like others."""
+    other = wanted.select(*(F.col(k).alias(f"{k}_of_") for k in keys)).distinct()
+    return df.join(other, fold(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_of_")) for k in keys)), how)
 
 
 def incremental_refresh(old: DataFrame, new: DataFrame, results: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], groups: DataFrame | None = None, full_above: float = FULL_ABOVE) -> DataFrame:
@@ -33,15 +47,15 @@ def incremental_refresh(old: DataFrame, new: DataFrame, results: DataFrame, keys
     """
     dirty = dirty_keys(old, new, keys)
     if groups is not None:
-        touched = groups.join(dirty, keys, "left_semi").select("group").distinct()
+        touched = of_keys(groups, dirty, keys).select("group").distinct()
         dirty = dirty.unionByName(groups.join(touched, "group", "left_semi").select(*keys)).distinct()
     dirty = durable(dirty)
     now = new.select(*keys).distinct()
-    total, bad = now.count(), now.join(dirty, keys, "left_semi").count()
+    total, bad = now.count(), of_keys(now, dirty, keys).count()
     if total and bad / total > full_above:
         return compute(new)
-    kept = results.join(dirty, keys, "left_anti").join(now, keys, "left_semi")
-    return kept.unionByName(compute(new.join(dirty, keys, "left_semi")))
+    kept = of_keys(of_keys(results, dirty, keys, "left_anti"), now, keys)
+    return kept.unionByName(compute(of_keys(new, dirty, keys)))
 
 
 def verify_incremental(incremental: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce as fold
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,15 +48,18 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
     return packed.select(*keys, F.aggregate(F.slice("h_", F.lit(2), F.size("h_")), F.col("h_")[0], lambda c, x: c * (1 - alpha) + x * alpha).alias(out))
 
 
-def while_loop(state: DataFrame, body: Callable[[DataFrame], DataFrame], go_on: Callable[[DataFrame, DataFrame], bool], most: int = 100) -> DataFrame:
-    """body applied until go_on(before, after) says no; every state is a written table, so lost executors cost one round."""
-    for _ in range(most):
+def while_loop(state: DataFrame, body: Callable[[DataFrame], DataFrame], go_on: Callable[[DataFrame, DataFrame], bool], most: int | None = None) -> DataFrame:
+    """body applied until go_on(before, after) says no; every state is a written table, so lost executors cost one round.
+
+    Where `most` rounds are stated and reached, it raises: an unfinished state is no result.
+    """
+    for _ in count() if most is None else range(most):
         after = durable(body(state))
         fail_unless(after.columns == state.columns, "the state's columns changed")
         if not go_on(state, after):
             return after
         state = after
-    return state
+    raise RuntimeError(f"the loop did not end within {most} rounds")
 
 
 def fori_loop(low: int, high: int, body: Callable[[int, DataFrame], DataFrame], state: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +28,48 @@ def asof_lookup(probes: DataFrame, bindings: DataFrame, keys: list[str], at: str
     return both.select("p_.*", F.when(complete, F.col("found_.b_")).alias(out))
 
 
-def innermost_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, width: int, row: list[str], id_: str = "scope_id") -> DataFrame:
-    """points with the narrowest half-open interval [start, end) of their key that holds them, the later start on ties.
+def innermost_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, row: list[str], width: float = 1, id_: str = "scope_id") -> DataFrame:
+    """points with the narrowest half-open interval [start, end) of their key that holds them: the later start, then the
+    smaller id on ties; null where none does.
 
-    Positions are bucketed by `width`, so the range join becomes an equi-join: an interval goes to the buckets that it
-    meets, those that span over 64 buckets to a coarser level of 64 times the width, and so on.
+    Positions fall into cells of `width`. An interval is cut into aligned blocks of 1, 4, 16, … cells that it covers
+    whole, at most six a level, and each block keeps its narrowest interval alone; a point then asks for one block of
+    each level. So the work is intervals and points times levels, however much intervals overlap. Cells that an interval
+    covers in part, its two ends where these are no multiples of the width, are compared one by one. `row` names the
+    columns that tell points apart.
     """
     fail_unless(width > 0, "width is not positive")
-    levels = 5
-    span = F.col("end") - F.col("start")
-    level = F.lit(levels - 1)
-    for k in range(levels - 2, -1, -1):
-        level = F.when(span <= width * 64 ** (k + 1), k).otherwise(level)
-    unit = F.element_at(F.array(*(F.lit(width * 64**k).cast("long") for k in range(levels))), (F.col("level_") + 1).cast("int"))
-    placed = intervals.filter("start < end").withColumn("level_", level).withColumn("unit_", unit)
-    placed = placed.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("start") / F.col("unit_")), F.floor((F.col("end") - 1) / F.col("unit_"))))).select(*keys, "level_", "bucket_", "start", "end", F.col(id_).alias("i_"))
-    asked = points.withColumn("level_", F.explode(F.array(*map(F.lit, range(levels))))).withColumn("unit_", unit).withColumn("bucket_", F.floor(F.col(at) / F.col("unit_"))).drop("unit_")
-    hits = asked.join(placed, [*keys, "level_", "bucket_"]).filter((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end")))
-    best = hits.groupBy(*row).agg(F.min_by("i_", F.struct((F.col("end") - F.col("start")).alias("w"), (-F.col("start")).alias("s"), "i_")).alias(id_))
-    return points.join(best, row, "left")
+    good = intervals.filter("start < end").select(*keys, "start", "end", F.struct((F.col("end") - F.col("start")).alias("w"), (-F.col("start")).alias("s"), F.col(id_).alias("i")).alias("best_"))
+    cell = lambda x: F.floor(x / F.lit(width)).cast("long")
+    first, last = F.ceil(F.col("start") / F.lit(width)).cast("long"), cell(F.col("end"))
+    good = good.withColumns({"a_": first, "b_": last})
+    longest = good.agg(F.max(F.col("b_") - F.col("a_")).alias("n")).first()["n"] or 1
+    levels = 1 + max(0, ceil(log(max(longest, 1), 4)))
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+
+    def run(low: Column, high: Column, level: int) -> Column:
+        """Blocks low to high - 1 of a level."""
+        return F.when(low < high, F.transform(F.sequence(low, high - 1), lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))).otherwise(none)
+
+    parts = []
+    for k in range(levels):
+        size, wider = 4**k, 4 ** (k + 1)
+        low, high = F.ceil(F.col("a_") / F.lit(size)).cast("long"), F.floor(F.col("b_") / F.lit(size)).cast("long")
+        if k == levels - 1:
+            parts.append(run(low, high, k))
+        else:
+            middle = F.least(high, 4 * F.ceil(F.col("a_") / F.lit(wider)).cast("long"))
+            parts += [run(low, middle, k), run(F.greatest(middle, 4 * F.floor(F.col("b_") / F.lit(wider)).cast("long")), high, k)]
+    placed = good.withColumn("o_", F.explode(F.concat(*parts))).select(*keys, F.col("o_.level").alias("level_"), F.col("o_.block").alias("block_"), "best_")
+    narrowest = placed.groupBy(*keys, "level_", "block_").agg(F.min("best_").alias("best_"))
+    place = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(cell(F.col("at_")) / F.lit(4**k)).cast("long").alias("block")) for k in range(levels)))
+    asked = points.select(*row, *(c for c in keys if c not in row), F.col(at).alias("at_"))
+    whole = asked.withColumn("o_", F.explode(place)).select("*", F.col("o_.level").alias("level_"), F.col("o_.block").alias("block_")).join(narrowest, [*keys, "level_", "block_"]).select(*row, "best_")
+    ends = F.array_distinct(F.filter(F.array(F.when(first * width != F.col("start"), cell(F.col("start"))), F.when(last * width != F.col("end"), last)), lambda x: x.isNotNull()))
+    cut = good.withColumn("cell_", F.explode(ends)).select(*keys, "cell_", "start", "end", "best_")
+    partly = asked.withColumn("cell_", cell(F.col("at_"))).join(cut, [*keys, "cell_"]).filter("start <= at_ AND at_ < end").select(*row, "best_")
+    best = whole.unionByName(partly).groupBy(*row).agg(F.min("best_").alias("best_"))
+    return points.join(best, row, "left").withColumn(id_, F.col("best_.i")).drop("best_")
 
 
 def reconcile_paths(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -71,12 +96,12 @@ def rename(sites: DataFrame, renames: DataFrame, scope: str = "scope_id", name:
     return sites.join(one, [scope, name], "left").withColumn(name, F.coalesce("new_", name)).select(*sites.columns)
 
 
-def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, group): the smallest node that edges reach. Labels spread to neighbours and jump to their label's label,
-    so long chains take few rounds; every round is a written table."""
+    so long chains take few rounds; every round is a written table, and rounds end when no label changes."""
     both = durable(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b), F.col(a)).toDF("node", "other")).dropna().distinct())
     labels = durable(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("group")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("group").alias("g_")), "other").groupBy("node").agg(F.min("g_").alias("g_"))
         met = labels.join(near, "node").select("node", F.least("group", "g_").alias("new_"), "group")
         jump = labels.select(F.col("node").alias("new_"), F.col("group").alias("far_"))
@@ -84,24 +109,27 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
         changed = after.filter(F.col("new_") != F.col("group")).isEmpty()
         labels = after.select("node", F.col("new_").alias("group"))
         if changed:
-            break
-    return labels
+            return labels
+
 
+def method_resolution(parents: DataFrame, values: DataFrame, node: str = "node", parent: str = "parent", value: str = "value") -> DataFrame:
+    """(node, value, depth): each node's own value or that of its nearest ancestor, however far; smaller values on ties.
 
-def method_resolution(parents: DataFrame, values: DataFrame, node: str = "node", parent: str = "parent", value: str = "value", depth: int = 32) -> DataFrame:
-    """(node, value, depth): each node's own value or that of its nearest ancestor; smaller values on ties. Cycles end at `depth`."""
+    A round climbs one step for the nodes still without a value; an ancestor that a node has met before is not met
+    again, so cycles end. Nodes without a value above them give no row.
+    """
     nodes = parents.select(F.col(node).alias("n_")).union(parents.select(parent)).union(values.select(node)).dropna().distinct()
-    reached = durable(nodes.select("n_", F.col("n_").alias("at_"), F.lit(0).alias("d_")))
-    own = values.groupBy(F.col(node).alias("at_")).agg(F.min(value).alias("v_"))
-    found = None
-    for d in range(depth + 1):
-        hit = reached.join(own, "at_").groupBy("n_").agg(F.min("v_").alias("v_")).withColumn("d_", F.lit(d))
+    reached = durable(nodes.select("n_", F.col("n_").alias("at_")))
+    own = durable(values.groupBy(F.col(node).alias("at_")).agg(F.min(value).alias("v_")))
+    up = durable(parents.select(F.col(node).alias("at_"), F.col(parent).alias("up_")).dropna().distinct())
+    met, found, depth = reached, None, 0
+    while not reached.isEmpty():
+        hit = durable(reached.join(own, "at_").groupBy("n_").agg(F.min("v_").alias("v_")).withColumn("d_", F.lit(depth)))
         found = hit if found is None else found.unionByName(hit)
         open_ = reached.join(hit.select("n_"), "n_", "left_anti")
-        up = parents.select(F.col(node).alias("at_"), F.col(parent).alias("up_")).dropna()
-        reached = durable(open_.join(up, "at_").select("n_", F.col("up_").alias("at_"), F.lit(d + 1).alias("d_")).distinct())
-        if reached.isEmpty():
-            break
+        steps = open_.join(up, "at_").select("n_", F.col("up_").alias("at_")).distinct()
+        reached, depth = durable(steps.join(met, ["n_", "at_"], "left_anti")), depth + 1
+        met = met.unionByName(reached)
+    if found is None:
+        found = values.select(F.col(node).alias("n_"), F.col(value).alias("v_"), F.lit(0).alias("d_")).limit(0)
     return found.select(F.col("n_").alias(node), F.col("v_").alias(value), F.col("d_").alias("depth"))
-
-

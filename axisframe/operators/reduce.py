@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce as fold
 from math import prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tensor import Tensor, fail_unless
@@ -16,7 +17,7 @@ def aggregates() -> dict[str, Column]:
     return {
         "sum": F.sum(v), "mean": F.avg(v), "max": F.max(v), "min": F.min(v), "ptp": F.max(v) - F.min(v), "prod": F.product(v.cast("double")),
         "std": F.stddev_pop(v), "var": F.var_pop(v), "std1": F.stddev_samp(v), "var1": F.var_samp(v), "all": F.bool_and(v.cast("boolean")), "any": F.bool_or(v.cast("boolean")),
-        "median": F.median(v), "count_nonzero": F.count_if(v.cast("double") != 0), "approx_distinct": F.approx_count_distinct(v),
+        "count_nonzero": F.count_if(v.cast("double") != 0), "approx_distinct": F.approx_count_distinct(v),
         "norm1": F.sum(F.abs(v)), "norm2": F.sqrt(F.sum(v * v)), "norminf": F.max(F.abs(v)),
     }
 
@@ -29,11 +30,14 @@ def reduced(t: Tensor, agg: Column, axis=None, keepdims: bool = False) -> Tensor
     gone = t.names(axis)
     kept = [d for d in t.dims if d not in gone]
     out = t.df.groupBy(*kept).agg(agg.alias("value"))
-    if not keepdims:
-        return Tensor(out, kept, [t.size(d) for d in kept], None)
-    for d in gone:
-        out = out.withColumn(d, F.lit(0).cast("long"))
-    return Tensor(out.select(*t.dims, "value"), t.dims, [1 if d in gone else t.size(d) for d in t.dims], None)
+    small = Tensor(out, kept, [t.size(d) for d in kept], None)
+    return with_ones(small, t.dims, gone) if keepdims else small
+
+
+def with_ones(t: Tensor, dims, gone: list[str]) -> Tensor:
+    """t with the dims that a reduction took away, of size 1."""
+    out = t.df.withColumns({d: F.lit(0).cast("long") for d in gone})
+    return Tensor(out.select(*dims, "value"), dims, [1 if d in gone else t.size(d) for d in dims], None)
 
 
 def reduce(t: Tensor, how: str, axis=None, keepdims: bool = False, ddof: int = 0) -> Tensor:
@@ -45,6 +49,9 @@ def reduce(t: Tensor, how: str, axis=None, keepdims: bool = False, ddof: int = 0
         fail_unless(ddof == 1, "ddof is 0 or 1")
         how += "1"
     aggs = aggregates()
+    if how == "median":
+        out = quantile(t, 0.5, gone)
+        return out if not keepdims else with_ones(out, t.dims, gone)
     fail_unless(how in aggs, f"unknown reduction {how}")
     if how == "mean" and t.fill == 0 and t.sizes.count(None) == 0:
         return reduced(t, F.sum("value") / float(prod(t.size(d) for d in gone)), axis, keepdims)
@@ -88,30 +95,44 @@ def quantile(t: Tensor, q, axis=None, dim: str = "q") -> Tensor:
     many = not isinstance(q, (int, float))
     fail_unless(all(0 <= x <= 1 for x in (q if many else [q])), "shares lie from 0 to 1")
     t = t.dense()
+    gone = t.names(axis)
+    rest = [d for d in t.dims if d not in gone]
+    sizes = [t.size(d) for d in rest]
+    shares = [float(x) for x in (q if many else [q])]
+    rows = placed(t.df.filter("value IS NOT NULL"), rest, ["value"])
+    asked = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), (F.lit(x) * (F.col("n_") - 1)).alias("at")) for i, x in enumerate(shares))))
+    near = rows.withColumn("q_", asked).filter(F.abs(F.col("r_") - F.col("q_.at")) < 1)  # the one or two values around
+    share = F.sum(F.col("value") * (1 - F.abs(F.col("r_") - F.col("q_.at"))))
+    out = near.groupBy(F.col("q_.i").alias(dim), *rest).agg(share.alias("value"))
     if not many:
-        return reduced(t, F.percentile("value", float(q)), axis)
-    out = reduced(t, F.percentile("value", [float(x) for x in q]), axis)
-    df = out.df.select(*out.dims, F.posexplode("value").alias(dim, "value")).withColumn(dim, F.col(dim).cast("long"))
-    return Tensor(df.select(dim, *out.dims, "value"), (dim, *out.dims), (len(q), *out.sizes), None)
+        return Tensor(out.select(*rest, "value"), rest, sizes, None)
+    return Tensor(out.select(dim, *rest, "value"), (dim, *rest), (len(shares), *sizes), None)
 
 
 def percentile(t: Tensor, q, axis=None) -> Tensor:
     return quantile(t, q / 100 if isinstance(q, (int, float)) else [x / 100 for x in q], axis)
 
 
-def ordered(t: Tensor, axis: str | int, descending: bool = False):
-    d = t.name(axis)
-    value = F.desc("value") if descending else F.asc("value")
-    return d, Window.partitionBy(*t.others(d)).orderBy(value, F.asc(d))
+def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with each row's 0-based rank within its keys (`r_`) and their number of rows (`n_`), from one sort by ranges of
+    keys and order: no task holds a whole group."""
+    rows = numbered(df, [*keys, *order], "r_")
+    own = [f"{k}_own_" for k in keys]
+    starts = rows.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.min("r_").alias("first_"), F.count("*").alias("n_"))
+    if keys:
+        both = rows.join(starts, fold(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True))))
+    else:
+        both = rows.crossJoin(F.broadcast(starts))
+    return both.withColumn("r_", F.col("r_") - F.col("first_")).drop("first_", *own)
 
 
 def kth_value(t: Tensor, k: int, axis: str | int) -> tuple[Tensor, Tensor]:
     """(values, indices) of the k-th smallest along a dim, counted from 1."""
     t = t.dense()
-    d, w = ordered(t, axis)
+    d = t.name(axis)
     n = t.size(d)
     fail_unless(k >= 1 and (n is None or k <= n), f"k = {k} of size {n}")
-    return pair_of(t, d, t.df.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k))
+    return pair_of(t, d, placed(t.df, t.others(d), ["value", d]).filter(F.col("r_") == k - 1))
 
 
 def pair_of(t: Tensor, d: str, hit: DataFrame) -> tuple[Tensor, Tensor]:
@@ -123,9 +144,8 @@ def pair_of(t: Tensor, d: str, hit: DataFrame) -> tuple[Tensor, Tensor]:
 def lower_median(t: Tensor, axis: str | int) -> tuple[Tensor, Tensor]:
     """(values, indices): the lower of the two middles."""
     t = t.dense()
-    d, w = ordered(t, axis)
-    size = F.count("*").over(Window.partitionBy(*t.others(d)))
-    return pair_of(t, d, t.df.withColumn("r", F.row_number().over(w)).withColumn("n", size).filter(F.col("r") == F.floor((F.col("n") + 1) / 2)))
+    d = t.name(axis)
+    return pair_of(t, d, placed(t.df, t.others(d), ["value", d]).filter(F.col("r_") == F.floor((F.col("n_") - 1) / 2)))
 
 
 def mode(t: Tensor, axis: str | int) -> tuple[Tensor, Tensor]:

@@ -13,6 +13,7 @@ from .broadcast import binary, numbered
 from .reduce import aggregates
 from .reshape import flatten, pad
 
+SMALL = 1_000_000  # cells of a table that is sent to every task
 RUNNING = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min, "any": F.bool_or, "all": F.bool_and}
 
 
@@ -118,15 +119,24 @@ def ranks(t: Tensor, axis, kind: str = "rank", descending: bool = False, step: i
     return t.with_df(t.df.withColumn("value", forms[kind]()))
 
 
+def with_totals(df: DataFrame, keys: list, *totals: Column) -> DataFrame:
+    """df with aggregates of each row's group, combined on the map side before they are joined back, so that no task holds
+    a group, however large; without keys one row is sent to every task."""
+    if not keys:
+        return df.crossJoin(F.broadcast(df.agg(*totals)))
+    named = {f"g{i}_": k if isinstance(k, Column) else F.col(k) for i, k in enumerate(keys)}
+    rows = df.withColumns(named)
+    return rows.join(rows.groupBy(*named).agg(*totals), list(named)).drop(*named)
+
+
 def softmax(t: Tensor, axis=-1, log: bool = False, negative: bool = False) -> Tensor:
     """Exponentials over their sum along a dim, shifted by the largest; `negative` gives softmin."""
     t = t.dense()
-    d = t.name(axis)
-    w = Window.partitionBy(*t.others(d))
+    keys = t.others(axis)
     x = -F.col("value") if negative else F.col("value")
-    shifted = t.df.withColumn("x_", x - F.max(x).over(w))
-    total = F.sum(F.exp("x_")).over(w)
-    return t.with_df(shifted.withColumn("value", F.col("x_") - F.log(total) if log else F.exp("x_") / total))
+    shifted = with_totals(t.df.withColumn("x_", x), keys, F.max("x_").alias("top_")).withColumn("x_", F.col("x_") - F.col("top_"))
+    whole = with_totals(shifted, keys, F.sum(F.exp("x_")).alias("total_"))
+    return t.with_df(whole.withColumn("value", F.col("x_") - F.log("total_") if log else F.exp("x_") / F.col("total_")))
 
 
 def normalise(t: Tensor, axis, eps: float = 1e-5, kind: str = "standard", group: Column | None = None) -> Tensor:
@@ -137,15 +147,15 @@ def normalise(t: Tensor, axis, eps: float = 1e-5, kind: str = "standard", group:
     t = t.dense()
     gone = t.names(axis)
     keys = [F.col(d) for d in t.dims if d not in gone] + ([group] if group is not None else [])
-    w = Window.partitionBy(*keys)
     v = F.col("value")
     forms = {
-        "standard": lambda: (v - F.avg(v).over(w)) / F.sqrt(F.var_pop(v).over(w) + eps),
-        "rms": lambda: v / F.sqrt(F.avg(v * v).over(w) + eps),
-        "l2": lambda: v / F.greatest(F.sqrt(F.sum(v * v).over(w)), F.lit(eps)),
+        "standard": ([F.avg(v).alias("mean_"), F.var_pop(v).alias("var_")], (v - F.col("mean_")) / F.sqrt(F.col("var_") + eps)),
+        "rms": ([F.avg(v * v).alias("square_")], v / F.sqrt(F.col("square_") + eps)),
+        "l2": ([F.sum(v * v).alias("square_")], v / F.greatest(F.sqrt("square_"), F.lit(eps))),
     }
     fail_unless(kind in forms, f"unknown form {kind}")
-    return t.with_df(t.df.withColumn("value", forms[kind]()))
+    totals, value = forms[kind]
+    return t.with_df(with_totals(t.df, keys, *totals).withColumn("value", value))
 
 
 def group_norm(t: Tensor, groups: int, channel, axis, eps: float = 1e-5) -> Tensor:
@@ -264,10 +274,15 @@ def col2im(t: Tensor, image: tuple[int, int], size: tuple[int, int], stride: int
     return Tensor(inside.groupBy(*dims).agg(F.sum("value").alias("value")), dims, (*t.sizes[:-2], t.length(-2) // k, *image), 0.0)
 
 
+def sent(df: DataFrame, t: Tensor) -> DataFrame:
+    """df, sent to every task where t has at most SMALL cells."""
+    return F.broadcast(df) if prod(t.measured) <= SMALL else df
+
+
 def convolve(x: Tensor, kernel: Tensor, stride: int = 1, padding=0, dilation: int = 1, groups: int = 1, bias: Tensor | None = None) -> Tensor:
     """(…, C, spatial…) with a kernel (O, C / groups, spatial…): cross-correlation, as the array libraries have it.
 
-    The kernel is a small table that is sent to every task; products are summed per output cell.
+    A kernel of at most SMALL cells is sent to every task, a larger one is joined; products are summed per output cell.
     """
     spatial = kernel.rank - 2
     fail_unless(spatial >= 1 and x.rank >= spatial + 1, f"kernel of rank {kernel.rank} on rank {x.rank}")
@@ -275,7 +290,7 @@ def convolve(x: Tensor, kernel: Tensor, stride: int = 1, padding=0, dilation: in
     channels, outs = x.length(c), kernel.length(0)
     fail_unless(channels % groups == 0 and outs % groups == 0 and kernel.length(1) == channels // groups, f"{channels} channels, {groups} groups, kernel {kernel.measured}")
     k = kernel.df.toDF("o_", "c_", *(f"k{i}_" for i in range(spatial)), "w_")
-    both = x.df.withColumn("c_", F.col(c) % (channels // groups)).withColumn("g_", F.floor(F.col(c) / (channels // groups))).join(F.broadcast(k), "c_").filter(F.floor(F.col("o_") / (outs // groups)) == F.col("g_"))
+    both = x.df.withColumn("c_", F.col(c) % (channels // groups)).withColumn("g_", F.floor(F.col(c) / (channels // groups))).join(sent(k, kernel), "c_").filter(F.floor(F.col("o_") / (outs // groups)) == F.col("g_"))
     sizes = []
     for i, d in enumerate(space):
         n, w = x.length(d), kernel.length(2 + i)
@@ -297,7 +312,7 @@ def convolve_transposed(x: Tensor, kernel: Tensor, stride: int = 1, padding: int
     space, c = x.dims[-spatial:], x.dims[-spatial - 1]
     fail_unless(kernel.length(0) == x.length(c), f"{x.length(c)} channels, kernel {kernel.measured}")
     k = kernel.df.toDF("c_", "o_", *(f"k{i}_" for i in range(spatial)), "w_")
-    both = x.df.withColumnRenamed(c, "c_").join(F.broadcast(k), "c_")
+    both = x.df.withColumnRenamed(c, "c_").join(sent(k, kernel), "c_")
     sizes = []
     for i, d in enumerate(space):
         n = (x.length(d) - 1) * stride - 2 * padding + dilation * (kernel.length(2 + i) - 1) + output_padding + 1

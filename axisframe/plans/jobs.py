@@ -222,7 +222,7 @@ def d2_innermost_interval(spark, d):
     day = F.datediff("o_orderdate", F.lit("1995-01-01")).cast("long")
     scopes = table(spark, d, "orders").select(F.col("o_orderkey").alias("scope_id"), (F.col("o_custkey") % 10).alias("k"), day.alias("start"), (day + 1 + F.col("o_orderkey") % 400).alias("end"))
     points = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 10).alias("k"), ((F.col("c_custkey") * 37) % 2500).alias("at"))
-    return K.innermost_interval(points, scopes, ["k"], "at", 8, ["c_custkey"]).select("c_custkey", "scope_id")
+    return K.innermost_interval(points, scopes, ["k"], "at", ["c_custkey"]).select("c_custkey", "scope_id")
 
 
 @query("SELECT l_orderkey, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS l_returnflag FROM lineitem GROUP BY l_orderkey")

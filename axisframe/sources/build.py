@@ -22,13 +22,24 @@ def tensor_from_table(df: DataFrame, dims: dict[str, Column | str] | list[str],
     return Tensor(out, tuple(named), tuple((sizes or {}).get(d) for d in named), fill)
 
 
-def scan_corpus(spark: SparkSession, path: str, pattern: str = "*", skip: tuple[str, ...] = ("build", "target", "node_modules", "__pycache__", ".git")) -> DataFrame:
-    """(path, text): one row for each file below path whose name fits, each file once, build folders left out."""
+#: Folders that hold no sources of their own; those whose name starts with a dot are left out, too.
+SKIPPED = ("build", "dist", "node_modules", "site-packages", "target", "venv", "__pycache__")
+
+
+def scan_corpus(spark: SparkSession, path: str, pattern: str = "*", skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """(path, text): one row for each file below path whose name fits, each file once; folders below path that are hidden
+    or in `skip` are left out, whatever the folders above path are called.
+
+    Spark's readers never list names that start with a dot or an underscore.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    depth = len([x for x in root.split("/") if x])
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    for folder in skip:
-        named = named.filter(~F.col("path").contains(f"/{folder}/"))
-    return named.dropDuplicates(["path"])
+    steps = F.filter(F.split(F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/"), lambda x: x != "")
+    below = F.slice(steps, F.lit(depth + 1), F.greatest(F.size(steps) - depth - 1, F.lit(0)))
+    return named.filter(~F.exists(below, lambda x: x.isin(*skip) | x.startswith("."))).dropDuplicates(["path"])
 
 
 def write_diagnostics(findings: DataFrame, path: str, form: str = "parquet", mode: str = "append") -> None:

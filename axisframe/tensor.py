@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A grid of more cells, such as one over hashed keys, is refused rather than written out.
+MOST_CELLS = 10**13
+
+
 class ShapeError(ValueError):
     """Sizes that an operator refuses; raised before any Spark job."""
 
@@ -105,6 +109,8 @@ class Tensor:
         value = self.fill if fill is None else fill
         if not self.rank or value is None:
             return self
+        cells = prod(self.measured)
+        fail_unless(cells <= MOST_CELLS, f"{cells} cells of {dict(zip(self.dims, self.measured, strict=True))} are too many to write out; number the keys first")
         cells = grid(self.spark, dict(zip(self.dims, self.measured, strict=True)))
         return Tensor(cells.join(self.df, list(self.dims), "left").withColumn("value", F.coalesce("value", F.lit(value))).select(*self.dims, "value"), self.dims, self.measured, None)
 

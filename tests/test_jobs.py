@@ -1,15 +1,20 @@
 """Lookups, change processing, sources and streams on small tables."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from axisframe.operators import audit as Q
 from axisframe.operators import change as D
+from axisframe.operators import hof as H
 from axisframe.operators import linalg as A
 from axisframe.operators import lookup as K
+from axisframe.operators import reduce, window
 from axisframe.sources import build
 from axisframe.streaming import streams as T
+from axisframe.tensor import ShapeError
 
 
 def test_incremental_equals_fresh(spark):
@@ -87,3 +92,103 @@ def test_change_log_stream(spark, tmp_path):
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_samples_have_their_shape(spark, n):
     assert build.sample(spark, {"i": n, "j": 3}, "gumbel", seed=n).df.count() == 3 * n
+
+
+def test_nulls_in_content_and_keys_are_changes(spark):
+    schema = "k int, a int, b int"
+    old = spark.createDataFrame([(1, None, 5), (2, 1, 1), (None, 1, 1), (4, 2, None)], schema)
+    new = spark.createDataFrame([(1, 5, None), (2, 1, 1), (None, 2, 1), (4, 2, None)], schema)
+    assert sorted((r["k"] for r in D.dirty_keys(old, new, ["k"]).collect()), key=repr) == [1, None]
+    nested = [spark.createDataFrame([(1, v)], "k int, a array<int>") for v in ([None, 5], [5, None])]
+    assert D.dirty_keys(*nested, ["k"]).count() == 1
+    compute = lambda df: df.groupBy("k").agg(F.max("a").alias("a"))
+    for above in (0.6, 0.1):
+        got = D.incremental_refresh(old, new, compute(old), ["k"], compute, full_above=above)
+        assert D.verify_incremental(got, compute(new)).isEmpty()
+    assert D.dirty_keys(old, old.select("k", "a", "b"), ["k"]).isEmpty()
+
+
+def contract(spark, values, spec, kind="array<array<int>>"):
+    df = spark.createDataFrame(list(enumerate(values)), f"k int, x {kind}")
+    return sorted((int(r["row_key"]), r["axis"]) for r in Q.check_contract(df, "k", "x", spec).collect())
+
+
+def test_contracts_bind_names_within_a_row(spark):
+    two, three, wide = [[1, 2], [3, 4]], [[1, 2, 3]] * 3, [[1, 2, 3]] * 2
+    assert contract(spark, [two, three, wide], "n n") == [(2, 1)]
+    assert contract(spark, [two, three, wide], "n n+1") == [(0, 1), (1, 1)]
+    assert contract(spark, [two, wide, [[1, 2, 3]]], "#n n") == [(1, 0)]
+    assert contract(spark, [two, wide], "*b 2") == contract(spark, [two, wide], "... 2") == contract(spark, [two, wide], "#*b _ 2") == [(1, -1)]
+    assert contract(spark, [two], "n") == contract(spark, [two], "a b c") == contract(spark, [two], "*b 1 1 1") == [(0, None)]
+    assert contract(spark, [two, None], "n m") == []
+    for bad in ("... *b", "n n.x"):
+        with pytest.raises(ShapeError):
+            contract(spark, [two], bad)
+
+
+def test_contracts_bind_names_across_columns(spark):
+    rows = [(0, [[1, 2]], [[[1], [2]]]), (1, [[1, 2]], [[[1, 1], [2, 2]]]), (2, [[1]] * 3, [[[1]]])]
+    df = spark.createDataFrame(rows, "k int, x array<array<int>>, y array<array<array<int>>>")
+    got = lambda x, y: sorted((int(r["row_key"]), r["source"]) for r in Q.check_contracts(df, "k", {"x": x, "y": y}).collect())
+    assert got("a n", "a n _") == [(2, "y")]
+    assert got("*b", "*b m") == [(2, "y")]
+    assert got("#*b", "#*b m") == []
+    assert got("n m", "n m n") == [(1, "y"), (2, "y"), (2, "y")]
+
+
+def test_resolution_climbs_any_chain_and_ends_in_cycles(spark):
+    parents = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (103, 101), (103, 7)], "node int, parent int")
+    values = spark.createDataFrame([(0, "root"), (30, "b"), (30, "a")], "node int, value string")
+    got = {r["node"]: (r["value"], r["depth"]) for r in K.method_resolution(parents, values).collect()}
+    assert got == {k: ("root", k) for k in range(30)} | {k: ("a", k - 30) for k in range(30, 41)} | {103: ("root", 8)}
+    assert K.method_resolution(parents, values.limit(0)).count() == 0
+
+
+def test_loops_raise_where_their_bound_is_reached(spark):
+    state = spark.createDataFrame([(0,)], "n int")
+    more = lambda df: df.select((F.col("n") + 1).alias("n"))
+    assert H.while_loop(state, more, lambda _, after: after.first()["n"] < 3).first()["n"] == 3
+    with pytest.raises(RuntimeError):
+        H.while_loop(state, more, lambda _, after: True, most=2)
+
+
+def test_scan_corpus_skips_folders_below_its_root_only(spark, tmp_path):
+    root = tmp_path / "build" / "a corpus"
+    for name in ("a.py", "src/b.py", "build/c.py", ".venv/d.py", "x/site-packages/e.py", "src/notes.txt", "builder/f.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    assert sorted(r["text"] for r in build.scan_corpus(spark, str(root), "*.py").collect()) == ["a.py", "builder/f.py", "src/b.py"]
+    assert [r["text"] for r in build.scan_corpus(spark, f"file://{root}/src", "*.py").collect()] == ["src/b.py"]
+
+
+@pytest.mark.parametrize("width", [1, 0.5, 7])
+def test_innermost_interval_equals_brute_force(spark, width):
+    rng = random.Random(4)
+    for step in (1, 0.25):
+        spans = [(i, rng.randint(0, 2), a := rng.randint(-400, 900) * step, a + rng.choice([0, 1, 2, 3, 16, 64, 65, 200, 700]) * step) for i in range(160)]
+        points = [(i, rng.randint(0, 2), rng.randint(-420, 1500) * step) for i in range(150)] + [(900, None, 3.0), (901, 1, None)]
+        s = spark.createDataFrame([(i, k, float(a), float(b)) for i, k, a, b in spans], "scope_id int, k int, start double, end double")
+        p = spark.createDataFrame([(i, k, None if x is None else float(x)) for i, k, x in points], "id int, k int, x double")
+        got = {r["id"]: r["scope_id"] for r in K.innermost_interval(p, s, ["k"], "x", ["id"], width).collect()}
+        assert got == {i: min(((b - a, -a, j) for j, key, a, b in spans if x is not None and key == k and a <= x < b), default=(0, 0, None))[2] for i, k, x in points}
+    assert K.innermost_interval(p, s.limit(0), ["k"], "x", ["id"]).filter("scope_id IS NOT NULL").isEmpty()
+
+
+def test_order_statistics_of_whole_vectors_and_groups(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 40, (3, 57)).astype(float)
+    grid = build.array_literal(spark, x.tolist(), ["part", "at"])
+    vector = build.array_literal(spark, x[0].tolist(), ["at"])
+    value = lambda t: {tuple(r[d] for d in t.dims): r["value"] for r in t.df.collect()}
+    assert value(reduce.quantile(vector, 0.3)) == {(): pytest.approx(np.quantile(x[0], 0.3))}
+    assert value(reduce.quantile(grid, [0.0, 0.77, 1.0], "at")) == {(q, p): pytest.approx(np.quantile(x[p], s)) for q, s in enumerate((0.0, 0.77, 1.0)) for p in range(3)}
+    assert value(reduce.reduce(grid, "median", keepdims=True)) == {(0, 0): np.median(x)}
+    assert value(reduce.kth_value(vector, 5, "at")[0]) == {(): np.sort(x[0])[4]}
+    assert value(reduce.kth_value(grid, 5, "at")[1]) == {(p,): np.argsort(x[p], kind="stable")[4] for p in range(3)}
+    assert value(reduce.lower_median(vector, "at")[0]) == {(): np.sort(x[0])[28]}
+    got = value(window.softmax(vector))
+    want = np.exp(x[0] - x[0].max())
+    assert all(abs(got[(i,)] - v) < 1e-12 for i, v in enumerate(want / want.sum()))
+    assert "SinglePartition" not in window.softmax(vector).df.filter("value > 0")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    normal = value(window.normalise(grid, None, 0.0))
+    assert all(abs(normal[(p, i)] - (x[p, i] - x.mean()) / x.std()) < 1e-9 for p in range(3) for i in range(57))
