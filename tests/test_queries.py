@@ -43,7 +43,7 @@ def duck():
 
 @pytest.mark.parametrize("name", SOME)
 def test_query_equals_sql(spark, duck, name):
-    ours, theirs = catalogue.QUERIES[name](spark, DATA).toArrow(), duck.execute(catalogue.SQL[name]).fetch_arrow_table()
+    ours, theirs = catalogue.QUERIES[name](spark, DATA).toArrow(), duck.execute(catalogue.SQL[name]).to_arrow_table()
     assert sorted(ours.column_names) == sorted(theirs.column_names)
     assert rows(ours) == rows(theirs)
 
