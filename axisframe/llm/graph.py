@@ -23,7 +23,7 @@ def small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the component's smallest node, itself listed too."""
 
     def state(df):
@@ -32,9 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges = durable(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         edges = durable(small_star(large_star(edges)), "stars")
         now = state(edges)
         if now == before:

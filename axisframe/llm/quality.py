@@ -1,24 +1,26 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A document's terms are the trigrams of its byte classes (letters, digits, white space, each punctuation mark) and
-its repeated words and lines. Their tf-idf matrix over a bounded sample of labelled documents is reduced by a
-truncated singular value decomposition; the sample's vectors are broadcast, every document's cosines with all of
-them are computed exactly in blocks, and the nearest ones vote with their label, weighted by similarity and by how
-many labelled documents of its class each one stands for, so that the sample's bound does not shift the classes' balance.
+A document's terms are its words (A-Z in lower case), its pairs of adjacent words, and the trigrams of its bytes'
+classes (letters, digits, white space, each punctuation mark), all hashed into a fixed number of buckets. A pair of words
+is hashed by the difference of their hashes, so a word said again gives the same term whichever word it is. The tf-idf
+matrix over a bounded sample of labelled documents is reduced by a truncated singular value decomposition; the sample's
+vectors are broadcast, every document's cosines with all of them are computed exactly in blocks, and the nearest ones
+vote with their label, weighted by similarity and by how many labelled documents of its class each one stands for, so
+that the sample's bound does not shift the classes' balance. Vectors are stored as whole numbers, so products are the
+same in every block, and ties go to the sample's earlier row.
 
 A null, empty or unreadable text has a zero vector, no neighbours, and scores the share of good ones among all labelled
-documents.
-Repeated rows score alike. Without labelled rows every score is 1: nothing speaks against a document. Empty tables
-give no rows; other columns of the input are not read.
+documents. Repeated rows score alike. Without labelled rows every score is 1: nothing speaks against a document. Empty
+tables give no rows; other columns of the input are not read. A word of more than PART bytes counts as several.
 """
 
 from __future__ import annotations
 
 from functools import partial
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,79 +31,119 @@ PER_CLASS = 1500
 RANK = 48
 NEIGHBOURS = 15
 BLOCK = 256
-SAME_WORD, SAME_LINE = 32 << 10, (32 << 10) + 1
-TERMS = (32 << 10) + 2
+BITS = 16  # of a term's bucket
+UNIT = 1 << 19  # what 1 is in a stored vector
+WORD, PAIR, SHAPE = (np.uint32(k * 0x3C6EF372 & 0xFFFFFFFF) for k in (1, 2, 3))
 CLASS = np.full(256, 30, np.uint8)  # other controls and marks
 for _at, _marks in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", bytes(range(128, 256)), b"\t\r\x0b\x0c", *(bytes([c]) for c in b"!#$%&*+,-./:;<=>?@|~_'"), b"\"()[]{}`^\\"]):
     CLASS[list(_marks)] = _at
 PART = 1 << 20
 
 
+def bucket_of(hashes: np.ndarray, kind: np.uint32) -> np.ndarray:
+    mixed = hashes + kind
+    mixed ^= mixed >> np.uint32(15)
+    return (mixed * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+
+
+def term_parts(raw: bytes):
+    """The buckets of a text's terms, a bounded part of the text at a time."""
+    at, last = 0, None
+    while at < len(raw):
+        end = len(raw)
+        if end - at > PART:
+            end = max(raw.rfind(b" ", at, at + PART), raw.rfind(b"\n", at, at + PART))
+            end = end if end > at else at + PART
+        c = CLASS[np.frombuffer(raw[at : min(end + 2, len(raw))], np.uint8)].astype(np.uint32)
+        words = np.array([*last.tolist(), *map(xxhash.xxh32_intdigest, raw[at:end].lower().split())] if last is not None else [*map(xxhash.xxh32_intdigest, raw[at:end].lower().split())], np.uint32)
+        own = words if last is None else words[len(last) :]
+        yield np.concatenate([bucket_of((c[:-2] << np.uint32(10)) + (c[1:-1] << np.uint32(5)) + c[2:], SHAPE) if len(c) > 2 else c[:0], bucket_of(own.copy(), WORD), bucket_of(words[1:] - words[:-1], PAIR)])
+        at, last = end, words[-1:]
+
+
 def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The text's terms and their frequencies per thousand bytes (repeats: per thousand words or lines)."""
+    """The buckets of the text's terms and their frequencies per thousand bytes."""
     raw = text.encode()
-    if not raw:
-        return np.zeros(0, np.int64), np.zeros(0)
-    counts = np.zeros(TERMS)
-    for at in range(0, max(1, len(raw) - 2), PART):
-        c = CLASS[np.frombuffer(raw[at : at + PART + 2], np.uint8)].astype(np.int32)
-        if len(c) > 2:
-            counts[: 32 << 10] += np.bincount((c[:-2] << 10) + (c[1:-1] << 5) + c[2:], minlength=32 << 10)
-    words, lines = text.split(), text.split("\n")
-    counts *= 1000 / len(raw)
-    counts[SAME_WORD] = 1000 * sum(map(eq, words, words[1:])) / max(1, len(words))
-    counts[SAME_LINE] = 1000 * (len(lines) - len(set(lines))) / len(lines)
-    found = np.flatnonzero(counts)
-    return found, counts[found]
-
-
-def vector(text: str, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    found, n = terms(text)
-    v = (np.log1p(n) * idf[found]) @ basis[found]
+    parts = [np.unique(p, return_counts=True) for p in term_parts(raw)]
+    if len(parts) == 1:
+        found, n = parts[0]
+    else:
+        counts = np.zeros(1 << BITS)
+        for f, k in parts:
+            counts[f] += k
+        found = np.flatnonzero(counts)
+        n = counts[found]
+    return found.astype(np.int64), n * (1000 / max(1, len(raw)))
+
+
+def weighted(found: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return np.log1p(n) * idf[found]
+
+
+def latent(found: np.ndarray, n: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The unit vector of a document's terms in the latent space, as whole numbers of 1 / UNIT; zero without terms."""
+    v = weighted(found, n, idf) @ basis[found]
     size = np.linalg.norm(v)
-    return v / size if size > 0 else v
+    return np.round(v * (UNIT / size)) if size > 0 else np.zeros(basis.shape[1])
+
+
+def term_basis(rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, seed: int) -> np.ndarray:
+    """(width, rank): the right singular vectors of the sparse unit rows (columns, values) with the largest singular values,
+    by subspace iteration from random directions."""
+
+    def times(m: np.ndarray) -> np.ndarray:
+        return np.stack([v @ m[f] for f, v in rows])
 
+    def transposed_times(m: np.ndarray) -> np.ndarray:
+        out = np.zeros((width, m.shape[1]), np.float32)
+        for (f, v), x in zip(rows, m, strict=True):
+            out[f] += np.outer(v, x)
+        return out
 
-def train(texts: list[str], y: list[int], totals: list[int] | None = None, rank: int = RANK, seed: int = 3) -> dict | None:
-    """idf and basis of the latent space, the sample's unit vectors, labels and weights, and the share of label 1.
+    start = np.random.default_rng(seed).normal(size=(width, min(rank + 16, width, len(rows)))).astype(np.float32)
+    q = np.linalg.qr(times(start))[0]
+    for _ in range(3):
+        q = np.linalg.qr(times(transposed_times(q)))[0]
+    return np.linalg.svd(transposed_times(q).T, full_matrices=False)[2][:rank].T
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], totals: list[int] | None = None, rank: int = RANK, seed: int = 3) -> dict | None:
+    """idf and basis of the latent space, the sample's vectors, labels and weights, and the share of label 1, from the
+    sample's terms.
 
     totals: how many documents of each class the sample stands for; its own numbers where None.
     """
-    if not texts:
-        return None
-    found = [terms(t) for t in texts]
-    used = np.unique(np.concatenate([f for f, _ in found]))
+    df = np.zeros(1 << BITS)
+    for f, _ in rows:
+        df[f] += 1
+    used = np.flatnonzero(df)
     if not len(used):
         return None
-    x = np.zeros((len(texts), len(used)), np.float32)
-    for row, (f, n) in zip(x, found, strict=True):
-        row[np.searchsorted(used, f)] = np.log1p(n)
-    idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))) + 1
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rank = min(rank, *x.shape)
-    q = np.linalg.qr(x @ np.random.default_rng(seed).normal(size=(x.shape[1], min(rank + 16, *x.shape))).astype(np.float32))[0]
-    for _ in range(3):  # subspace iteration towards the largest singular vectors
-        q = np.linalg.qr(x @ (x.T @ q))[0]
-    basis = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T
-    full_idf, full_basis = np.zeros(TERMS, np.float32), np.zeros((TERMS, rank), np.float32)
-    full_idf[used], full_basis[used] = idf, basis
-    sample = np.stack([vector(t, full_idf, full_basis) for t in texts]).astype(np.float32)
+    idf = np.zeros(1 << BITS, np.float32)
+    idf[used] = np.log((1 + len(rows)) / (1 + df[used])) + 1
+    units = []
+    for f, n in rows:
+        v = weighted(f, n, idf)
+        units.append((np.searchsorted(used, f), (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)))
+    found = term_basis(units, len(used), rank, seed)
+    basis = np.zeros((1 << BITS, found.shape[1]), np.float32)
+    basis[used] = found
     sampled = np.bincount(y, minlength=2)
     all_ = sampled if totals is None else np.array(totals)
     weight = (all_ / np.maximum(sampled, 1))[np.array(y)]
-    return {"idf": full_idf, "basis": full_basis, "sample": sample, "y": np.array(y, np.float32), "weight": weight, "share": float(all_[1] / all_.sum())}
+    return {"idf": idf, "basis": basis, "sample": np.stack([latent(f, n, idf, basis) for f, n in rows]), "y": np.array(y, float), "weight": weight, "share": float(all_[1] / all_.sum())}
 
 
 def votes(model: dict, v: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Scores of a block of unit vectors: mean label of each one's nearest sample vectors, weighted by similarity and by
-    what each stands for."""
+    """Scores of a block of stored vectors: mean label of each one's nearest sample vectors, weighted by similarity and by
+    what each stands for. Products of whole numbers are exact, so a row's score does not depend on its block."""
     cos = v @ model["sample"].T
+    room = 1 << max(1, (cos.shape[1] - 1).bit_length())
+    key = cos * room + (room - 1 - np.arange(cos.shape[1]))  # no two alike; below 2 ** 53
     k = min(neighbours, cos.shape[1])
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(float)
-    if "weight" in model:
-        w *= model["weight"][near]
+    near = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(key, near, axis=1), axis=1), axis=1)
+    w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) / UNIT**2 * model["weight"][near]
     total = w.sum(axis=1)
     return np.where(total > 0, np.clip((w * model["y"][near]).sum(axis=1) / np.maximum(total, 1e-12), 0, 1), model["share"])
 
@@ -111,7 +153,7 @@ def scores(model: dict | None, texts: list[str]) -> list[float]:
         return [1.0] * len(texts)
     out: list[float] = []
     for at in range(0, len(texts), BLOCK):
-        out += votes(model, np.stack([vector(t, model["idf"], model["basis"]) for t in texts[at : at + BLOCK]]).astype(np.float32)).tolist()
+        out += votes(model, np.stack([latent(*terms(t), model["idf"], model["basis"]) for t in texts[at : at + BLOCK]])).tolist()
     return out
 
 
@@ -128,8 +170,8 @@ def quality_scores(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
-    """Fitted on at most per_class labelled documents of each class, which stand for all of their class."""
-    return fitted(docs, labels, "quality", per_class, partial(train, totals=class_totals(docs, labels, "quality")))
+    """Fitted on a bounded sample of labelled documents of each class, which stand for all of their class."""
+    return fitted(docs, labels, "quality", per_class, terms, partial(train, totals=class_totals(docs, labels, "quality")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Toxicity by subword bags: embeddings of character n-grams averaged into a linear softmax, trained jointly in numpy.
 
 A bag is a window of words; a document is as toxic as its most toxic window, so a few words in a long text are not
-averaged away. Which window of a toxic document is toxic is learned in turns: the model picks each document's
-highest windows, and is fitted again on them. A misspelling shares most character n-grams with the word it hides.
+averaged away, and its score is the softmax's probability of that window. Which window of a toxic document is toxic is
+learned in turns: the model picks each document's highest windows, and is fitted again on them. A misspelling shares
+most character n-grams with the word it hides.
 
 A null or empty text has no window and scores 0. Repeated rows score alike. Without labelled rows of both classes
 every score is 0. Empty tables give no rows; other columns of the input are not read. Texts longer than PART bytes
-are read in parts cut at white space.
+are read in parts cut at white space, with windows across the cuts; the margins are whole numbers of 2 ** -SHIFT, so
+that parts change no sum.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,33 +25,31 @@ from .labelled import fitted
 
 BUCKETS = 1 << 17
 SIDE = 8  # embedding width
-WINDOW, STRIDE = 8, 4  # words
+WINDOW = 8  # words
 PER_CLASS = 1500
-TURNS, TURN = 4, 25  # choices of windows, and steps on each
+TURNS, TURN = 6, 25  # choices of windows, and steps on each
 PART = 1 << 18
+SHIFT = 24
 STEPS = np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x9E3779B1], dtype=np.uint32)
-LEET = bytes.maketrans(b"013457@", b"oieasta")
 LEAST = 64  # n-grams of a bag; shorter bags are filled with grams of value 0
+BREAK = re.compile(rb"\s")
 
 
 def parts_of(text: str) -> list[bytes]:
-    """The lower-case text as UTF-8, in parts of at most PART bytes that end at white space where there is some."""
-    raw, out = text.lower().encode(), []
-    while len(raw) > PART:
-        at = max(raw.rfind(b" ", 0, PART), raw.rfind(b"\n", 0, PART))
-        at = at if at > 0 else PART
-        out.append(raw[:at])
-        raw = raw[at:]
-    return [*out, raw]
+    """The lower-case text as UTF-8, in parts that end at the first white space after PART bytes; every part after the
+    first starts with the last WINDOW - 1 words before it, so that each window lies whole in one part."""
+    raw, out, before = text.lower().encode(), [], b""
+    while len(raw) > PART and (found := BREAK.search(raw, PART)):
+        words = raw[: found.start()].split()
+        out.append(before + raw[: found.start()])
+        before = b" ".join([*before.split(), *words][1 - WINDOW :]) + b" "
+        raw = raw[found.start() :]
+    return [*out, before + raw]
 
 
 def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Buckets of all character n-grams of 3 to 5 bytes that lie in one word with its bounds; each one's word; number of words.
-
-    A word that follows itself counts once, and digits that stand for letters are read as these.
-    """
-    words = raw.translate(LEET).split()
-    words = [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+    """Buckets of all character n-grams of 3 to 5 bytes that lie in one word with its bounds; each one's word; number of words."""
+    words = raw.split()
     b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     space = b == 32
     word = np.cumsum(space) - 1
@@ -67,27 +69,25 @@ def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def gathered(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """grams of all parts of each text; the arrays are slices of two, sized beforehand and as narrow as the numbers allow."""
-    room = 3 * sum(len(raw) + 2 for t in texts for raw in parts_of(t))
+    """grams of each text; the arrays are slices of two, sized beforehand and as narrow as the numbers allow."""
+    room = 3 * sum(len(t.lower().encode()) + 2 for t in texts)
     buckets, of, end, out = np.empty(room, np.int32), np.empty(room, np.int32), 0, []
     for t in texts:
-        start, n = end, 0
-        for raw in parts_of(t):
-            b, w, words = grams(raw)
-            buckets[end : end + len(b)] = b
-            of[end : end + len(b)] = w + n
-            end, n = end + len(b), n + words
-        out.append((buckets[start:end], of[start:end], n))
+        b, w, n = grams(t.lower().encode())
+        buckets[end : end + len(b)], of[end : end + len(b)] = b, w
+        out.append((buckets[end : end + len(b)], of[end : end + len(b)], n))
+        end += len(b)
     return out
 
 
 def windows(values: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """The mean value of each window's n-grams."""
+    """The mean value of the n-grams of each window of WINDOW words, a window for every word that one can start at; values
+    are whole numbers."""
     if not n:
         return np.zeros(0)
-    total = np.concatenate([[0.0], np.cumsum(np.bincount(word, values, n))])
+    total = np.concatenate([[0], np.cumsum(np.bincount(word, values, n).astype(np.int64))])  # exact below 2 ** 53
     count = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
-    start = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
+    start = np.arange(max(1, n - WINDOW + 1))
     end = np.minimum(start + WINDOW, n)
     return (total[end] - total[start]) / np.maximum(count[end] - count[start], LEAST)
 
@@ -102,30 +102,45 @@ class Bags:
         self.bucket = np.concatenate(bags) if bags else np.zeros(0, np.int32)
 
 
-def fit(bags: Bags, embed: np.ndarray, out: np.ndarray, steps: int, rate: float = 0.05) -> None:
-    """Adam on embeddings and output weights together; the classes count alike."""
+def loss_and_slopes(bags: Bags, embed: np.ndarray, out: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean cross-entropy of the softmax, the classes counting alike, and its slopes in embeddings and output weights
+    (the last row of `out` is the bias)."""
     weight = np.where(bags.y == 1, 0.5 / max(1, (bags.y == 1).sum()), 0.5 / max(1, (bags.y == 0).sum()))
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embed, out)]
     target = np.stack([1 - bags.y, bags.y], axis=1)
+    scalar = embed @ out[:SIDE]
+    logits = np.stack([np.bincount(bags.bag, scalar[bags.bucket, c], len(bags.y)) / bags.size for c in (0, 1)], axis=1) + out[SIDE]
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    slope = (p - target) * weight[:, None]
+    per_gram = (slope / bags.size[:, None])[:, 1]
+    g = np.bincount(bags.bucket, per_gram[bags.bag], len(embed))  # of class 1; class 0 has the opposite
+    half = embed.T @ g
+    loss = float(-(weight * np.log(np.maximum(p[np.arange(len(p)), bags.y], 1e-300))).sum())
+    return loss, g[:, None] * (out[:SIDE, 1] - out[:SIDE, 0]), np.vstack([np.stack([-half, half], axis=1), slope.sum(axis=0)])
+
+
+def fit(bags: Bags, embed: np.ndarray, out: np.ndarray, steps: int, rate: float = 0.05) -> None:
+    """Adam on embeddings and output weights together."""
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embed, out)]
     for t in range(1, steps + 1):
-        scalar = embed @ out[:SIDE]
-        logits = np.stack([np.bincount(bags.bag, scalar[bags.bucket, c], len(bags.y)) / bags.size for c in (0, 1)], axis=1) + out[SIDE]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        slope = (p - target) * weight[:, None]
-        per_gram = (slope / bags.size[:, None])[:, 1]
-        g = np.bincount(bags.bucket, per_gram[bags.bag], len(embed))  # of class 1; class 0 has the opposite
-        g_embed = g[:, None] * (out[:SIDE, 1] - out[:SIDE, 0]) + 1e-7 * embed
-        half = embed.T @ g
-        g_out = np.vstack([np.stack([-half, half], axis=1), slope.sum(axis=0)])
-        for x, grad, (m, v) in zip((embed, out), (g_embed, g_out), state, strict=True):
+        _, g_embed, g_out = loss_and_slopes(bags, embed, out)
+        for x, grad, (m, v) in zip((embed, out), (g_embed + 1e-7 * embed, g_out), state, strict=True):
             m += (0.1 * (grad - m)).astype(np.float32)
             v += (0.001 * (grad * grad - v)).astype(np.float32)
             x -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)).astype(np.float32)
 
 
+def highest(w: np.ndarray, most: int) -> list[int]:
+    """The starts of the highest windows that share no word."""
+    w, out = w.copy(), []
+    while len(out) < most and len(w) and (k := int(w.argmax())) >= 0 and w[k] > -np.inf:
+        out.append(k)
+        w[max(0, k - WINDOW + 1) : k + WINDOW] = -np.inf
+    return out
+
+
 def train(texts: list[str], y: list[int], seed: int = 7) -> dict | None:
-    """The value of each bucket (the softmax's margin it adds) and the scale that turns the highest window into a score."""
+    """The margin of class 1 that each bucket adds, in units of 2 ** -SHIFT, and the softmax's bias."""
     y = np.array(y)
     if len(set(y.tolist())) < 2:
         return None
@@ -140,48 +155,43 @@ def train(texts: list[str], y: list[int], seed: int = 7) -> dict | None:
     embed = rng.normal(0, 0.1, (len(used), SIDE)).astype(np.float32)
     out = np.vstack([rng.normal(0, 0.5, (SIDE, 2)), np.zeros(2)]).astype(np.float32)
 
-    def value():
-        return embed @ (out[:SIDE, 1] - out[:SIDE, 0])
+    def margins():
+        return np.round((embed @ (out[:SIDE, 1] - out[:SIDE, 0])).astype(float) * 2**SHIFT).astype(np.int64)
 
     def bag(d, k):
-        bucket, word, n = docs[d]
-        return bucket[(word >= k * STRIDE) & (word < k * STRIDE + WINDOW)]
+        bucket, word, _ = docs[d]
+        return bucket[(word >= k) & (word < k + WINDOW)]
 
     chosen, labels = [], []
     for d, (_, _, n) in enumerate(docs):  # first turn: windows anywhere
-        for k in rng.integers(0, max(1, -(-(n - WINDOW + STRIDE) // STRIDE)), 6):
+        for k in rng.integers(0, max(1, n - WINDOW + 1), 6):
             chosen.append(bag(d, k))
             labels.append(y[d])
     fit(Bags(chosen, np.array(labels)), embed, out, TURN)
     for _ in range(TURNS):
-        v, chosen, labels = value(), [], []
+        v, chosen, labels = margins(), [], []
         for d, (bucket, word, n) in enumerate(docs):
             w = windows(v[bucket], word, n)
-            top = np.argsort(-w)[:2 if y[d] else 6]
             more = rng.integers(0, len(w), 2) if len(w) and not y[d] else []
-            for k in [*top, *more]:
+            for k in [*highest(w, 1 if y[d] else 6), *more]:
                 chosen.append(bag(d, int(k)))
                 labels.append(y[d])
         fit(Bags(chosen, np.array(labels)), embed, out, TURN)
-    v = value()
-    best = np.array([windows(v[b], w, n).max(initial=v.min()) for b, w, n in docs])
-    value_of = np.zeros(BUCKETS, np.float32)
-    value_of[used] = v
-    good, bad = best[y == 0], best[y == 1]
-    low, high = np.quantile(good, 0.995), np.quantile(bad, 0.05)
-    middle = (low + high) / 2 if high > low else high
-    return {"value": value_of, "middle": float(middle), "scale": float(6 / max(abs(high - low), 1e-3))}
+    margin = np.zeros(BUCKETS, np.int64)
+    margin[used] = margins()
+    return {"margin": margin, "bias": float(out[SIDE, 1] - out[SIDE, 0])}
 
 
 def score(model: dict | None, text: str) -> float:
+    """The softmax's probability of class 1 for the text's most toxic window."""
     if model is None:
         return 0.0
     best = -np.inf
     for raw in parts_of(text):
         bucket, word, n = grams(raw)
         if n:
-            best = max(best, windows(model["value"][bucket], word, n).max())
-    return float(1 / (1 + np.exp(np.clip(-model["scale"] * (best - model["middle"]), -700, 700)))) if best > -np.inf else 0.0
+            best = max(best, windows(model["margin"][bucket], word, n).max())
+    return float(1 / (1 + np.exp(np.clip(-best / 2**SHIFT - model["bias"], -700, 700)))) if best > -np.inf else 0.0
 
 
 def toxicity_scores(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -198,8 +208,8 @@ def toxicity_scores(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
-    """Fitted on at most per_class labelled documents of each class."""
-    return fitted(docs, labels, "toxic", per_class, train)
+    """Fitted on a bounded sample of labelled documents of each class."""
+    return fitted(docs, labels, "toxic", per_class, str, train)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,7 @@ def test_classifiers_on_held_out_rows():
     tox = toxicity.train([t for t, _, _ in train], [y for _, y, _ in train])
     assert np.mean([(toxicity.score(tox, t) >= 0.5) == y for t, y, _ in test]) > 0.95
     assert toxicity.score(tox, "an er stupidd on the re") > 0.5  # a spelling that it never saw
-    good = quality.train([t for t, _, _ in train], [y for _, _, y in train])
+    good = quality.train([quality.terms(t) for t, _, _ in train], [y for _, _, y in train])
     assert np.mean([(s >= 0.7) == y for s, (_, _, y) in zip(quality.scores(good, [t for t, _, _ in test]), test, strict=True)]) > 0.95
     assert quality.scores(good, [""]) == [good["share"]]
 
@@ -230,17 +230,110 @@ def test_quality_sample_keeps_the_balance_of_classes(spark):
         assert abs(quality.scores(model, [""])[0] - 0.85) < 1e-9
         sampled = model["y"].astype(bool)
         assert abs(model["weight"][sampled].sum() - 170) < 1e-6 and abs(model["weight"][~sampled].sum() - 30) < 1e-6
-        same = model | {"sample": np.ones((len(sampled), 1), np.float32)}  # all are equally near: the vote is the share
-        assert abs(quality.votes(same, np.ones((1, 1), np.float32), len(sampled))[0] - 0.85) < 1e-6
+        same = model | {"sample": np.full((len(sampled), 1), quality.UNIT)}  # all are equally near: the vote is the share
+        assert abs(quality.votes(same, np.full((1, 1), quality.UNIT), len(sampled))[0] - 0.85) < 1e-6
 
 
 def test_votes_are_exact_cosines():
     rng = np.random.default_rng(4)
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    model = {"sample": unit(rng.normal(size=(50, 8))).astype(np.float32), "y": rng.integers(0, 2, 50).astype(np.float32), "share": 0.5}
-    v = unit(rng.normal(size=(20, 8))).astype(np.float32)
-    cos = v.astype(float) @ model["sample"].T.astype(float)
+    unit = lambda x: np.round(quality.UNIT * x / np.linalg.norm(x, axis=1, keepdims=True))
+    model = {"sample": unit(rng.normal(size=(50, 8))), "y": rng.integers(0, 2, 50).astype(float), "weight": np.ones(50), "share": 0.5}
+    v = unit(rng.normal(size=(20, 8)))
+    cos = v @ model["sample"].T / quality.UNIT**2
     for row, got in zip(cos, quality.votes(model, v, 5), strict=True):
         near = np.argsort(-row)[:5]
         w = np.maximum(row[near], 0)
         assert abs((w * model["y"][near]).sum() / w.sum() - got) < 1e-5
+
+
+def test_votes_take_the_earlier_row_on_ties():
+    model = {"sample": np.full((6, 1), quality.UNIT), "y": np.array([1.0, 1, 0, 0, 0, 0]), "weight": np.ones(6), "share": 0.5}
+    assert quality.votes(model, np.full((1, 1), quality.UNIT), 3)[0] == pytest.approx(2 / 3)
+    assert quality.votes(model, np.array([[0], [-quality.UNIT]]), 3).tolist() == [0.5, 0.5]
+
+
+def test_scores_do_not_depend_on_the_block():
+    rows = corpus(120, 5)
+    model = quality.train([quality.terms(t) for t, _, _ in rows], [y for _, _, y in rows])
+    texts = [t for t, _, _ in rows] + [rows[3][0], ""]
+    whole = quality.scores(model, texts)
+    assert whole == [quality.scores(model, [t])[0] for t in texts] and whole[3] == whole[120]
+
+
+def test_terms_equal_plain_counts_and_parts_change_little(monkeypatch):
+    text = "The the CAT, the cat\n" * 9 + "x  é 日本 " * 5
+    found, n = quality.terms(text)
+    words = text.lower().split()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert n.sum() * len(raw) / 1000 == pytest.approx(len(words) + len(words) - 1 + len(raw) - 2)
+    again = int(quality.bucket_of(np.zeros(1, np.uint32), quality.PAIR)[0])
+    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    assert n[found == again] * len(raw) / 1000 == pytest.approx(repeats)
+    monkeypatch.setattr(quality, "PART", 16)
+    cut, m = quality.terms(text)
+    assert (cut == found).all() and np.allclose(m, n)
+
+
+def test_latent_space_is_that_of_a_dense_decomposition():
+    rng = np.random.default_rng(6)
+    dense = rng.random((30, 12)) * (rng.random((30, 12)) < 0.6) + np.eye(30, 12)
+    rows = [(np.flatnonzero(x), x[x != 0].astype(np.float32)) for x in dense]
+    got = quality.term_basis(rows, 12, 4, 1)
+    want = np.linalg.svd(dense)[2][:4].T
+    assert np.allclose(got.T @ got, np.eye(4), atol=1e-4)
+    assert np.allclose(np.abs(got.T @ want), np.eye(4), atol=1e-2)
+
+
+def test_slopes_of_the_toxicity_loss():
+    rng = np.random.default_rng(7)
+    bags = toxicity.Bags([rng.integers(0, 9, n) for n in (3, 80, 70, 5)], np.array([0, 1, 1, 0]))
+    embed, out = rng.normal(size=(9, toxicity.SIDE)), rng.normal(size=(toxicity.SIDE + 1, 2))
+    _, g_embed, g_out = toxicity.loss_and_slopes(bags, embed, out)
+    for x, slope in ((embed, g_embed), (out, g_out)):
+        for at in np.ndindex(x.shape):
+            keep, x[at] = x[at], x[at] + 1e-6
+            up = toxicity.loss_and_slopes(bags, embed, out)[0]
+            x[at] = keep - 1e-6
+            down = toxicity.loss_and_slopes(bags, embed, out)[0]
+            x[at] = keep
+            assert abs((up - down) / 2e-6 - slope[at]) < 1e-6
+
+
+def test_windows_equal_plain_means():
+    rng = np.random.default_rng(8)
+    values = rng.integers(-1000, 1000, 1 << 17)
+    for text in ("one", "a b c d e f g", " ".join(f"w{i} " for i in range(60)), ""):
+        bucket, word, n = toxicity.grams(text.encode())
+        got = toxicity.windows(values[bucket], word, n)
+        words = text.split()
+        assert n == len(words) and len(got) == (max(1, n - toxicity.WINDOW + 1) if n else 0)
+        for k, x in enumerate(got):
+            inside = [b for w in words[k : k + toxicity.WINDOW] for b in toxicity.grams(w.encode())[0]]
+            assert x == pytest.approx(values[inside].sum() / max(len(inside), toxicity.LEAST))
+
+
+def test_toxic_words_across_the_seams_of_long_texts(monkeypatch):
+    rows = corpus(200, 9)
+    model = toxicity.train([t for t, _, _ in rows], [y for _, y, _ in rows])
+    rng = random.Random(1)
+    texts = []
+    for shift in range(40):
+        words = rng.choices(["an", "er", "theor", "tire", "es"], k=200)
+        words[100 + shift // 8 : 100 + shift // 8] = ["stupid", "idiotic", "trashy"]
+        texts.append("x" * shift + " " + rng.choice([" ", "\n", "  "]).join(words) + rng.choice(["", " "]))
+    whole = [toxicity.score(model, t) for t in texts]
+    for part in (64, 300, 501):
+        monkeypatch.setattr(toxicity, "PART", part)
+        assert all(len(toxicity.parts_of(t)) > 1 for t in texts)
+        assert [toxicity.score(model, t) for t in texts] == whole
+
+
+def test_samples_keep_within_their_bytes(spark):
+    from axisframe.llm.labelled import labelled_sample
+
+    docs = frame(spark, [(i, "é" * (10 + i)) for i in range(60)] + [(90, "x" * 5000), (91, None)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(92)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, labels, "quality", 1000, 1600).collect()
+    for y in (0, 1):
+        sizes = [len(r["text"].encode()) for r in got if r["y"] == y]
+        assert 1300 < sum(sizes) <= 1600 and max(sizes) <= 200
