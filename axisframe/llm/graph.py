@@ -11,14 +11,14 @@ from .common import durable
 def large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the node's smallest neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # a table, so that a join splits hubs
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = durable(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = down.join(least, "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 

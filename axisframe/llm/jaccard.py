@@ -9,8 +9,8 @@ further orders too; what is left is verified on whole sets.
 Rarity comes from a count of all shingles in a table of fixed size, so hot passages stand at the end of every order;
 a shared cell changes an order, never a result. To avoid all pairs within a group, each posting list first ties its
 members to one leader, the set with the fewest rare tokens; only members of different components then meet. Components
-come from alternating stars. Nodes are 64-bit digests of sorted sets: among n different sets two coincide with
-probability below n**2 / 2**65.
+come from alternating stars. Words, shingles and sorted sets stand as 64-bit digests of good dispersion: among n different
+ones of a kind two coincide with probability below n**2 / 2**65.
 
 A null or empty text has an empty set and is linked with nothing; its component is its own id. Repeated rows are
 copies. A null id takes part, but gives no component id where there is another. Empty tables give no rows; other
@@ -34,47 +34,10 @@ ORDERS = 3
 BITS = 1 << 23
 SEEN = 50_000  # nodes a task remembers, to leave out copies early
 
-PART = 1 << 20
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-BYTE = np.random.default_rng(77).integers(0, 1 << 64, 256, dtype=np.uint64)
-STEP = 0x9E3779B97F4A7C15 | 3  # odd, and 3 modulo 4
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of STEP and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((STEP, pow(STEP, -1, 1 << 64))):
-            steps = np.full(max(n, PART), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word between ASCII white space: a polynomial in its bytes' random values, from running sums."""
-    out = []
-    while raw:
-        part, raw = raw, b""
-        if len(part) > PART:
-            at = max(part.rfind(c, 0, PART) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            if at > 0:
-                part, raw = part[:at], part[at:]
-        b = np.frombuffer(part, np.uint8)
-        up, down = powers(len(b) + 1)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(BYTE[b] * up[: len(b)], out=sums[1:])
-        space = np.concatenate([[True], SPACE[b], [True]])
-        edge = np.flatnonzero(space[1:] != space[:-1])
-        start, end = edge[::2], edge[1::2]
-        out.append((sums[end] - sums[start]) * down[start])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct 64-bit tokens of a text's shingles; A-Z count as a-z, words lie between ASCII white space."""
-    w = word_hashes((text or "").encode().lower())
+    words = (text or "").encode().lower().split()
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     if not len(w):
         return w
     k = min(width, len(w))
@@ -100,18 +63,18 @@ def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> tuple[np.ndar
     return tokens[np.argsort(key, kind="stable")], int((level == 0).sum())
 
 
-def count_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, node, n) of documents, and rows (at, cells, task) of each task's slices of the token count table."""
-    kind = docs.schema["doc_id"].dataType
-    names = ["doc_id", "node", "n", "at", "cells", "task"]
+def count_sets(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
+    """Rows (doc_id, carry…, node, n) of documents, and rows (at, cells, task) of each task's slices of the token count table."""
+    own = ["doc_id", *carry]
+    names = [*own, "node", "n", "at", "cells", "task"]
 
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        cells, seen, id_type = np.zeros(CELLS, np.uint32), set(), None
+        cells, seen, kinds = np.zeros(CELLS, np.uint32), set(), None
         for batch in batches:
-            id_type = batch.schema.field("doc_id").type
+            kinds = [batch.schema.field(c).type for c in own]
             nodes, sizes, gathered = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, width)
@@ -125,13 +88,14 @@ def count_sets(docs: DataFrame, width: int) -> DataFrame:
             if gathered:
                 cells += np.bincount((np.concatenate(gathered) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             none = pa.nulls(len(nodes), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(len(nodes), pa.binary()), none], names)
-        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(len(nodes), pa.binary()), none], names)
+        if kinds is not None:
             at = [i for i in range(0, CELLS, SLICE) if cells[i : i + SLICE].any()]
             raw = [cells[i : i + SLICE].tobytes() for i in at]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(raw, pa.binary()), pa.array([task] * len(at), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in (*kinds, pa.int64(), pa.int64())), pa.array(at, pa.int32()), pa.array(raw, pa.binary()), pa.array([task] * len(at), pa.int32())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, node long, n long, at int, cells binary, task int")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return docs.select(*own, "text").mapInArrow(run, f"{fields}, node long, n long, at int, cells binary, task int")
 
 
 def rarity_levels(slices: DataFrame) -> np.ndarray:
@@ -198,40 +162,40 @@ def enough_shared(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame
     return pairs.join(side("a", 1), "a").join(side("b", 2), "b").filter(shared + F.greatest(rest("n1"), rest("n2")) >= need).select("a", "b")
 
 
-def candidate_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, levels) -> DataFrame:
+def candidate_sets(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """(node, others, tokens): for nodes in pairs, the prefixes under the further orders and the whole set.
 
-    A bit table of fixed size lets most other documents go unread past their digest; it may let some through.
+    Each node is read from the document with its smallest id. A bit table of fixed size over the ids lets most other
+    documents go unread; it may let some through, whose digest then tells.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = np.zeros(BITS, bool)
-    bits[nodes.select(F.pmod("node", F.lit(BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int")
+    wanted = np.zeros(BITS, bool)
+    wanted[firsts.join(nodes, "node", "left_semi").select(place("first").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
     others = pa.list_(pa.list_(pa.int32()))
 
     def run(batches):
-        want, table_of = np.unpackbits(wanted.value), levels.value
-        seen: set = set()
+        want, table_of = np.unpackbits(wanted.value).astype(bool), levels.value
         for batch in batches:
             out = [[], [], []]
-            for text in batch["text"].to_pylist():
+            for text in batch.filter(pa.array(want[batch["bit"].to_numpy()]))["text"].to_pylist():
                 s = shingles(text, width)
-                if not len(s) or not want[(node := node_of(s)) % BITS] or node in seen:
+                if not len(s):
                     continue
-                if len(seen) < SEEN:
-                    seen.add(node)
                 k = prefix_length(len(s), percent)
-                out[0].append(node)
+                out[0].append(node_of(s))
                 out[1].append([(ordered(s, table_of, order)[0][:k] >> np.uint64(32)).astype(np.uint32).view(np.int32) for order in range(1, ORDERS)])
                 out[2].append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], others), pa.array(out[2], pa.binary())], ["node", "others", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node long, others array<array<int>>, tokens binary").dropDuplicates(["node"])
+    read = docs.select("text", place("doc_id").alias("bit")).mapInArrow(run, "node long, others array<array<int>>, tokens binary")
+    return read.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, levels) -> DataFrame:
+def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """The pairs (a, b) that pass the further orders' filters and whose whole sets reach the threshold."""
-    sets = durable(candidate_sets(docs, pairs, width, percent, levels), "sets")
+    sets = durable(candidate_sets(docs, firsts, pairs, width, percent, levels), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("others").alias("p"))
     right = sets.select(F.col("node").alias("b"), F.col("others").alias("q"))
     share = F.lit(True)
@@ -252,42 +216,46 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, levels
     return whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest id that links reach, links being pairs of
-    documents with 100 * intersection >= percent * union."""
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, root, carry…): component_id is the smallest id that links reach, links being pairs
+    of documents with 100 * intersection >= percent * union; root tells components apart where ids are null and is null
+    itself for an empty set. `carry` names further columns of docs to bring along."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    counted = durable(count_sets(docs, width), "sizes")
-    members = counted.filter("at IS NULL").select("doc_id", "node", "n")
+    carry = list(carry)
+    counted = durable(count_sets(docs, width, carry), "sizes")
+    members = counted.filter("at IS NULL").select("doc_id", "node", "n", *carry)
     levels = spark.sparkContext.broadcast(rarity_levels(counted.filter("at IS NOT NULL").select("at", "cells", "task")))
+    firsts = durable(members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
 
     rows = durable(prefixes(docs, width, percent, levels), "prefixes")
-    lead = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("rare", "node", "n", "pos")).alias("l")).filter("lo <> hi").select("token", "l")
-    posted = durable(rows.join(lead, "token").select("token", "node", "n", "pos", "l").distinct(), "postings")
+    shared = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
+    posted = durable(rows.join(shared, "token").distinct(), "postings")  # copies of a set met in several tasks count once
+    lists = durable(posted.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")), "lists")
 
+    lead = durable(posted.groupBy("token").agg(F.min(F.struct("rare", "node", "n", "pos")).alias("l")), "leaders")
     lo, hi = F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")
-    lists = durable(posted.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")), "lists")
-    stars = posted.filter((F.col("node") != F.col("l.node")) & possible(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), percent)).select(lo, hi).distinct()
-    stars = durable(enough_shared(stars, lists, percent), "candidates")
-    links = durable(verified(docs, stars, width, percent, levels), "links")
+    led = posted.join(lead, "token").filter((F.col("node") != F.col("l.node")) & possible(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), percent))
+    stars = durable(enough_shared(led.select(lo, hi).distinct(), lists, percent), "candidates")
+    links = durable(verified(docs, firsts, stars, width, percent, levels), "links")
     roots = durable(components(links), "roots")
 
-    own = posted.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+    own = durable(posted.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    mixed = durable(own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "mixed")
     open_ = durable(own.join(mixed, "token"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
     rest = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = durable(enough_shared(rest, lists, percent), "rest")
     if not rest.isEmpty():
-        roots = components(links.unionByName(verified(docs, rest, width, percent, levels)))
+        roots = durable(components(links.unionByName(verified(docs, firsts, rest, width, percent, levels))), "roots")
 
-    first = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("node", "component_id")
-    return members.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rooted = durable(firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+    least = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")  # a table, so that a root with many nodes can be split
+    of = rooted.join(least, "root").select("node", "component_id", "root")
+    found = members.join(of, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "root", *carry)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).drop("root")

@@ -337,3 +337,13 @@ def test_samples_keep_within_their_bytes(spark):
     for y in (0, 1):
         sizes = [len(r["text"].encode()) for r in got if r["y"] == y]
         assert 1300 < sum(sizes) <= 1600 and max(sizes) <= 200
+
+
+def test_words_that_defeat_polynomial_hashes_stay_apart(spark):
+    bits = "a"
+    while len(bits) < 2048:
+        bits += bits.translate({97: 98, 98: 97})
+    one, two = bits, bits.translate({97: 98, 98: 97})  # alike under every polynomial modulo 2 ** 64
+    rows = [(1, one), (2, two), (3, f"x y z {one} q"), (4, f"x y z {two} q")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame(spark, rows), 4, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
