@@ -66,6 +66,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def fresh(name: str, taken) -> str:
+    """name, or a longer one where it is taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the id's decimal text modulo a number; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -68,14 +68,15 @@ def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets), np.concatenate(of), len(words)
 
 
-def gathered(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """grams of each text; the arrays are slices of two, sized beforehand and as narrow as the numbers allow."""
+def gathered(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, ends) of each text: its n-grams word by word, and where each word's end; the buckets are slices of one
+    array, sized beforehand and as narrow as the numbers allow."""
     room = 3 * sum(len(t.lower().encode()) + 2 for t in texts)
-    buckets, of, end, out = np.empty(room, np.int32), np.empty(room, np.int32), 0, []
+    buckets, end, out = np.empty(room, np.int32), 0, []
     for t in texts:
         b, w, n = grams(t.lower().encode())
-        buckets[end : end + len(b)], of[end : end + len(b)] = b, w
-        out.append((buckets[end : end + len(b)], of[end : end + len(b)], n))
+        buckets[end : end + len(b)] = b[np.argsort(w, kind="stable")]
+        out.append((buckets[end : end + len(b)], np.concatenate([[0], np.cumsum(np.bincount(w, minlength=n))]).astype(np.int32)))
         end += len(b)
     return out
 
@@ -86,9 +87,13 @@ def windows(values: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0)
     total = np.concatenate([[0], np.cumsum(np.bincount(word, values, n).astype(np.int64))])  # exact below 2 ** 53
-    count = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
-    start = np.arange(max(1, n - WINDOW + 1))
-    end = np.minimum(start + WINDOW, n)
+    return means(total, np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))]))
+
+
+def means(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The windows' means from running sums and numbers of n-grams, each with a first 0."""
+    start = np.arange(max(1, len(total) - WINDOW))
+    end = np.minimum(start + WINDOW, len(total) - 1)
     return (total[end] - total[start]) / np.maximum(count[end] - count[start], LEAST)
 
 
@@ -147,10 +152,10 @@ def train(texts: list[str], y: list[int], seed: int = 7) -> dict | None:
     rng = np.random.default_rng(seed)
     docs = gathered(texts)
     used = np.zeros(BUCKETS, bool)
-    for b, _, _ in docs:
+    for b, _ in docs:
         used[b] = True
     used = np.flatnonzero(used)
-    for b, _, _ in docs:
+    for b, _ in docs:
         b[:] = np.searchsorted(used, b)
     embed = rng.normal(0, 0.1, (len(used), SIDE)).astype(np.float32)
     out = np.vstack([rng.normal(0, 0.5, (SIDE, 2)), np.zeros(2)]).astype(np.float32)
@@ -159,19 +164,19 @@ def train(texts: list[str], y: list[int], seed: int = 7) -> dict | None:
         return np.round((embed @ (out[:SIDE, 1] - out[:SIDE, 0])).astype(float) * 2**SHIFT).astype(np.int64)
 
     def bag(d, k):
-        bucket, word, _ = docs[d]
-        return bucket[(word >= k) & (word < k + WINDOW)]
+        bucket, ends = docs[d]
+        return bucket[ends[min(k, len(ends) - 1)] : ends[min(k + WINDOW, len(ends) - 1)]]
 
     chosen, labels = [], []
-    for d, (_, _, n) in enumerate(docs):  # first turn: windows anywhere
-        for k in rng.integers(0, max(1, n - WINDOW + 1), 6):
+    for d, (_, ends) in enumerate(docs):  # first turn: windows anywhere
+        for k in rng.integers(0, max(1, len(ends) - WINDOW), 6):
             chosen.append(bag(d, k))
             labels.append(y[d])
     fit(Bags(chosen, np.array(labels)), embed, out, TURN)
     for _ in range(TURNS):
         v, chosen, labels = margins(), [], []
-        for d, (bucket, word, n) in enumerate(docs):
-            w = windows(v[bucket], word, n)
+        for d, (bucket, ends) in enumerate(docs):
+            w = means(np.concatenate([[0], np.cumsum(v[bucket])])[ends], ends) if len(ends) > 1 else np.zeros(0)
             more = rng.integers(0, len(w), 2) if len(w) and not y[d] else []
             for k in [*highest(w, 1 if y[d] else 6), *more]:
                 chosen.append(bag(d, int(k)))

@@ -29,3 +29,15 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed} == set(seen[3])
     assert len(pipeline.run(spark, DATA).collect()) == len(packed)
     assert len(seen[0]) > len(seen[1]) > len(seen[2]) >= len(seen[3]) > 0
+
+
+def test_near_duplicates_keep_every_text_of_a_repeated_id(spark):
+    from tests.llm.conftest import frame
+
+    words = [f"w{i}" for i in range(40)]
+    one, other, near = " ".join(words), " ".join(reversed(words)), " ".join([*words, "end"])
+    rows = [(7, one), (7, other), (7, one), (3, near), (None, one), (None, "alone in the world"), (None, None), (4, None), (4, None), (5, " \n"), (6, "\x85"), (8, "\x85")]
+    docs = frame(spark, rows).withColumnRenamed("lang", "digest")
+    got = pipeline.near_duplicate_stage(spark, docs, None)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(3, near), (7, other), (None, "alone in the world"), (None, None), (4, None), (4, None), (5, " \n"), (6, "\x85")], key=repr)
