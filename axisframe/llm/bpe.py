@@ -2,7 +2,8 @@
 
 A rolling hash cuts each text into chunks that depend on content alone, so documents that share a passage share
 chunks. Chunks found in several places are encoded once: the heaviest, at most `shared` of them, in a job of their own
-whose results are broadcast (a bound on size, not on results), the others once in each Python worker's cache. A chunk's
+whose results are broadcast (a bound on size, not on results), the others once in each Python worker, which keeps the
+KEPT last ones over all its tasks. A chunk's
 ids are right except around its two ends, so each join of chunks is repaired: the text around it is encoded anew,
 further and further into the next chunk, until both agree on where a pre-token begins; from there on the scan of the
 text and the scan of the chunk are the same. Special strings part a text before all else, as in the library.
@@ -81,13 +82,30 @@ def chunks(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
+_kept: dict = {}
+
+
+def packed(found: tuple) -> bytes | None:
+    """A chunk's encoding as bytes: tail, ids before it, how many starts, starts, ids before each, ids; None without."""
+    ids, starts, counts, tail, before = found
+    return None if ids is None else np.array([tail, before, len(starts), *starts, *counts], "<u4").tobytes() + ids
+
+
+def unpacked(raw: bytes) -> tuple:
+    tail, before, n = np.frombuffer(raw, "<u4", 3).tolist()
+    return raw[12 + 8 * n :], np.frombuffer(raw, "<u4", n, 12).tolist(), np.frombuffer(raw, "<u4", n, 12 + 4 * n).tolist(), tail, before
+
+
 class Encoder:
-    """Encodes texts chunk by chunk; `shared` and the cache hold (ids, starts, tokens before, tail, tokens before tail) by chunk."""
+    """Encodes texts chunk by chunk; `shared` holds packed encodings by chunk, and each Python worker keeps those it made
+    last as (ids, starts, ids before each, tail, ids before the tail)."""
 
     def __init__(self, path: str | None, shared: dict):
         self.tok, self.cache = loaded(ByteBpe, path)
         self.shared = shared
-        self.kept = Cached(self.chunk, KEPT)
+        if path not in _kept:
+            _kept[path] = Cached(self.chunk, KEPT)
+        self.kept = _kept[path]
 
     def scan(self, raw: bytes) -> tuple[list[int], list[bytes]]:
         """The starts of raw's pre-tokens and each one's ids."""
@@ -110,8 +128,10 @@ class Encoder:
         """The ids of a text without special strings, as little-endian uint32."""
         out, pending = [], b""
         for piece in chunks(raw):
-            found = self.shared.get(piece)
-            if found is None:
+            known = self.shared.get(piece)
+            if known is not None:
+                found = unpacked(known)
+            else:
                 found = self.kept[piece] if len(piece) <= LARGEST else self.chunk(piece)
             ids, starts, counts, tail, before_tail = found
             if ids is None:
@@ -181,7 +201,7 @@ def shared_chunks(docs: DataFrame, path: str | None = None, most: int = SHARED)
         return {}
     chosen = counted.filter(F.col("weight") >= cut)
     owners = chosen.select(F.col("owner").alias("doc_id")).distinct()
-    wanted = spark.sparkContext.broadcast({bytes(r["chunk"]) for r in chosen.select("chunk").collect()})
+    wanted = spark.sparkContext.broadcast(set(chosen.select("chunk").toArrow()["chunk"].to_pylist()))
 
     def encode(batches):
         encoder = Encoder(tok_path, {})
@@ -190,15 +210,13 @@ def shared_chunks(docs: DataFrame, path: str | None = None, most: int = SHARED)
             for text in texts_of(batch):
                 for piece in chunks(text.encode()):
                     if piece not in rows and fingerprint(piece) in wanted.value:
-                        rows[piece] = encoder.chunk(piece)
-            rows = {k: v for k, v in rows.items() if v[0] is not None}
-            v = list(rows.values())
-            kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), *(pa.array([x[i] for x in v], t) for i, t in enumerate(kinds))], ["chunk", "ids", "starts", "counts", "tail", "before"])
-
-    encoded = docs.join(F.broadcast(owners), "doc_id", "left_semi").select("text").mapInArrow(encode, "chunk binary, ids binary, starts array<int>, counts array<int>, tail int, before int")
-    got = encoded.dropDuplicates(["chunk"]).toArrow().to_pylist()
-    return {r["chunk"]: (r["ids"], r["starts"], r["counts"], r["tail"], r["before"]) for r in got}
+                        rows[piece] = packed(encoder.chunk(piece))
+            rows = {k: v for k, v in rows.items() if v is not None}
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.binary())], ["chunk", "encoding"])
+
+    encoded = docs.join(F.broadcast(owners), "doc_id", "left_semi").select("text").mapInArrow(encode, "chunk binary, encoding binary")
+    got = encoded.groupBy("chunk").agg(F.min("encoding").alias("encoding")).toArrow()
+    return dict(zip(got["chunk"].to_pylist(), got["encoding"].to_pylist(), strict=True))
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, shared: int = SHARED) -> DataFrame:

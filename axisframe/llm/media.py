@@ -20,6 +20,7 @@ from .common import bounded_batches, table, texts_of
 
 WIDTH = 576
 TILE = 32
+COMMENT = re.compile(rb"#[^\n]*")
 HEADER = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
 
 
@@ -43,35 +44,55 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     w, h, top = (*numbers, 1)[:3]
     if not 0 < top < 65536:
         raise ValueError("bad Netpbm maximum")
+    if w < 1 or h < 1:
+        raise ValueError("empty image")
     depth = 3 if kind in (b"P3", b"P6") else 1
     if kind == b"P4":
         rows = np.frombuffer(data, np.uint8, h * ((w + 7) // 8), at + 1).reshape(h, -1)
         return (255 * (1 - np.unpackbits(rows, axis=1)[:, :w])).astype(np.uint8)
+    if kind in (b"P1", b"P2", b"P3"):
+        data = COMMENT.sub(b" ", data[at:])
     if kind == b"P1":
-        return np.array([255 * (c == 48) for c in data[at:] if c in b"01"][: w * h], np.uint8).reshape(h, w)
+        flat = np.array([255 * (c == 48) for c in data if c in b"01"][: w * h], np.uint8)
+        return flat.reshape(h, w)
     if kind in (b"P2", b"P3"):
-        flat = np.array(data[at:].split()[: w * h * depth], dtype=np.int64)
+        flat = np.array(data.split()[: w * h * depth], dtype=np.int64)
     else:
         flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, w * h * depth, at + 1)
+    if flat.size and (flat.min() < 0 or flat.max() > top):
+        raise ValueError("a sample lies outside 0 to the maximum")
     out = flat.astype(np.uint16 if top > 255 else np.uint8)
     return out.reshape((h, w, 3) if depth == 3 else (h, w))
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits to (h, w) where all palette entries are grey, else (h, w, 3) as red, green, blue."""
+    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits to (h, w) where all palette entries are grey, else (h, w, 3) as red, green, blue.
+
+    Bit fields are taken where each colour has a whole byte of 32 bits.
+    """
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("unsupported BMP form")
+    if w < 1 or h == 0:
+        raise ValueError("empty image")
+    order = [2, 1, 0]
+    if packed == 3:
+        masks = struct.unpack_from("<III", data, 54)
+        if bits != 32 or not set(masks) <= {0xFF << s for s in (0, 8, 16, 24)} or len(set(masks)) < 3:
+            raise ValueError("unsupported BMP bit fields")
+        order = [(m.bit_length() - 8) // 8 for m in masks]
     line = (w * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, line * abs(h), start).reshape(abs(h), line)
     rows = rows[::-1] if h > 0 else rows
     if bits >= 24:
-        return np.ascontiguousarray(rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1])
+        return np.ascontiguousarray(rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, order])
     if bits < 8:
         rows = np.packbits(np.unpackbits(rows, axis=1).reshape(abs(h), -1, bits), axis=2)[:, :, 0] >> (8 - bits)
     palette = np.frombuffer(data, np.uint8, (start - 14 - size) // 4 * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
+    if not len(palette) or rows[:, :w].max() >= len(palette):
+        raise ValueError("a pixel lies outside the palette")
     picked = palette[rows[:, :w]]
     grey = (palette == palette[:, :1]).all()
     return np.ascontiguousarray(picked[:, :, 0] if grey else picked)
@@ -157,8 +178,8 @@ def media_tiles(df: DataFrame, key: str, column: str = "media", side: int = TILE
                 try:
                     image = None if data is None else decode_image(data)
                     rows.append((None,) * 5 if image is None else (*image.shape[:2], npy_tile(image, side), difference_hash(image), None))
-                except ValueError as e:  # a damaged file is reported in its row
-                    rows.append((None, None, None, None, str(e)))
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:  # a damaged file is reported in its row
+                    rows.append((None, None, None, None, str(e) or type(e).__name__))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch[key], *(pa.array(c, t) for c, t in zip(columns, kinds[1:], strict=True))], names)
 

@@ -22,13 +22,15 @@ END = 1
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where longer than capacity."""
+    """(doc_id, piece, start, length, ids_crc32, salt): each document's ids and the end id, cut only where longer than
+    capacity; salt numbers a task's pieces, so that pieces of a repeated id can be told apart."""
     bounded_batches(docs.sparkSession)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, salt long"
     tail = end.to_bytes(4, "little")
 
     def run(batches):
         tok, ids = loaded(WordBpe, path)
+        made = 0
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_of(batch), strict=True):
@@ -38,7 +40,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
                     for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            salt, made = pa.array(range(made, made + len(out[0])), pa.int64()), made + len(out[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), salt], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -78,7 +81,7 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 def ranked(cut: DataFrame, per_task: int = 200_000) -> DataFrame:
     """cut with `rank`, from 0, within its length. A frequent length is ranked in parts, offset by the counts of the parts before."""
     parts = max(64, -(-cut.count() // per_task))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")

@@ -1,9 +1,11 @@
 """Exact top-k search as a Voronoi kNN join on integer inner products.
 
-Vectors are grouped by their nearest pivot (centroids of a bounded sample; any pivots give exact results). A group's
-summary is its size and the radius around its pivot, so q.x <= q.p + |q| r bounds every score in it. A query first
-meets one block of its own group, whose k-th score is a floor; only groups whose bound reaches the floor are needed,
-and each block of queries receives only the groups that one of its queries needs. Blocks have a bounded number of
+Vectors are grouped by their nearest pivot (centroids of a bounded sample; any pivots give exact results), about as many
+groups as the square root of the rows, PIVOTS at most. A group's summary is its size, the radius r around its pivot p, and
+the least and largest value of each component, so both q.p + |q| r and the sum of each component's larger product bound
+every score in it. A query first meets one block of its own group, whose k-th score is a floor; only groups whose lower
+bound of the two reaches the floor are needed, and each block of queries receives only the groups that one of its queries
+needs. How much that saves depends on the vectors: clustered ones leave most groups out, isotropic ones none. Blocks have a bounded number of
 rows on both sides, whatever a group's size; their scores are exact, and the k best of each block are merged.
 
 Vectors that are null, or hold a null or non-finite component, take no part. Shorter vectors count as filled with
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, durable, table
 
 SCALE = 1024
-PIVOTS = 64
+PIVOTS = 512
 SAMPLE = 4096
 BLOCK = 20_000
 
@@ -33,10 +35,14 @@ def integer_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.filter(F.coalesce(valid, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(column, lambda x: F.floor(SCALE * x.cast("double"))).alias("v"))
 
 
-def matrix(vectors: list, width: int) -> np.ndarray:
+def matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Rows of longs from a list array; shorter ones are filled with zeros."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if (lengths == width).all():
+        return flat.reshape(-1, width)
     out = np.zeros((len(vectors), width), np.int64)
-    for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = v
+    out[np.arange(width)[None, :] < lengths[:, None]] = flat
     return out
 
 
@@ -84,14 +90,23 @@ def best(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.ndarray, k
     return np.array(out_q, np.int64), np.array(out_x, np.int64), np.array(out_s, np.int64)
 
 
-def solver(k: int, width: int, floors: bool):
+def bounds(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What no score of a query (row) with a vector of a group (column) exceeds, with room for rounding."""
+    size = np.sqrt((q**2).sum(axis=1))[:, None]
+    round_ = q @ pivots.T + size * radius[None, :]
+    box = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bound = np.minimum(round_, box)
+    return bound + 1e-9 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T + size) + 1
+
+
+def solver(k: int, width: int, kind: str, floors: bool):
     """Joins one block of queries with one block of data."""
 
     def solve(queries: pa.Table, data: pa.Table) -> pa.Table:
         ids = data["id"].to_numpy(zero_copy_only=False)
         order = np.argsort(np.where(np.isnan(ids), np.inf, ids), kind="stable") if ids.dtype.kind == "f" else np.argsort(ids, kind="stable")
         data = data.take(pa.array(order))
-        q, x = (np.frombuffer(b"".join(t["v"].to_pylist()), "<i8").reshape(-1, width) for t in (queries, data))
+        q, x = (np.frombuffer(b"".join(t["v"].to_pylist()), kind).reshape(-1, width).astype(np.int64) for t in (queries, data))
         of_q, of_x, score = best(q, queries["row"].to_numpy(), x, data["row"].to_numpy(), k)
         if floors:  # the k-th score where there are k
             n = np.bincount(of_q, minlength=len(q))
@@ -106,28 +121,61 @@ def solver(k: int, width: int, floors: bool):
 
 def voronoi_top_k(df: DataFrame, key: str, column: str, is_query, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of every row for which is_query(id column) holds."""
+    rows, queries, data, wanted, sizes, (width, kind) = needed(df, key, column, is_query, k, pivots, block)
+    if rows is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    pairs = wanted.select("qb", "g").distinct()
+    asked = wanted.join(sizes.select("g", "parts"), "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("qb", "g", "part", "row", "id", "v")
+    given = data.select("g", "part", "row", "id", "v").join(pairs, "g").select("qb", "g", "part", "row", "id", "v")
+    asked = asked.toDF("to", "of", "at", "row", "id", "v")
+    found = asked.groupBy("to", "of", "at").cogroup(given.groupBy("qb", "g", "part")).applyInArrow(solver(k, width, kind, False), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def needed(df: DataFrame, key: str, column: str, is_query, k: int, pivots: int, block: int) -> tuple:
+    """(rows, queries, data, wanted, sizes, layout): the grouped vectors, and in `wanted` a row for every query and each
+    group that may hold one of its k best."""
     spark = df.sparkSession
     bounded_batches(spark)
     vectors = integer_vectors(df, key, column)
-    width = vectors.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
-    width = max(1, width)
-    sample = vectors.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).toArrow()["v"].to_pylist()
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    seen = vectors.agg(F.max(F.size("v")).alias("w"), F.count("*").alias("n"), F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))).alias("top")).first()
+    width, top = max(1, seen["w"] or 1), seen["top"] or 0
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
+    pivots = min(pivots, max(1, int(seen["n"] ** 0.5)))
+    sample = vectors.select("v", F.xxhash64("v").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).toArrow()["v"].combine_chunks()
+    if not len(sample):
+        return (None,) * 5 + ((width, kind),)
     p = centroids(matrix(sample, width), pivots)
     shared = spark.sparkContext.broadcast(p)
 
     def group(batches):
         for batch in batches:
-            x = matrix(batch["v"].to_pylist(), width)
+            x = matrix(batch["v"], width)
             of, distance = nearest(x, shared.value)
-            raw = [row.tobytes() for row in x]
+            raw = [row.tobytes() for row in x.astype(kind)]
             yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(of, pa.int32()), pa.array(distance), pa.array(raw, pa.binary())], ["row", "id", "g", "distance", "v"])
 
+    def boxes(batches):
+        low, high = np.full((len(p), width), np.iinfo(np.int64).max), np.full((len(p), width), np.iinfo(np.int64).min)
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch["v"].to_pylist()), kind).reshape(-1, width).astype(np.int64)
+            g = batch["g"].to_numpy()
+            np.minimum.at(low, g, x)
+            np.maximum.at(high, g, x)
+        there = np.flatnonzero(low[:, 0] <= high[:, 0])
+        at = np.arange(width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(there, width), pa.int32()), pa.array(np.tile(at, len(there)), pa.int32()), pa.array(low[there].ravel()), pa.array(high[there].ravel())], ["g", "at", "low", "high"])
+
     rows = durable(vectors.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "v").mapInArrow(group, "row long, id long, g int, distance double, v binary"), "vectors")
     asking = F.coalesce(is_query(F.col("id")), F.lit(False))
     summary = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.count_if(asking).alias("q")).collect()}  # a row per pivot
-    radius = np.array([summary[g]["radius"] if g in summary else -np.inf for g in range(len(p))])
+    radius = np.array([summary[g]["radius"] if g in summary else 0.0 for g in range(len(p))])
+    low, high = np.zeros((len(p), width)), np.zeros((len(p), width))
+    box = rows.select("g", "v").mapInArrow(boxes, "g int, at int, low long, high long").groupBy("g", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+    for side, name in ((low, "low"), (high, "high")):
+        side[box["g"].to_numpy(), box["at"].to_numpy()] = box[name].to_numpy()
+    there = np.isin(np.arange(len(p)), list(summary))
     parts = {g: -(-r["n"] // block) for g, r in summary.items()}
     q_parts = {g: -(-r["q"] // block) for g, r in summary.items()}
     q_block, filled, number = {}, 0, 0  # small groups of queries share a block
@@ -145,26 +193,17 @@ def voronoi_top_k(df: DataFrame, key: str, column: str, is_query, k: int = 10, p
 
     home = data.filter("part = 0").withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).select("g", "q_part", "row", "id", "v")
     mine = queries.select("g", "q_part", "row", "id", "v").toDF("of", "at", "row", "id", "v")  # new columns, apart from the data's
-    floors = mine.groupBy("of", "at").cogroup(home.groupBy("g", "q_part")).applyInArrow(solver(k, width, True), "row long, floor long")
+    floors = mine.groupBy("of", "at").cogroup(home.groupBy("g", "q_part")).applyInArrow(solver(k, width, kind, True), "row long, floor long")
 
     def needs(batches):
         for batch in batches:
-            q = np.frombuffer(b"".join(batch["v"].to_pylist()), "<i8").reshape(-1, width).astype(float)
-            size = np.sqrt((q**2).sum(axis=1))
-            bound = q @ shared.value.T + size[:, None] * radius[None, :]
-            slack = 1e-9 * (np.abs(bound) + size[:, None]) + 1
+            q = np.frombuffer(b"".join(batch["v"].to_pylist()), kind).reshape(-1, width).astype(float)
             floor = np.array([-np.inf if f is None else f for f in batch["floor"].to_pylist()])
-            i, g = np.nonzero((bound + slack >= floor[:, None]) & (radius >= 0)[None, :])
+            i, g = np.nonzero((bounds(q, shared.value, radius, low, high) >= floor[:, None]) & there[None, :])
             yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(i)) for c in ("qb", "row", "id", "v")), pa.array(g, pa.int32())], ["qb", "row", "id", "v", "g"])
 
     wanted = durable(queries.select("qb", "row", "id", "v").join(floors, "row", "left").mapInArrow(needs, "qb int, row long, id long, v binary, g int"), "needs")
-    pairs = wanted.select("qb", "g").distinct()
-    asked = wanted.join(sizes.select("g", "parts"), "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("qb", "g", "part", "row", "id", "v")
-    given = data.select("g", "part", "row", "id", "v").join(pairs, "g").select("qb", "g", "part", "row", "id", "v")
-    asked = asked.toDF("to", "of", "at", "row", "id", "v")
-    found = asked.groupBy("to", "of", "at").cogroup(given.groupBy("qb", "g", "part")).applyInArrow(solver(k, width, False), "row long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows, queries, data, wanted, sizes, (width, kind)
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

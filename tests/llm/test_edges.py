@@ -143,3 +143,74 @@ def test_topk(spark, block):
         best = sorted(((-int(own @ v), i if i is not None else 10**9, i) for i, v in valid if i != q))[:4]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, _, i) in enumerate(best)]
     assert topk.voronoi_top_k(df.limit(0), "vec_id", "embedding", lambda c: c % 10 == 0).count() == 0
+
+
+def test_topk_bounds_leave_out_no_true_neighbour():
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(400, 6)) * 300) + 900 * rng.integers(-1, 2, (400, 1))
+    p = topk.centroids(x, 12)
+    of, distance = topk.nearest(x, p)
+    radius = np.array([distance[of == g].max(initial=0) for g in range(12)])
+    low, high = (np.array([f(x[of == g]) if (of == g).any() else np.zeros(6) for g in range(12)]) for f in (lambda v: v.min(axis=0), lambda v: v.max(axis=0)))
+    bound = topk.bounds(x, p, radius, low, high)
+    assert (x @ x.T <= bound[:, of] + 1e-6).all()
+
+
+def test_topk_leaves_out_groups_of_clustered_vectors(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 8)) * 3
+    x = centres[np.arange(600) % 20] + rng.normal(size=(600, 8)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    query = lambda c: c % 10 == 0
+    _, queries, _, wanted, sizes, (_, kind) = topk.needed(df, "vec_id", "embedding", query, 4, 24, 20_000)
+    assert kind == "<i2"
+    assert wanted.count() < 0.4 * queries.count() * sizes.count()
+    whole = np.floor(1024 * x).astype(int)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.voronoi_top_k(df, "vec_id", "embedding", query, 4, 24).collect()}
+    for q in range(0, 600, 10):
+        best = sorted((-int(whole[q] @ whole[j]), j) for j in range(600) if j != q)[:4]
+        assert [got[(q, k + 1)] for k in range(4)] == [(j, -s) for s, j in best]
+
+
+def test_packing_of_one_repeated_id(spark):
+    docs = spark.createDataFrame([(7, "alpha beta")] * 500 + [(None, "gamma")] * 300, "doc_id long, text string")
+    got = packing.best_fit_packing(docs, capacity=64).collect()
+    assert len(got) == 800
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 800
+    assert packing.ranked(packing.durable(packing.pieces(docs, 64), "t"), 100).groupBy("length", "rank").count().filter("count > 1").isEmpty()
+
+
+def test_damaged_media_are_reported(spark):
+    import struct
+
+    bmp = bytearray(media.encode_bmp(np.full((2, 3), 200, np.uint8)))
+    two = bmp[:54] + bytes(8) + bmp[54 + 1024 :]
+    struct.pack_into("<I", two, 10, 62)  # pixels of value 200 and a palette of two
+    sized = lambda w, h: bytes(bmp[:18]) + struct.pack("<ii", w, h) + bytes(bmp[26:])
+    fields = lambda *m: b"BM" + struct.pack("<IHHIIiiHHIIiiII", 0, 0, 0, 66, 40, 1, 1, 1, 32, 3, 0, 0, 0, 0, 0) + struct.pack("<III", *m) + bytes([1, 2, 3, 4])
+    bad = [bytes(two), b"P5 0 5 255\n", b"P2 2 0 255", sized(0, 2), sized(-5, 2), sized(3, 0), sized(1 << 30, 1 << 30), b"P2 1 1 255 300", b"P2 1 1 255 -2", b"P5 1 1 9\n\xff", b"P2 2 2 255 1 2", b"P6 9 9 255\n12", bytes(bmp[:60]), b"BM", b"", b"P5", fields(0xFF, 0xFF, 0xFF), fields(0xFFF, 0xF, 1)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "k int, media binary")
+    got = media.media_tiles(df, "k").collect()
+    assert len(got) == len(bad) and all(r["tile"] is None and r["error"] for r in got)
+    assert media.decode_image(b"P2 # head 7\n2 1 255 # 9 9\n1 # 5\n2").tolist() == [[1, 2]]
+    assert media.decode_image(b"P1 3 1\n1 # 0 0\n0 1").tolist() == [[0, 255, 0]]
+    assert media.decode_image(fields(0xFF, 0xFF00, 0xFF0000)).tolist() == [[[1, 2, 3]]] and media.decode_image(fields(0xFF0000, 0xFF00, 0xFF)).tolist() == [[[3, 2, 1]]]
+
+
+def test_media_features_equal_plain_ones(edge, edge_rows):
+    texts = {i: t for i, t in edge_rows if i is not None}
+    for r in media.media_digest(media.texts_to_media(edge)).collect():
+        if r["doc_id"] is None:
+            continue
+        raw = (texts[r["doc_id"]] or "").encode()
+        image = np.frombuffer(raw + b"\xff" * (-len(raw) % 576 if raw else 576), np.uint8).reshape(-1, 576).astype(float)
+
+        def area(n, m, image=image):
+            def cover(size, parts):  # how much of each sample lies in each part
+                edge_ = np.arange(parts + 1) * size / parts
+                return np.clip(np.minimum(edge_[1:, None], np.arange(size) + 1) - np.maximum(edge_[:-1, None], np.arange(size)), 0, None)
+
+            return cover(image.shape[0], n) @ image @ cover(image.shape[1], m).T / (image.shape[0] / n * image.shape[1] / m)
+
+        small = np.rint(area(8, 9) * 256)
+        assert r["feature"].split("-")[0] == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
