@@ -165,6 +165,19 @@ def dropout(t: Tensor, p: float, seed: int = 0, over: list[str] | None = None) -
     return t.map(lambda v: F.when(u < p, 0.0).otherwise(v / (1 - p)))
 
 
+#: Lower limit of the self-normalising activation: minus its scale times its alpha.
+ALPHA_LIMIT = -1.0507009873554805 * 1.6732632423543772
+
+
+def alpha_dropout(t: Tensor, p: float, seed: int = 0, over: list[str] | None = None) -> Tensor:
+    """Each cell (or slice) takes the activation's lower limit with probability p; all are then scaled and shifted so that a
+    mean of 0 and a variance of 1 stay."""
+    fail_unless(0 <= p < 1, f"probability {p}")
+    u = F.pmod(F.xxhash64(F.lit(seed), *(over or t.dims)), F.lit(1 << 30)) / float(1 << 30)
+    a = ((1 - p) * (1 + p * ALPHA_LIMIT**2)) ** -0.5
+    return t.map(lambda v: F.when(u < p, F.lit(ALPHA_LIMIT)).otherwise(v) * a - a * ALPHA_LIMIT * p, fill=None)
+
+
 def spread(t: Tensor, new: dict[str, int], first: bool = False) -> Tensor:
     """t repeated along new dims, row by row: no shuffle."""
     out = t.df

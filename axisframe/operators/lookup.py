@@ -7,7 +7,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import durable
+from ..sources.scratch import durable, forget
 from ..tensor import fail_unless
 
 
@@ -101,35 +101,36 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     so long chains take few rounds; every round is a written table, and rounds end when no label changes."""
     both = durable(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b), F.col(a)).toDF("node", "other")).dropna().distinct())
     labels = durable(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("group")))
+    written = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("group").alias("g_")), "other").groupBy("node").agg(F.min("g_").alias("g_"))
         met = labels.join(near, "node").select("node", F.least("group", "g_").alias("new_"), "group")
         jump = labels.select(F.col("node").alias("new_"), F.col("group").alias("far_"))
         after = durable(met.join(jump, "new_", "left").select("node", F.least("new_", F.coalesce("far_", "new_")).alias("new_"), "group"))
-        changed = after.filter(F.col("new_") != F.col("group")).isEmpty()
-        labels = after.select("node", F.col("new_").alias("group"))
-        if changed:
+        forget(written)
+        written, labels = after, after.select("node", F.col("new_").alias("group"))
+        if after.filter(F.col("new_") != F.col("group")).isEmpty():
+            forget(both)
             return labels
 
 
 def method_resolution(parents: DataFrame, values: DataFrame, node: str = "node", parent: str = "parent", value: str = "value") -> DataFrame:
     """(node, value, depth): each node's own value or that of its nearest ancestor, however far; smaller values on ties.
 
-    A round climbs one step for the nodes still without a value; an ancestor that a node has met before is not met
-    again, so cycles end. Nodes without a value above them give no row.
+    Values go down one step a round to nodes that have none yet, so each node is settled once, cycles end, and the work
+    is one pass over the edges of the nodes settled last. Nodes without a value above them give no row.
     """
-    nodes = parents.select(F.col(node).alias("n_")).union(parents.select(parent)).union(values.select(node)).dropna().distinct()
-    reached = durable(nodes.select("n_", F.col("n_").alias("at_")))
-    own = durable(values.groupBy(F.col(node).alias("at_")).agg(F.min(value).alias("v_")))
-    up = durable(parents.select(F.col(node).alias("at_"), F.col(parent).alias("up_")).dropna().distinct())
-    met, found, depth = reached, None, 0
-    while not reached.isEmpty():
-        hit = durable(reached.join(own, "at_").groupBy("n_").agg(F.min("v_").alias("v_")).withColumn("d_", F.lit(depth)))
-        found = hit if found is None else found.unionByName(hit)
-        open_ = reached.join(hit.select("n_"), "n_", "left_anti")
-        steps = open_.join(up, "at_").select("n_", F.col("up_").alias("at_")).distinct()
-        reached, depth = durable(steps.join(met, ["n_", "at_"], "left_anti")), depth + 1
-        met = met.unionByName(reached)
-    if found is None:
-        found = values.select(F.col(node).alias("n_"), F.col(value).alias("v_"), F.lit(0).alias("d_")).limit(0)
-    return found.select(F.col("n_").alias(node), F.col("v_").alias(value), F.col("d_").alias("depth"))
+    down = durable(parents.select(F.col(parent).alias("up_"), F.col(node).alias("n_")).dropna().distinct())
+    last = durable(values.select(F.col(node).alias("n_"), F.col(value).alias("v_")).filter("n_ IS NOT NULL").groupBy("n_").agg(F.min("v_").alias("v_"), F.lit(0).alias("d_")))
+    settled, rounds = last, [last]
+    while not last.isEmpty():
+        heirs = last.select(F.col("n_").alias("up_"), "v_", "d_").join(down, "up_").groupBy("n_").agg(F.min("v_").alias("v_"), (F.first("d_") + 1).alias("d_"))
+        last = durable(heirs.join(settled.select("n_"), "n_", "left_anti").select("n_", "v_", "d_"))
+        rounds.append(last)
+        settled = settled.unionByName(last)
+        if len(rounds) > 16:  # many small tables become one
+            settled = durable(settled)
+            forget(*rounds[:-1])
+            rounds = [settled, last]
+    forget(down)
+    return settled.select(F.col("n_").alias(node), F.col("v_").alias(value), F.col("d_").alias("depth"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import broadcast as B
@@ -314,9 +315,12 @@ def a16_subtotals(spark, d):
     return R.subtotals(qty(spark, d), ["nation"], ["month"], []).select("nation", "month", "value", "level")
 
 
-@query()
+@query("SELECT count(DISTINCT user_id) AS users, true AS near FROM events")
 def a17_approximate_size(spark, d):
-    return R.approximate_size(table(spark, d, "events"), "user_id")
+    """The exact number, and whether the estimate lies within four times its stated error."""
+    e = table(spark, d, "events")
+    exact = e.agg(F.count_distinct("user_id").alias("users"))
+    return exact.join(R.approximate_size(e, "user_id", 0.02)).select("users", (F.abs(F.col("size") - F.col("users")) <= F.greatest(F.lit(0.08) * F.col("users"), F.lit(1))).alias("near"))
 
 
 @query(f"WITH {QTY} SELECT sum(value)::DOUBLE AS value FROM qty")
@@ -438,9 +442,15 @@ def number_rows(spark, rows, columns: str) -> DataFrame:
     return spark.createDataFrame(rows, columns)
 
 
-@query()
+@query(f"WITH {EMB}, s AS (SELECT k, var_samp(value) AS v FROM emb GROUP BY k) SELECT (SELECT count(*) FROM embeddings) AS vectors, round(sum(v), 6) AS variance, true AS uncorrelated, true AS largest, true AS shares FROM s")
 def l1_pca_scores(spark, d):
-    return A.pca(table(spark, d, "embeddings"), "embedding", 4)[0].select("vec_id", "scores")
+    """Scores are uncorrelated, the first has at least the largest variance of a component, and the shares are theirs."""
+    rows = table(spark, d, "embeddings")
+    scored, _, shares = A.pca(rows, "embedding", 4)
+    of_scores, of_values = A.covariance(scored, "scores"), A.covariance(rows, "embedding")
+    total, spread = of_values.trace(), of_scores.diagonal()
+    found = (scored.count(), round(float(total), 6), bool(abs(of_scores - np.diag(spread)).max() < 1e-9 * total), bool(spread[0] >= of_values.diagonal().max() - 1e-12), bool(abs(spread / total - shares).max() < 1e-9))
+    return number_rows(spark, [found], "vectors long, variance double, uncorrelated boolean, largest boolean, shares boolean")
 
 
 @query(f"WITH {EMB} SELECT a.k AS i, b.k AS j, round(sum(a.value * b.value), 4) + 0.0 AS value FROM emb a JOIN emb b USING (vec) GROUP BY ALL")
@@ -457,15 +467,19 @@ def l4_least_squares(spark, d):
     return number_rows(spark, [(round(float(a), 4), round(float(b), 2))], "slope double, intercept double")
 
 
-@query("SELECT 3::BIGINT AS rank FROM (SELECT count(*) FROM lineitem)")
+@query("SELECT (1 + (var_pop(l_quantity) > 0)::INT + (var_pop(l_discount) > 0 AND corr(l_quantity, l_discount) ** 2 < 1 - 1e-9)::INT)::BIGINT AS rank FROM lineitem")
 def l5_matrix_rank(spark, d):
     x = F.array(F.lit(1.0), F.col("l_quantity"), F.col("l_discount"), F.col("l_quantity") * 2 + 1)
     return number_rows(spark, [(A.matrix_rank(table(spark, d, "lineitem").select(x.alias("x")), "x"),)], "rank long")
 
 
-@query()
+@query(f"WITH {EMB} SELECT a.k AS i, b.k AS j, CASE WHEN a.k = b.k THEN 1.0 ELSE 0.0 END::DOUBLE AS unit, round(sum(a.value * b.value), 4) + 0.0 AS gram, a.k > b.k AS below FROM emb a JOIN emb b USING (vec) GROUP BY a.k, b.k")
 def l2_tall_skinny_qr(spark, d):
-    return A.qr(table(spark, d, "embeddings"), "embedding")[0].select("vec_id", "q")
+    """Q'Q, R'R and which cells of R are zero."""
+    rows, r = A.qr(table(spark, d, "embeddings"), "embedding")
+    unit, whole = A.gram(rows, "q"), r.T @ r
+    cells = [(i, j, round(float(unit[i, j]), 6) + 0.0, round(float(whole[i, j]), 4) + 0.0, bool(i > j and r[i, j] == 0)) for i in range(len(r)) for j in range(len(r))]
+    return number_rows(spark, cells, "i long, j long, unit double, gram double, below boolean")
 
 
 @query(f"WITH {ACT} SELECT \"user\", sum(value) AS value FROM act GROUP BY ALL")

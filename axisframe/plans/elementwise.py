@@ -92,15 +92,24 @@ def s12_indices(spark, d):
     return plain(build.indices(spark, dict(zip(t.dims, t.measured, strict=True))))
 
 
-@query()
+@query(f"WITH {EMB} SELECT count(*) AS cells, true AS inside, true AS centred, true AS spread, true AS varied FROM emb")
 def s13_sample_noise(spark, d):
-    t = qty(spark, d)
-    return build.sample(spark, dict(zip(t.dims, t.measured, strict=True)), "truncated_normal", seed=11, low=-2.0, high=2.0).df
+    """A truncated normal sample of the embeddings' shape: its bounds, mean, standard deviation and number of values."""
+    t = emb(spark, d)
+    noise = build.sample(spark, dict(zip(t.dims, t.measured, strict=True)), "truncated_normal", seed=11, low=-2.0, high=2.0).df
+    v = F.col("value")
+    near = lambda x, at, n: F.abs(x - at) < 6 / F.sqrt(n)  # noqa: E731  six standard errors
+    n = F.count("*")
+    return noise.agg(n.alias("cells"), (F.min(v).between(-2, 0) & F.max(v).between(0, 2)).alias("inside"), near(F.avg(v), 0.0, n).alias("centred"), near(F.stddev_pop(v), 0.8796, n).alias("spread"), (F.count_distinct("value") > 0.9 * n).alias("varied"))
 
 
-@query()
+@query(f"WITH {ACT} SELECT \"user\", 10.0::DOUBLE AS draws, true AS possible FROM act GROUP BY \"user\"")
 def s14_sample_multinomial(spark, d):
-    return build.sample_multinomial(act(spark, d), 10, seed=5).df
+    """Ten draws for each user, only of hours that the user has."""
+    t = act(spark, d)
+    drawn = build.sample_multinomial(t, 10, seed=5).df.withColumnRenamed("value", "drawn")
+    both = drawn.join(t.df, ["user", "hour"], "left")
+    return both.groupBy("user").agg(F.sum("drawn").alias("draws"), F.bool_and(F.coalesce(F.col("value") > 0, F.lit(False))).alias("possible"))
 
 
 @query(f"""WITH {QTY}, m AS (SELECT month, sum(value) AS value FROM dense GROUP BY month), n AS (SELECT count(*) AS n FROM m)
@@ -249,9 +258,53 @@ def e18_glu(spark, d):
     return rounded(B.glu(emb(spark, d)), 8)
 
 
-@query()
+KEPT = f"WITH {EMB} SELECT count(*) AS cells, true AS exact, true AS share FROM emb"
+
+
+def dropped(t, out, kept, gone, p: float):
+    """Whether every cell is as kept or as gone, and as many are gone as p says, within six standard errors."""
+    both = t.df.join(out.df.withColumnRenamed("value", "out"), list(t.dims))
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    stays, goes = near(F.col("out"), kept(F.col("value"))), near(F.col("out"), gone(F.col("value")))
+    n = F.count("*")
+    return both.agg(n.alias("cells"), F.bool_and(stays | goes).alias("exact"), (F.abs(F.count_if(goes) / n - p) < 6 * F.sqrt(p * (1 - p) / n)).alias("share"))
+
+
+@query(KEPT)
 def e19_dropout(spark, d):
-    return B.dropout(emb(spark, d), 0.25, seed=3).df
+    t = emb(spark, d)
+    return dropped(t, B.dropout(t, 0.25, seed=3), lambda v: v / 0.75, lambda v: v * 0, 0.25)
+
+
+@query(KEPT)
+def e19_alpha_dropout(spark, d):
+    """The cells' mean and variance stay where they are 0 and 1: what is dropped takes the activation's lower limit."""
+    t, p = emb(spark, d), 0.25
+    a = ((1 - p) * (1 + p * B.ALPHA_LIMIT**2)) ** -0.5
+    shift = -a * B.ALPHA_LIMIT * p
+    return dropped(t, B.alpha_dropout(t, p, seed=3), lambda v: v * a + shift, lambda v: F.lit(B.ALPHA_LIMIT) * a + shift, p)
+
+
+@query(f"WITH {EMB}, p AS (SELECT vec, k // 8 AS c, k % 8 AS j, value FROM emb) SELECT count(DISTINCT (vec, c)) AS slices, true AS whole, true AS share FROM p")
+def e19_feature_alpha_dropout(spark, d):
+    """A slice is dropped as a whole or kept as a whole."""
+    t = S.unflatten(emb(spark, d), "k", {"c": 8, "j": 8})
+    out = B.alpha_dropout(t, 0.25, seed=3, over=["vec", "c"]).df.groupBy("vec", "c").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    gone = F.col("low") == F.col("high")
+    n = F.count("*")
+    return out.agg(n.alias("slices"), (F.count_if(gone) > 0).alias("whole"), (F.abs(F.count_if(gone) / n - 0.25) < 6 * F.sqrt(0.1875 / n)).alias("share"))
+
+
+@query("SELECT c_custkey, true AS exact FROM customer")
+def e16_gelu_exact(spark, d):
+    """The error function's form of gelu, against the derivative of the normal distribution function by differences."""
+    x = F.col("c_acctbal") / 2000
+    c = table(spark, d, "customer")
+    h = 1e-3
+    slope = (UNARY["erf"](x + h) - UNARY["erf"](x - h)) / (2 * h)
+    density = 2 / F.sqrt(F.lit(3.141592653589793)) * F.exp(-x * x)
+    form = 0.5 * x * (1 + UNARY["erf"](x / F.sqrt(F.lit(2.0))))
+    return c.select("c_custkey", ((F.abs(slope - density) < 2e-6) & (F.abs(UNARY["gelu_exact"](x) - form) < 1e-12) & (F.abs(UNARY["erf"](x) + UNARY["erf"](-x)) < 1e-15)).alias("exact"))
 
 
 @query(f"WITH {EMB} SELECT vec, k, round((value - avg(value) OVER w) / sqrt(var_pop(value) OVER w + 1e-5), 6) + 0.0 AS value FROM emb WINDOW w AS (PARTITION BY vec)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from ..operators import change as D
 from ..operators import hof as H
 from ..operators import lookup as K
 from ..operators import reduce as R
+from ..sources.scratch import shared_root
 from ..streaming import streams as T
 from .common import ACT, QTY, act, qty, query, table
 
@@ -253,21 +253,37 @@ def d5_connected_groups(spark, d):
 
 
 def totals(df: DataFrame) -> DataFrame:
-    return df.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("price"), 2).alias("total"))
+    return df.groupBy("o_custkey").agg(F.count("price").alias("orders"), F.round(F.sum("price"), 2).alias("total"), F.count("discount").alias("discounts"))
 
 
-@query("SELECT o_custkey, count(*) AS orders, round(sum(CASE WHEN o_custkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END), 2) AS total FROM orders GROUP BY o_custkey")
+def prices(spark, d, swapped: int | None, raised: int | None) -> DataFrame:
+    """Orders with a price or, for some customers, a discount in its stead; these swap the two, others pay one more."""
+    o = table(spark, d, "orders")
+    mod = lambda n: F.lit(False) if n is None else F.col("o_custkey") % n == 0
+    amount = F.when(mod(raised), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    discount = (F.col("o_custkey") % 4 == 0) & ~mod(swapped)
+    return o.select("o_custkey", "o_orderkey", F.when(~discount, amount).alias("price"), F.when(discount, amount).alias("discount"))
+
+
+PRICES = "p AS (SELECT o_custkey, CASE WHEN o_custkey % {raised} = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS amount, o_custkey % 4 = 0 AND o_custkey % {swapped} <> 0 AS discount FROM orders), {name} AS (SELECT o_custkey, count(*) FILTER (NOT discount) AS orders, round(sum(amount) FILTER (NOT discount), 2) AS total, count(*) FILTER (discount) AS discounts FROM p GROUP BY o_custkey)"
+NEVER = 10**9
+
+
+@query(f"WITH {PRICES.format(raised=10, swapped=12, name='t')} SELECT * FROM t")
 def d6_incremental_refresh(spark, d):
-    old = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"))
-    new = old.withColumn("price", F.when(F.col("o_custkey") % 10 == 0, F.col("price") + 1).otherwise(F.col("price")))
-    return D.incremental_refresh(old, new, totals(old), ["o_custkey"], totals)
+    """Some customers' nulls move from one column to the other, which is a change like any other."""
+    old = prices(spark, d, None, None)
+    return D.incremental_refresh(old, prices(spark, d, 12, 10), totals(old), ["o_custkey"], totals)
 
 
-@query("SELECT o_custkey, 0::BIGINT AS orders, 0.0::DOUBLE AS total, '' AS only_in FROM orders WHERE false")
+@query(f"WITH {PRICES.format(raised=NEVER, swapped=NEVER, name='a')}, {PRICES.format(raised=7, swapped=NEVER, name='b').replace('p AS', 'p2 AS').replace('FROM p ', 'FROM p2 ')}, c AS (SELECT * FROM a WHERE o_custkey % 7 <> 0 OR o_custkey % 2 <> 0 UNION ALL SELECT * FROM b WHERE o_custkey % 14 = 0) SELECT *, 'incremental' AS only_in FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'fresh' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM c)")
 def d7_verify_incremental(spark, d):
-    new = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"))
-    old = new.withColumn("price", F.when(F.col("o_custkey") % 7 == 0, F.col("price") - 5).otherwise(F.col("price")))
-    return D.verify_incremental(D.incremental_refresh(old, new, totals(old), ["o_custkey"], totals), totals(new))
+    """A refresh told of half of the changes differs in the other half, one told of all differs nowhere."""
+    old, new = prices(spark, d, None, None), prices(spark, d, None, 7)
+    told = new.filter("o_custkey % 14 = 0").unionByName(old.filter("o_custkey % 14 <> 0"))
+    fresh = totals(new)
+    half, whole = (D.incremental_refresh(old, x, totals(old), ["o_custkey"], totals) for x in (told, new))
+    return D.verify_incremental(half, fresh).unionByName(D.verify_incremental(whole, fresh))
 
 
 @query("SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)")
@@ -282,14 +298,15 @@ def d9_latency_stats(spark, d):
     return Q.latency_stats(table(spark, d, "events"), "event_type", "value")
 
 
-@query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, c_custkey // 3 AS parent FROM customer WHERE c_custkey >= 3), v AS (SELECT c_custkey AS node, min(c_mktsegment) AS value FROM customer WHERE c_custkey % 7 = 0 GROUP BY ALL),
-n AS (SELECT node FROM p UNION SELECT parent FROM p UNION SELECT node FROM v), a AS (SELECT node, node AS place, 0 AS depth FROM n UNION ALL SELECT a.node, p.parent, depth + 1 FROM a JOIN p ON p.node = a.place),
-h AS (SELECT a.node, v.value, a.depth, row_number() OVER (PARTITION BY a.node ORDER BY a.depth) AS r FROM a JOIN v ON v.node = a.place) SELECT node, value, depth FROM h WHERE r = 1""")
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, c_custkey - 1 AS parent FROM customer WHERE c_custkey % 40 <> 0 UNION ALL SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey >= 3), v AS (SELECT c_custkey AS node, min(c_mktsegment) AS value FROM customer WHERE c_custkey % 40 = 1 GROUP BY ALL),
+a(node, value, depth) USING KEY (node) AS (SELECT node, value, 0 FROM v UNION (SELECT p.node, min(a.value), min(a.depth) + 1 FROM a JOIN p ON p.parent = a.node WHERE p.node NOT IN (SELECT node FROM recurring.a) GROUP BY p.node)) SELECT node, value, depth FROM a""")
 def d10_method_resolution(spark, d):
+    """Chains of up to 39 steps that also meet other chains."""
     c = table(spark, d, "customer")
-    parents = c.filter("c_custkey >= 3").select(F.col("c_custkey").alias("node"), F.floor(F.col("c_custkey") / 3).alias("parent"))
-    values = c.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("value"))
-    return K.method_resolution(parents, values)
+    parents = c.filter("c_custkey % 40 <> 0").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") - 1).alias("parent"))
+    others = c.filter("c_custkey % 5 = 0 AND c_custkey >= 3").select(F.col("c_custkey").alias("node"), F.floor(F.col("c_custkey") / 3).alias("parent"))
+    values = c.filter("c_custkey % 40 = 1").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("value"))
+    return K.method_resolution(parents.unionByName(others), values)
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
@@ -313,10 +330,13 @@ def t3_ewma_batch(spark, d):
     return D.ewma_cost(marked, ["user_id"], ["ts", "event_id"], "value", "reset").select("user_id", F.round("average", 6).alias("average"))
 
 
-@query("""WITH x AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 2 - CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderkey % 4 = 0 THEN 'full' ELSE 'edit' END AS kind, o_orderpriority AS p FROM orders),
+CHANGES = """WITH x AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 2 - CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderkey % 4 = 0 THEN 'full' ELSE 'edit' END AS kind, o_orderpriority AS p FROM orders),
 b AS (SELECT *, count(*) FILTER (kind = 'full') OVER (PARTITION BY key ORDER BY version ROWS UNBOUNDED PRECEDING) AS base, lag(version) OVER (PARTITION BY key ORDER BY version) AS before FROM x),
 g AS (SELECT *, kind = 'edit' AND (base = 0 OR before IS NULL OR version - before <> 1) AS gap FROM b), r AS (SELECT *, max(gap::INT) OVER (PARTITION BY key, base ORDER BY version ROWS UNBOUNDED PRECEDING) = 1 AS broken FROM g), l AS (SELECT key, max(base) AS base FROM r GROUP BY key)
-SELECT key, max(version) FILTER (NOT broken) AS version, CASE WHEN base > 0 THEN string_agg(p, '' ORDER BY version) FILTER (NOT broken) END AS text, NOT bool_or(broken) AND base > 0 AS in_sync FROM r JOIN l USING (key, base) GROUP BY key, base""")
+SELECT key, max(version) FILTER (NOT broken) AS version, CASE WHEN base > 0 THEN string_agg(p, '' ORDER BY version) FILTER (NOT broken) END AS text, NOT bool_or(broken) AND base > 0 AS in_sync FROM r JOIN l USING (key, base) GROUP BY key, base"""
+
+
+@query(CHANGES)
 def t4_change_log_keys(spark, d):
     return D.apply_change_log(change_log(spark, d), ["key"]).select("key", "version", "text", "in_sync")
 
@@ -337,14 +357,50 @@ def t7_daily_windows_batch(spark, d):
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "v")
 
 
-def streamed(spark, d, job, keys: list[str], order: str) -> DataFrame:
-    """The table that a streaming job over events leaves behind."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-axisframe-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    T.run_once(T.upserts(job(T.read_events(spark, d, "events.parquet")), path, keys, order, f"{path}-checkpoint"), spark)
+def streamed(spark, d, job, keys: list[str], order: str, mode: str = "update", source: DataFrame | None = None) -> DataFrame:
+    """The table that a streaming job over events (or another stream) leaves behind."""
+    path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    events_ = source if source is not None else T.read_events(spark, d, "events.parquet")
+    T.run_once(T.upserts(job(events_), path, keys, order, f"{path}-checkpoint", mode), spark)
     return T.current(spark, path, keys, order)
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def t1_debounce_stream(spark, d):
+    """The sessions that the watermark has passed, each given out once."""
+    out = streamed(spark, d, lambda s: T.debounce(s, ["user_id"], "ts", "6 hours", "1 hour"), ["user_id", "start"], "end", "append")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
+
+
+@query(CHANGES)
+def t4_change_log_stream(spark, d):
+    path = f"{shared_root(spark)}/changes-{uuid.uuid4().hex}"
+    change_log(spark, d).write.parquet(path)
+    log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out = streamed(spark, d, lambda s: T.apply_change_log(s, "key"), ["key"], "version", source=log)
+    return out.select("key", F.nullif("version", F.lit(-1)).alias("version"), "text", "in_sync")
+
+
+@query("""WITH c AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half, max(ts) AS last FROM events), kept AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start FROM events, c WHERE ts >= half OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > last - INTERVAL 2 DAY)
+SELECT event_type, start, count(*) AS n, true AS late FROM kept GROUP BY ALL""")
+def t8_late_data_stream(spark, d):
+    """The later half of the events comes first, so the earlier half is too late: it changes nothing and is counted."""
+    e = events(spark, d)
+    half = e.agg((F.min(F.unix_micros("ts")) + F.expr("(max(unix_micros(ts)) - min(unix_micros(ts))) / 2")).alias("half"))
+    turn = F.when(F.unix_micros("ts") < F.col("half"), 2).otherwise(F.col("event_id") % 2)
+    marked = e.join(F.broadcast(half)).select("event_type", "ts", turn.alias("turn"))
+    path = f"{shared_root(spark)}/late-{uuid.uuid4().hex}"
+    for k in range(3):  # a file for each micro-batch: what is late in one follows from the watermark of the batch before
+        marked.filter(F.col("turn") == k).drop("turn").coalesce(1).write.mode("append").parquet(path)
+    source = T.read_events(spark, path, files_per_trigger=1)
+    job = T.time_windows(source, ["event_type"], "ts", "1 day", None, "2 days", F.count("*").alias("n")).select("event_type", "start", "n")
+    kept = f"{path}-out"
+    done = T.run_once(T.upserts(job, kept, ["event_type", "start"], "n", f"{kept}-checkpoint"), spark)
+    out = T.current(spark, kept, ["event_type", "start"], "n")
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.lit(T.late_rows(done) > 0).alias("late"))
+
+
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def t2_t6_latest_version_stream(spark, d):
     out = streamed(spark, d, lambda s: T.latest_version(s, ["user_id"], "event_id", "event_type"), ["user_id"], "event_id")

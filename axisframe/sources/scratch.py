@@ -5,18 +5,44 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one where unset) and read back, with no lineage."""
-    spark = df.sparkSession
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one on a single machine (as in tests), and an
+    error on a cluster, whose machines would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-axisframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/axisframe-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-axisframe-")
+    return _local[app]
+
+
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage ends here and a lost executor costs nothing.
+
+    The table goes with `forget`, or when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/axisframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

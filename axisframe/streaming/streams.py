@@ -33,28 +33,43 @@ def latest_version(events: DataFrame, keys: list[str], version: str, payload: st
     return events.groupBy(*keys).agg(F.max_by(payload, version).alias(payload), F.max(version).alias(version))
 
 
-def ewma(events: DataFrame, key: str, order: str | list[str], cost: str, reset: str | None = None, alpha: float = 0.5) -> DataFrame:
-    """(key, average, rows) after each micro-batch: a fold in each key's state, rows of a batch in order; a reset row empties it."""
+def timeout(keep: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def ewma(events: DataFrame, key: str, order: str | list[str], cost: str, reset: str | None = None, alpha: float = 0.5, keep: int | None = None) -> DataFrame:
+    """(key, average, rows) after each micro-batch: a fold in each key's state, rows of a batch in order; a reset row empties it.
+
+    With `keep`, a key's state goes after so many milliseconds without a row, so that the state stays bounded.
+    """
     kind = events.schema[key].dataType.simpleString()
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         average, rows = state.get if state.exists else (None, 0)
         pdf = pd.concat(list(frames)).sort_values(order)
         for value, clear in zip(pdf[cost], pdf[reset] if reset else [False] * len(pdf), strict=True):
             average = None if clear else float(value) if average is None else average * (1 - alpha) + float(value) * alpha
             rows += 1
         state.update((average, rows))
+        if keep is not None:
+            state.setTimeoutDuration(keep)
         yield pd.DataFrame({key: [group[0]], "average": [average], "rows": [rows]})
 
-    return events.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, average double, rows long", "average double, rows long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, average double, rows long", "average double, rows long", "update", timeout(keep))
 
 
-def apply_change_log(events: DataFrame, key: str, version: str = "version", kind: str = "kind", payload: str = "payload") -> DataFrame:
+def apply_change_log(events: DataFrame, key: str, version: str = "version", kind: str = "kind", payload: str = "payload", keep: int | None = None) -> DataFrame:
     """(key, version, text, in_sync) after each micro-batch: an edit that does not follow the last version silences the key
-    until a full text comes."""
+    until a full text comes; version is -1 before the first one. `keep` bounds the state as in ewma."""
     key_type = events.schema[key].dataType.simpleString()
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, text, in_sync = state.get if state.exists else (-1, None, False)
         for row in pd.concat(list(frames)).sort_values(version).itertuples():
             v, k, p = getattr(row, version), getattr(row, kind), getattr(row, payload)
@@ -66,9 +81,11 @@ def apply_change_log(events: DataFrame, key: str, version: str = "version", kind
             elif v > at:
                 in_sync = False
         state.update((at, text, in_sync))
+        if keep is not None:
+            state.setTimeoutDuration(keep)
         yield pd.DataFrame({key: [group[0]], "version": [at], "text": [text], "in_sync": [in_sync]})
 
-    return events.groupBy(key).applyInPandasWithState(run, f"`{key}` {key_type}, version long, text string, in_sync boolean", "version long, text string, in_sync boolean", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, f"`{key}` {key_type}, version long, text string, in_sync boolean", "version long, text string, in_sync boolean", "update", timeout(keep))
 
 
 def dedupe_events(events: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
@@ -76,23 +93,54 @@ def dedupe_events(events: DataFrame, keys: list[str], ts: str, late: str = "1 ho
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upserts(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """A writer that keeps one current row for each key below path, in one folder for each micro-batch's version; read it
-    with `current`. A batch that runs again writes the same folder again."""
+def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Each key's row of the largest order, the later batch's on ties."""
+    rest = [c for c in rows.columns if c not in keys and c not in (order, "epoch")]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(order, "epoch", *rest)).alias("r_"))
+    return best.select(*keys, f"r_.{order}", "r_.epoch", *(f"r_.{c}" for c in rest))
+
+
+def folders(spark: SparkSession, path: str) -> tuple[int, list[tuple[int, str]]]:
+    """(epoch of the last compaction or -1, its folder and those of the batches after it, by epoch)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in system.listStatus(where)] if system.exists(where) else []
+    done = [p for p in found if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    numbered = sorted((p.getName().split("=")[0], int(p.getName().split("=")[1]), p.toString()) for p in done if p.getName().split("=")[0] in ("batch", "upto"))
+    base = max((n for kind, n, _ in numbered if kind == "upto"), default=-1)
+    return base, [(n, p) for kind, n, p in numbered if n > base or (kind == "upto" and n == base)]
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], order: str) -> None:
+    """Write the current rows of all batches so far as one table, and delete what it stands for once it is complete."""
+    base, parts = folders(spark, path)
+    if len(parts) < 2:
+        return
+    last = max(n for n, _ in parts)
+    newest(spark.read.parquet(*(p for _, p in parts)), keys, order).write.mode("overwrite").parquet(f"{path}/upto={last}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for _, p in parts:
+        hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(p), True)
+
+
+def upserts(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, mode: str = "update", every: int = 50):
+    """A writer that keeps one current row for each key below path, in one folder for each micro-batch; read it with
+    `current`. A batch that runs again writes the same folder again, and every so many batches all are made one."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        rest = [c for c in batch.columns if c not in keys and c != order]
-        newest = batch.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("r_")).select(*keys, "r_.*")
-        newest.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        spark = batch.sparkSession
+        if epoch <= folders(spark, path)[0]:
+            return  # compacted before the batch was noted as done
+        newest(batch.withColumn("epoch", F.lit(epoch).cast("long")), keys, order).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        if epoch % every == every - 1:
+            compact(spark, path, keys, order)
 
-    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put)
 
 
 def current(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
     """The current row of each key."""
-    rows = spark.read.parquet(path).drop("batch")
-    rest = [c for c in rows.columns if c not in keys and c not in (order, "epoch")]
-    return rows.groupBy(*keys).agg(F.max(F.struct(order, "epoch", *rest)).alias("r_")).select(*keys, f"r_.{order}", *(f"r_.{c}" for c in rest))
+    return newest(spark.read.parquet(*(p for _, p in folders(spark, path)[1])), keys, order).drop("epoch")
 
 
 def time_windows(events: DataFrame, keys: list[str], ts: str, size: str, slide: str | None, late: str, *aggs) -> DataFrame:
@@ -101,7 +149,7 @@ def time_windows(events: DataFrame, keys: list[str], ts: str, size: str, slide:
 
 
 def late_rows(query) -> int:
-    """How many rows came too late, over the progress reports that the query still has."""
+    """How many rows, combined within each task, came too late, over the progress reports that the query still has."""
     return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
 
 
