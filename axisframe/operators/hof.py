@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import durable
 from ..tensor import Tensor, fail_unless
+from .reduce import placed
 from .split import stack
 
 
@@ -23,7 +24,8 @@ def vmap(f: Callable[..., pd.DataFrame], t: Tensor, batch, schema: str) -> DataF
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], value: str, init: Column, step: Callable[[Column, Column], Column], out: str = "carry") -> DataFrame:
-    """(keys, carry): an ordered fold for each key. A key's history is one array; see scan_all for each step's value."""
+    """(keys, carry): an ordered fold for each key by any step. A step may depend on all before it, so a key's history is
+    one array in one task; `ema` needs no such array. See scan_all for each step's value."""
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v_")))).alias("h_"))
     return packed.select(*keys, F.aggregate("h_", init, lambda c, x: step(c, x["v_"])).alias(out))
 
@@ -42,10 +44,18 @@ def scan_all(df: DataFrame, keys: list[str], order: list[str], value: str, init:
     return df.select(*keys, *order, value).groupBy(*keys).applyInPandas(run, f"{fields}, `{out}` double")
 
 
+def decayed(first: Column, rank: Column, n: Column, alpha: float) -> Column:
+    """A row's weight in the exponential average of n rows, by its rank from 0; the first row starts the average."""
+    faded = F.pow(F.lit(1 - alpha), (n - 1 - rank).cast("double"))
+    return F.when(first, faded).otherwise(alpha * faded)
+
+
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, out: str = "ema") -> DataFrame:
-    """The last exponential average for each key, starting from the first value: built-in functions only."""
-    packed = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v_")))), lambda x: x["v_"]).alias("h_"))
-    return packed.select(*keys, F.aggregate(F.slice("h_", F.lit(2), F.size("h_")), F.col("h_")[0], lambda c, x: c * (1 - alpha) + x * alpha).alias(out))
+    """(keys, ema): the last exponential average for each key, starting from the first value; rows without a value are
+    passed over. The average is a weighted sum by rank, so a key's rows are never gathered."""
+    rows = placed(df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value])), keys, order)
+    weight = decayed(F.col("r_") == 0, F.col("r_"), F.col("n_"), alpha)
+    return rows.groupBy(*keys).agg(F.sum(F.col(value).cast("double") * weight).alias(out))
 
 
 def while_loop(state: DataFrame, body: Callable[[DataFrame], DataFrame], go_on: Callable[[DataFrame, DataFrame], bool], most: int | None = None) -> DataFrame:

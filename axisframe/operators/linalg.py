@@ -39,7 +39,7 @@ def gram(df: DataFrame, column: str, extra: str | None = None) -> np.ndarray:
 
         total = np.zeros((n, n))
         for batch in batches:
-            x = np.array(batch["x"].to_pylist(), dtype=float).reshape(-1, n)
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), n)), pa.array(np.tile(np.arange(n), n)), pa.array(total.ravel())], ["i", "j", "v"])
 

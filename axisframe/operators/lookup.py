@@ -14,18 +14,28 @@ from ..tensor import fail_unless
 def asof_lookup(probes: DataFrame, bindings: DataFrame, keys: list[str], at: str, value: str, since: str | None = None, out: str | None = None) -> DataFrame:
     """probes with the last value bound at or before each one's time: a union and a running last, no range join.
 
-    Bindings at the same time: the larger value. A null time or key finds nothing.
+    Bindings at the same time: the larger value. A null time or key finds nothing. All rows are sorted by ranges of keys
+    and times, the running last is taken within each range, and a range takes what it lacks from those before, so a key
+    with any share of the rows is spread over many tasks.
     """
     since, out = since or at, out or value
     ready = bindings.groupBy(*keys, F.col(since).alias("t_")).agg(F.max(value).alias("b_"))
     side = ready.select(*keys, "t_", F.lit(0).alias("side_"), F.struct("b_").alias("b_"), F.lit(None).cast(probes.select(F.struct("*").alias("p")).schema["p"].dataType).alias("p_"))
     asked = probes.select(*keys, F.col(at).alias("t_"), F.lit(1).alias("side_"), F.lit(None).cast(side.schema["b_"].dataType).alias("b_"), F.struct(*probes.columns).alias("p_"))
-    w = Window.partitionBy(*keys).orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
-    both = side.unionByName(asked).withColumn("found_", F.last("b_", ignorenulls=True).over(w)).filter("side_ = 1")
+    rows = durable(side.unionByName(asked).orderBy(*keys, "t_", "side_").withColumn("row_", F.monotonically_increasing_id())).withColumn("range_", F.shiftright("row_", 33))
+    w = Window.partitionBy("range_", *keys).orderBy("row_").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("found_", F.last("b_", ignorenulls=True).over(w))
+    ends = rows.groupBy("range_").agg(F.max_by(F.struct(*keys), "row_").alias("k_"))  # a row for each range: its last key
+    of_key = rows.groupBy("range_", *keys).agg(F.max_by("b_", F.when(F.col("b_").isNotNull(), F.col("row_"))).alias("l_"))
+    last = of_key.join(F.broadcast(ends), "range_").filter(F.struct(*keys) == F.col("k_")).select("range_", "k_", "l_")
+    before = Window.partitionBy("k_").orderBy("range_").rowsBetween(Window.unboundedPreceding, 0)
+    carried = last.withColumn("l_", F.last("l_", ignorenulls=True).over(before)).withColumn("until_", F.lead("range_").over(Window.orderBy("range_")))
+    carried = F.broadcast(carried.select(F.col("until_").alias("to_"), F.col("k_").alias("of_"), F.col("l_").alias("carried_")))  # what the next range starts with
+    both = run.filter("side_ = 1").join(carried, (F.col("range_") == F.col("to_")) & (F.struct(*keys) == F.col("of_")), "left")
     complete = F.col("t_").isNotNull()
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    return both.select("p_.*", F.when(complete, F.col("found_.b_")).alias(out))
+    return both.select("p_.*", F.when(complete, F.coalesce("found_", "carried_")["b_"]).alias(out))
 
 
 def innermost_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, row: list[str], width: float = 1, id_: str = "scope_id") -> DataFrame:

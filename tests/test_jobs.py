@@ -192,3 +192,49 @@ def test_order_statistics_of_whole_vectors_and_groups(spark):
     assert "SinglePartition" not in window.softmax(vector).df.filter("value > 0")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     normal = value(window.normalise(grid, None, 0.0))
     assert all(abs(normal[(p, i)] - (x[p, i] - x.mean()) / x.std()) < 1e-9 for p in range(3) for i in range(57))
+
+
+def test_asof_carries_a_key_over_many_ranges(spark):
+    rng = random.Random(8)
+    bindings = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(0, 4000, 40)]), rng.randint(0, 9)) for _ in range(60)]
+    probes = [(i, rng.choice([1, 1, 1, 1, 2, 3, None]), rng.choice([None, *range(4100)])) for i in range(3000)]
+    b, p = spark.createDataFrame(bindings, "k int, t int, v int"), spark.createDataFrame(probes, "id int, k int, t int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r["id"]: r["v"] for r in K.asof_lookup(p, b, ["k"], "t", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: max(((bt, v) for bk, bt, v in bindings if None not in (k, t, bt) and bk == k and bt <= t), default=(0, None))[1] for i, k, t in probes}
+
+
+def test_averages_pass_over_nulls_and_start_at_resets(spark):
+    rows = [("a", 1, 4.0, False), ("a", 2, None, False), ("a", 3, 8.0, None), ("b", 1, 1.0, False), ("b", 2, 5.0, True), ("b", 3, 3.0, False), ("b", 4, 7.0, False), ("c", 1, 9.0, True), ("d", 1, None, False), (None, 1, 2.0, False)]
+    df = spark.createDataFrame(rows, "k string, t int, v double, r boolean")
+    got = {r["k"]: r["average"] for r in D.ewma_cost(df, ["k"], ["t"], "v", "r").collect()}
+    assert got == {"a": 6.0, "b": 5.0, "c": None, "d": None, None: 2.0}
+    assert {r["k"]: r["ema"] for r in H.ema(df, ["k"], ["t"], "v", 0.25).collect()} == {"a": 5.0, "b": pytest.approx(3.4375), "c": 9.0, None: 2.0}
+
+
+def test_upserts_are_compacted(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    for epoch in range(7):
+        rows = spark.createDataFrame([(k, epoch * 10 + k, f"v{epoch}") for k in range(epoch % 3 + 1)], "k int, at int, v string")
+        rows.withColumn("epoch", F.lit(epoch).cast("long")).write.parquet(f"{path}/batch={epoch}")
+        if epoch in (2, 5):
+            T.compact(spark, path, ["k"], "at")
+            base, parts = T.folders(spark, path)
+            assert base == epoch and [(n, p.rsplit("/", 1)[1]) for n, p in parts] == [(epoch, f"upto={epoch}")]
+    assert sorted((r["k"], r["at"], r["v"]) for r in T.current(spark, path, ["k"], "at").collect()) == [(0, 60, "v6"), (1, 51, "v5"), (2, 52, "v5")]
+
+
+def test_error_function(spark):
+    from math import erf
+
+    from axisframe.functions.catalogue import UNARY
+
+    xs = [x / 16 for x in range(-120, 121)] + [1e-300, 30.0, -30.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", UNARY["erf"](F.col("x")).alias("e")).collect()
+    assert all(abs(r["e"] - erf(r["x"])) < 4e-15 for r in got)
