@@ -52,18 +52,6 @@ def piece_counts(pretokens: DataFrame, path: str | None = None) -> DataFrame:
     return pretokens.mapInArrow(run, "pretoken string, n long, pieces int")
 
 
-class Pending(dict):
-    """Pieces by pre-token; the keys it lacks count 0 and are kept in `rest`."""
-
-    def __init__(self, known):
-        super().__init__(known)
-        self.rest: list[str] = []
-
-    def __missing__(self, key):
-        self.rest.append(key)
-        return 0
-
-
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None, lexicon: int = LEXICON) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs."""
     spark = docs.sparkSession
@@ -79,14 +67,17 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None, l
 
     def run(batches):
         tok, _ = loaded(WordBpe, path)
-        look = Pending(known.value)
+        look = known.value
         for batch in batches:
             sizes, sums, rests = [], [], []
             for text in texts_of(batch):
-                look.rest = []
-                sums.append(sum(map(look.__getitem__, tok.pretokens(text))))
+                frequencies = Counter(tok.pretokens(text))
+                rest = [(p, n) for p, n in frequencies.items() if p not in look]
+                for p, _ in rest:
+                    del frequencies[p]
+                sums.append(sum(n * look[p] for p, n in frequencies.items()))
                 sizes.append(len(text.encode()))
-                rests.append([{"pretoken": k, "n": v} for k, v in Counter(look.rest).items()])
+                rests.append([{"pretoken": p, "n": n} for p, n in rest])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rests, rest_type)], ["doc_id", "n_bytes", "known", "rest"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, known long, rest array<struct<pretoken:string,n:long>>"
