@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import durable
 from ..tensor import fail_unless
-from .hof import decayed
-from .reduce import placed
+from .hof import averaged
 
 FULL_ABOVE = 0.6
 
@@ -87,18 +86,9 @@ def latest_version(events: DataFrame, keys: list[str], version: str) -> DataFram
 
 
 def ewma_cost(samples: DataFrame, keys: list[str], order: list[str], cost: str, reset: str, alpha: float = 0.5) -> DataFrame:
-    """(keys, average): the average starts anew at a reset row; null where no cost follows the last reset. Rows are weighted
-    by their rank after it, so a key's rows are never gathered; rows without a cost are passed over, a null reset is none."""
-    resets = F.coalesce(F.col(reset), F.lit(False))
-    used = samples.filter(resets | F.col(cost).isNotNull()).select(*dict.fromkeys([*keys, *order]), F.col(cost).cast("double").alias("c_"), resets.alias("reset_"))
-    rows = placed(used, keys, order)
-    last = rows.groupBy(*(F.col(k).alias(f"{k}_of_") for k in keys)).agg(F.coalesce(F.max(F.when(F.col("reset_"), F.col("r_"))), F.lit(-1)).alias("last_"))
-    both = rows.join(last, fold(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_of_")) for k in keys)))
-    rank, n = F.col("r_") - F.col("last_") - 1, F.col("n_") - F.col("last_") - 1
-    weight = decayed(rank == 0, rank, n, alpha)
-    found = both.groupBy(*keys).agg(F.sum(F.when(rank >= 0, F.col("c_") * weight)).alias("average"))
-    others = of_keys(samples.select(*keys).distinct(), used, keys, "left_anti").withColumn("average", F.lit(None).cast("double"))
-    return found.unionByName(others)
+    """(keys, average): the average starts anew at a reset row; null where no cost follows the last reset. Rows without a
+    cost are passed over, a null reset is none."""
+    return averaged(samples, keys, order, cost, alpha, "average", reset)
 
 
 def apply_change_log(log: DataFrame, keys: list[str], version: str = "version", kind: str = "kind", payload: str = "payload") -> DataFrame:

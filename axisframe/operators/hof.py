@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import durable
 from ..tensor import Tensor, fail_unless
-from .reduce import placed
 from .split import stack
 
 
@@ -44,18 +43,40 @@ def scan_all(df: DataFrame, keys: list[str], order: list[str], value: str, init:
     return df.select(*keys, *order, value).groupBy(*keys).applyInPandas(run, f"{fields}, `{out}` double")
 
 
-def decayed(first: Column, rank: Column, n: Column, alpha: float) -> Column:
-    """A row's weight in the exponential average of n rows, by its rank from 0; the first row starts the average."""
-    faded = F.pow(F.lit(1 - alpha), (n - 1 - rank).cast("double"))
-    return F.when(first, faded).otherwise(alpha * faded)
+def averaged(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, out: str, reset: str | None = None) -> DataFrame:
+    """(keys, out): each key's last exponential average, starting from the first value and anew after a row where `reset`
+    holds; rows without a value are passed over.
+
+    Rows are sorted by ranges of keys and order. Within a range the average is folded in order, from nothing and as a map
+    of an average before it; the few ranges of a key are then put together. So no task holds a key beyond one range.
+    """
+    clear = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
+    used = df.select(*dict.fromkeys([*keys, *order]), F.col(value).cast("double").alias("x_"), clear.alias("clear_"))
+    rows = durable(used.orderBy(*keys, *order).withColumn("at_", F.monotonically_increasing_id()))
+    steps = F.array_sort(F.collect_list(F.struct("at_", "x_", "clear_")))
+    none = F.lit(None).cast("double")
+    keep = 1 - alpha
+
+    def step(s: Column, r: Column) -> Column:
+        x = r["x_"]
+        mixed = F.when(x.isNull(), s["v"]).when(s["v"].isNull(), x).otherwise(s["v"] * keep + x * alpha)
+        open_ = ~s["clear"] & ~r["clear_"] & x.isNotNull()
+        return F.struct(
+            F.when(r["clear_"], none).otherwise(mixed).alias("v"), (s["clear"] | r["clear_"]).alias("clear"),
+            F.when(open_, s["fade"] * keep).otherwise(s["fade"]).alias("fade"), F.when(open_, s["gain"] * keep + x * alpha).otherwise(s["gain"]).alias("gain"),
+        )
+
+    empty = F.struct(none.alias("v"), F.lit(False).alias("clear"), F.lit(1.0).alias("fade"), F.lit(0.0).alias("gain"))
+    parts = rows.groupBy(*keys, F.shiftright("at_", 33).alias("range_")).agg(F.aggregate(steps, empty, step).alias("s_"))
+    join = lambda a, p: F.when(p["s_"]["clear"] | a.isNull(), p["s_"]["v"]).otherwise(a * p["s_"]["fade"] + p["s_"]["gain"])
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("range_", "s_"))), none, join)
+    return parts.groupBy(*keys).agg(whole.alias(out))
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, out: str = "ema") -> DataFrame:
     """(keys, ema): the last exponential average for each key, starting from the first value; rows without a value are
-    passed over. The average is a weighted sum by rank, so a key's rows are never gathered."""
-    rows = placed(df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value])), keys, order)
-    weight = decayed(F.col("r_") == 0, F.col("r_"), F.col("n_"), alpha)
-    return rows.groupBy(*keys).agg(F.sum(F.col(value).cast("double") * weight).alias(out))
+    passed over."""
+    return averaged(df, keys, order, value, alpha, out)
 
 
 def while_loop(state: DataFrame, body: Callable[[DataFrame], DataFrame], go_on: Callable[[DataFrame, DataFrame], bool], most: int | None = None) -> DataFrame:

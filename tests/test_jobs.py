@@ -215,7 +215,27 @@ def test_averages_pass_over_nulls_and_start_at_resets(spark):
     df = spark.createDataFrame(rows, "k string, t int, v double, r boolean")
     got = {r["k"]: r["average"] for r in D.ewma_cost(df, ["k"], ["t"], "v", "r").collect()}
     assert got == {"a": 6.0, "b": 5.0, "c": None, "d": None, None: 2.0}
-    assert {r["k"]: r["ema"] for r in H.ema(df, ["k"], ["t"], "v", 0.25).collect()} == {"a": 5.0, "b": pytest.approx(3.4375), "c": 9.0, None: 2.0}
+    assert {r["k"]: r["ema"] for r in H.ema(df, ["k"], ["t"], "v", 0.25).collect()} == {"a": 5.0, "b": 3.4375, "c": 9.0, "d": None, None: 2.0}
+
+
+def test_averages_over_many_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2]), t, rng.random(), rng.random() < 0.002) for t in range(4000)]
+    df = spark.createDataFrame(rows, "k int, t int, v double, r boolean").repartition(16)
+    want = {}
+    for k, _, v, r in rows:
+        a, e = want.get(k, (None, None))
+        want[k] = (None if r else v if a is None else a * 0.9 + v * 0.1, v if e is None else e * 0.9 + v * 0.1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r["k"]: r["average"] for r in D.ewma_cost(df, ["k"], ["t"], "v", "r", 0.1).collect()}
+        plain = {r["k"]: r["ema"] for r in H.ema(df, ["k"], ["t"], "v", 0.1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {k: (pytest.approx(got[k]), pytest.approx(plain[k])) for k in got} == want
 
 
 def test_upserts_are_compacted(spark, tmp_path):
