@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from .common import durable, forget
 
 
-def large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every neighbour above a node is tied to the node's smallest neighbour (or itself). Also the table of these, which is
-    written so that a join can split hubs."""
+def large_star(edges: DataFrame) -> DataFrame:
+    """Every neighbour above a node is tied to the node's smallest neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = durable(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
     joined = down.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), least
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,11 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     before = state(edges)
     while before[0]:
-        large, least = large_star(edges)
-        tied = durable(large, "large")
-        small, fewest = small_star(tied)
-        after = durable(small, "small")
-        forget(edges, least, tied, fewest)
+        after = durable(small_star(large_star(edges)), "stars")
+        forget(edges)
         edges, now = after, state(after)
         if now == before:
             break

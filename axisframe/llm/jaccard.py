@@ -234,19 +234,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, carry
     forget(rows)
     lists = durable(posted.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")), "lists")
 
-    lead = durable(posted.groupBy("token").agg(F.min(F.struct("rare", "node", "n", "pos")).alias("l")), "leaders")
+    lead = posted.groupBy("token").agg(F.min(F.struct("rare", "node", "n", "pos")).alias("l"))
     lo, hi = F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")
     led = posted.join(lead, "token").filter((F.col("node") != F.col("l.node")) & possible(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), percent))
     stars = durable(enough_shared(led.select(lo, hi).distinct(), lists, percent), "candidates")
-    forget(lead)
     links = durable(verified(docs, firsts, stars, width, percent, levels), "links")
     roots = durable(components(links), "roots")
 
     own = durable(posted.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     forget(posted)
-    mixed = durable(own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "mixed")
+    mixed = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     open_ = durable(own.join(mixed, "token"), "open")
-    forget(own, mixed)
+    forget(own)
     x, y = open_.alias("x"), open_.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
     rest = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
