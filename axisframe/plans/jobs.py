@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..operators import change as D
 from ..operators import hof as H
 from ..operators import lookup as K
 from ..operators import reduce as R
-from ..sources.scratch import shared_root
+from ..sources.scratch import scratch_folder
 from ..streaming import streams as T
 from .common import ACT, QTY, act, qty, query, table
 
@@ -359,7 +357,7 @@ def t7_daily_windows_batch(spark, d):
 
 def streamed(spark, d, job, keys: list[str], order: str, mode: str = "update", source: DataFrame | None = None) -> DataFrame:
     """The table that a streaming job over events (or another stream) leaves behind."""
-    path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark, 'stream')}/rows"
     events_ = source if source is not None else T.read_events(spark, d, "events.parquet")
     T.run_once(T.upserts(job(events_), path, keys, order, f"{path}-checkpoint", mode), spark)
     return T.current(spark, path, keys, order)
@@ -375,7 +373,7 @@ def t1_debounce_stream(spark, d):
 
 @query(CHANGES)
 def t4_change_log_stream(spark, d):
-    path = f"{shared_root(spark)}/changes-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark, 'changes')}/log"
     change_log(spark, d).write.parquet(path)
     log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out = streamed(spark, d, lambda s: T.apply_change_log(s, "key"), ["key"], "version", source=log)
@@ -390,7 +388,7 @@ def t8_late_data_stream(spark, d):
     half = e.agg((F.min(F.unix_micros("ts")) + F.expr("(max(unix_micros(ts)) - min(unix_micros(ts))) / 2")).alias("half"))
     turn = F.when(F.unix_micros("ts") < F.col("half"), 2).otherwise(F.col("event_id") % 2)
     marked = e.join(F.broadcast(half)).select("event_type", "ts", turn.alias("turn"))
-    path = f"{shared_root(spark)}/late-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark, 'late')}/events"
     for k in range(3):  # a file for each micro-batch: what is late in one follows from the watermark of the batch before
         marked.filter(F.col("turn") == k).drop("turn").coalesce(1).write.mode("append").parquet(path)
     source = T.read_events(spark, path, files_per_trigger=1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import audit as Q
@@ -16,20 +14,16 @@ from ..operators import reshape as S
 from ..operators import split as P
 from ..operators import window as W
 from ..sources import build
-from ..sources.scratch import shared_root
+from ..sources.scratch import scratch_folder
 from ..tensor import Tensor
 from .common import ACT, EMB, PART, QTY, act, emb, price, qty, query, rounded, size, table
 from .shapes import FULL, MONTH, by_month
 
 
-def folder(spark, name: str) -> str:
-    return f"{shared_root(spark)}/axisframe-{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_mktsegment AS segment, count(*) AS lines, sum(len(c_name))::BIGINT AS characters FROM customer GROUP BY ALL")
 def s2_scan_corpus(spark, d):
     """Customers' names as text files below a folder called build, scanned back without a skipped folder."""
-    root = f"{folder(spark, 'corpus')}/build"
+    root = f"{scratch_folder(spark, 'corpus')}/build"
     names = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_name")
     names.write.partitionBy("segment").text(f"{root}/names")
     names.drop("segment").write.text(f"{root}/names/node_modules")
@@ -49,7 +43,7 @@ def s15_write_diagnostics(spark, d):
     c, n = table(spark, d, "customer"), F.col("c_nationkey")
     findings = c.select(F.lit("n").alias("source"), F.col("c_custkey").cast("string").alias("row_key"), F.lit("size").alias("rule"), F.when(n % 5 == 0, "approximation").otherwise("mismatch").alias("kind"),
                         F.concat(F.lit("size is "), n.cast("string")).alias("message"), F.when(n % 2 == 0, (n % 3).cast("int")).alias("axis"))
-    path = folder(spark, "findings")
+    path = f"{scratch_folder(spark, 'findings')}/all"
     build.write_diagnostics(findings, path)
     return spark.read.schema(findings.schema).parquet(path).select(*findings.columns)
 

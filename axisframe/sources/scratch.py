@@ -25,6 +25,16 @@ def shared_root(spark: SparkSession) -> str:
     return _local[app]
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files of any kind; it goes when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/axisframe-{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here and a lost executor costs nothing.
 
