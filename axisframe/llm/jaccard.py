@@ -263,3 +263,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, carry
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).drop("root")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM c UNION ALL SELECT b, a FROM c),
+cc(node, root) USING KEY (node) AS (SELECT doc_id, doc_id FROM s UNION (SELECT p.node, min(i.root) FROM recurring.cc p JOIN e x ON x.a = p.node JOIN cc i ON i.node = x.b WHERE i.root < p.root GROUP BY p.node))
+SELECT doc_id, len(s)::BIGINT AS n_shingles, root AS component_id FROM s JOIN cc ON node = doc_id
+"""

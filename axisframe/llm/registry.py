@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_chunks
-from .jaccard import op5_ngram_jaccard
+from .jaccard import OP5_SQL, op5_ngram_jaccard
 from .lm import op3_lm_scoring
 from .media import op7_media_columns
 from .packing import op10_best_fit_packing
@@ -18,4 +18,4 @@ OPERATORS = (
     op6_token_counts, op7_media_columns, op8_toxicity, op9_exact_topk, op10_best_fit_packing,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
-SQL = {"op1_sharding": OP1_SQL, "op9_exact_topk": OP9_SQL}
+SQL = {"op1_sharding": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op9_exact_topk": OP9_SQL}
