@@ -14,7 +14,7 @@ from ..sources.scratch import durable, forget
 
 __all__ = ["durable", "forget"]
 BATCH_ROWS = 2000
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -65,5 +65,5 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, prepa
     sample = labelled_sample(docs, labels, label, per_class)
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = sample.mapInArrow(ready, f"doc_id {kind}, y int, x binary").repartition(1).sortWithinPartitions("doc_id")
-    found = ordered.select("x", "y").mapInArrow(run, "model binary").collect()  # one row, or none without a sample
-    return pickle.loads(found[0]["model"]) if found else None
+    found = ordered.select("x", "y").mapInArrow(run, "model binary").toArrow()["model"]  # one row, or none without a sample
+    return pickle.loads(found[0].as_buffer()) if len(found) else None

@@ -31,7 +31,7 @@ PER_CLASS = 1500
 RANK = 48
 NEIGHBOURS = 15
 BLOCK = 256
-BITS = 16  # of a term's bucket
+BITS = 15  # of a term's bucket; 16 at most
 UNIT = 1 << 19  # what 1 is in a stored vector
 WORD, PAIR, SHAPE = (np.uint32(k * 0x3C6EF372 & 0xFFFFFFFF) for k in (1, 2, 3))
 CLASS = np.full(256, 30, np.uint8)  # other controls and marks
@@ -76,6 +76,12 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int64), n * (1000 / max(1, len(raw)))
 
 
+def sample_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """terms in as few bytes as hold them, for a sample that lies in one task."""
+    found, n = terms(text)
+    return found.astype(np.uint16), n.astype(np.float32)
+
+
 def weighted(found: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.log1p(n) * idf[found]
 
@@ -124,7 +130,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], totals: list[
     units = []
     for f, n in rows:
         v = weighted(f, n, idf)
-        units.append((np.searchsorted(used, f), (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)))
+        units.append((np.searchsorted(used, f).astype(np.uint16), (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)))
     found = term_basis(units, len(used), rank, seed)
     basis = np.zeros((1 << BITS, found.shape[1]), np.float32)
     basis[used] = found
@@ -171,7 +177,7 @@ def quality_scores(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
     """Fitted on a bounded sample of labelled documents of each class, which stand for all of their class."""
-    return fitted(docs, labels, "quality", per_class, terms, partial(train, totals=class_totals(docs, labels, "quality")))
+    return fitted(docs, labels, "quality", per_class, sample_terms, partial(train, totals=class_totals(docs, labels, "quality")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+KEPT = 150_000  # pre-tokens whose ids a worker's cache holds
 # Outside this set normalisation or character classes may differ between libraries.
 UNSAFE = re.compile(r"[^\t\n\r -~¡-įı-ſ]|<\|")
 LOWER = "a-zªµºß-öø-ſ"
@@ -63,7 +64,7 @@ class WordBpe:
 class Cached(dict):
     """Values by key, made on first use; emptied when it holds too many."""
 
-    def __init__(self, make, most: int = 600_000):
+    def __init__(self, make, most: int = KEPT):
         super().__init__()
         self.make, self.most = make, most
 
@@ -77,7 +78,7 @@ class Cached(dict):
 _loaded: dict = {}
 
 
-def loaded(kind, path: str | None, most: int = 600_000):
+def loaded(kind, path: str | None, most: int = KEPT):
     """One tokenizer and one cache of ids for each Python worker: (tokenizer, cache of little-endian uint32 ids)."""
     key = (kind, path)
     if key not in _loaded:
