@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from pathlib import Path
 
@@ -79,6 +81,25 @@ def frequent(counts: DataFrame, column: str, n: str, most: int) -> list:
     return sorted(zip(got[column].to_pylist(), got[n].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
 
 
+def give_back() -> None:
+    """Return memory that this Python worker no longer uses to the system; its next task may be of another kind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
+def trimmed(run):
+    """A function for mapInArrow that gives memory back at a task's end."""
+
+    def call(batches):
+        yield from run(batches)
+        give_back()
+
+    return call
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, null as the empty text."""
     return [x or "" for x in batch[column].to_pylist()]
@@ -92,4 +113,4 @@ def kept_rows(df: DataFrame, keep) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(keep(texts_of(batch)), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)

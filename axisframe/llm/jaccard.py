@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B, bounded_batches, durable, forget, mix, table
+from .common import B, bounded_batches, durable, forget, mix, table, trimmed
 from .graph import components
 
 CELLS = 1 << 20
@@ -95,7 +95,7 @@ def count_sets(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in (*kinds, pa.int64(), pa.int64())), pa.array(at, pa.int32()), pa.array(raw, pa.binary()), pa.array([task] * len(at), pa.int32())], names)
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*own, "text").mapInArrow(run, f"{fields}, node long, n long, at int, cells binary, task int")
+    return docs.select(*own, "text").mapInArrow(trimmed(run), f"{fields}, node long, n long, at int, cells binary, task int")
 
 
 def rarity_levels(slices: DataFrame) -> np.ndarray:
@@ -141,7 +141,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
                 each = lambda x, t: pa.array(np.repeat(np.array(x, np.int64), counts), t)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), each(nodes, pa.int64()), each(sizes, pa.int32()), pa.array(np.concatenate(places), pa.int32()), each(rares, pa.int32())], names)
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, pos int, rare int")
+    return docs.select("text").mapInArrow(trimmed(run), "token long, node long, n int, pos int, rare int")
 
 
 def possible(na, nb, ia, ib, percent: int):
@@ -189,7 +189,7 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, width:
                 out[2].append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], others), pa.array(out[2], pa.binary())], ["node", "others", "tokens"])
 
-    read = docs.select("text", place("doc_id").alias("bit")).mapInArrow(run, "node long, others array<array<int>>, tokens binary")
+    read = docs.select("text", place("doc_id").alias("bit")).mapInArrow(trimmed(run), "node long, others array<array<int>>, tokens binary")
     return read.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -213,7 +213,7 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, width: int, p
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     whole = close.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return whole.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 
 CLASS_BYTES = 8 << 20  # of a class's sampled texts together
 
@@ -60,10 +60,12 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, prepa
         for batch in batches:
             x += map(pickle.loads, batch["x"].to_pylist())
             y += batch["y"].to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(x, y))], pa.binary())], ["model"])
+        model = pickle.dumps(train(x, y))
+        x.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     sample = labelled_sample(docs, labels, label, per_class)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = sample.mapInArrow(ready, f"doc_id {kind}, y int, x binary").repartition(1).sortWithinPartitions("doc_id")
-    found = ordered.select("x", "y").mapInArrow(run, "model binary").toArrow()["model"]  # one row, or none without a sample
+    ordered = sample.mapInArrow(trimmed(ready), f"doc_id {kind}, y int, x binary").repartition(1).sortWithinPartitions("doc_id")
+    found = ordered.select("x", "y").mapInArrow(trimmed(run), "model binary").toArrow()["model"]  # one row, or none without a sample
     return pickle.loads(found[0].as_buffer()) if len(found) else None

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, table, texts_of
+from .common import bounded_batches, durable, table, texts_of, trimmed
 from .wordbpe import WordBpe, loaded
 
 CAPACITY = 4096
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
             salt, made = pa.array(range(made, made + len(out[0])), pa.int64()), made + len(out[0])
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), salt], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
