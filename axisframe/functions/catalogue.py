@@ -103,7 +103,7 @@ BINARY = {
     "equal": lambda a, b: a == b, "not_equal": lambda a, b: a != b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b, "greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b,
     "logical_and": lambda a, b: a.cast("boolean") & b.cast("boolean"), "logical_or": lambda a, b: a.cast("boolean") | b.cast("boolean"), "logical_xor": lambda a, b: a.cast("boolean") != b.cast("boolean"),
     "arctan2": F.atan2, "hypot": F.hypot, "logaddexp": logaddexp, "heaviside": lambda a, b: F.when(a < 0, 0.0).when(a > 0, 1.0).otherwise(b),
-    "boxcox": lambda x, l: F.when(l == 0, F.log(x)).otherwise((F.pow(x, l) - 1) / l), "boxcox1p": lambda x, l: F.when(l == 0, F.log1p(x)).otherwise((F.pow(1 + x, l) - 1) / l),
+    "boxcox": lambda x, l: F.when(l == 0, log_of(F.log)(x)).otherwise((F.pow(x, l) - 1) / l), "boxcox1p": lambda x, l: F.when(l == 0, UNARY["log1p"](x)).otherwise((F.pow(1 + x, l) - 1) / l),
 }
 BINARY |= {a: BINARY[b] for a, b in {
     "sub": "subtract", "mul": "multiply", "div": "divide", "true_divide": "divide", "pow": "power", "float_power": "power", "mod": "remainder",

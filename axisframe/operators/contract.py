@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import durable
 from ..tensor import Tensor, fail_unless, fresh
-from .broadcast import align, binary, join_sizes
+from .broadcast import align, binary, join_sizes, joined
 
 SMALL = 100_000  # cells of a side that is sent to every task
 
@@ -24,6 +24,7 @@ def small(t: Tensor) -> bool:
 
 def contract(a: Tensor, b: Tensor, over: list[str], keep: list[str] | None = None) -> Tensor:
     """Sum over the dims `over` of products of cells that agree on all shared dims; `keep` orders the result's dims."""
+    a, b = (t if not t.fill else t.dense() for t in (a, b))
     for d in a.dims:
         if d in b.dims:
             x, y = a.size(d), b.size(d)
@@ -97,13 +98,13 @@ def baddbmm(c: Tensor, a: Tensor, b: Tensor, beta: float = 1, alpha: float = 1)
 def dot(a: Tensor, b: Tensor) -> Tensor:
     """Last dim with last but one; a scalar multiplies."""
     if not a.rank or not b.rank:
-        return binary(a, b, "multiply", outer=False)
+        return binary(a, b, "multiply")
     inner = b.dims[-2] if b.rank > 1 else b.dims[0]
     return tensordot(a, b, [a.dims[-1]], [inner])
 
 
 def inner(a: Tensor, b: Tensor) -> Tensor:
-    return tensordot(a, b, [a.dims[-1]], [b.dims[-1]]) if a.rank and b.rank else binary(a, b, "multiply", outer=False)
+    return tensordot(a, b, [a.dims[-1]], [b.dims[-1]]) if a.rank and b.rank else binary(a, b, "multiply")
 
 
 def vdot(a: Tensor, b: Tensor) -> Tensor:
@@ -182,6 +183,7 @@ def einsum(spec: str, *tensors: Tensor) -> Tensor:
     sizes: dict[str, int | None] = {}
     parts = []
     for term, t in zip(inputs, tensors, strict=True):
+        t = t if not t.fill else t.dense()
         df, seen = t.df, {}
         for c, d in zip(term, t.dims, strict=True):
             sizes[c] = join_sizes(c, sizes.get(c, 1), t.size(d)) if c in sizes else t.size(d)
@@ -247,13 +249,17 @@ def cross(a: Tensor, b: Tensor, axis: str | int = -1) -> Tensor:
     d = a.name(axis)
     fail_unless(a.size(d) in (3, None) and b.size(b.name(axis)) in (3, None), "cross needs size 3")
     rest = a.others(d)
-    wide = lambda t: t.df.groupBy(*rest).agg(*(F.sum(F.when(F.col(d) == k, F.col("value"))).alias(f"x{k}") for k in range(3)))
-    x, y = wide(a).toDF(*rest, "a0", "a1", "a2"), wide(b.rename(**dict(zip(b.dims, a.dims, strict=True)))).toDF(*rest, "b0", "b1", "b2")
+    b = b.rename(**dict(zip(b.dims, a.dims, strict=True)))
+    sparse = a.fill == b.fill == 0  # vectors that one side lacks have a product of zeros
+    if not sparse:
+        a, b = a.dense(), b.dense()
+    wide = lambda t: t.df.groupBy(*rest).agg(*(F.coalesce(F.sum(F.when(F.col(d) == k, F.col("value"))), F.lit(0.0) if sparse else F.lit(None)).alias(f"x{k}") for k in range(3)))
+    x, y = wide(a).toDF(*rest, "a0", "a1", "a2"), wide(b).toDF(*rest, "b0", "b1", "b2")
     both = x.join(y, rest) if rest else x.crossJoin(y)
     c = F.col
     parts = F.array(c("a1") * c("b2") - c("a2") * c("b1"), c("a2") * c("b0") - c("a0") * c("b2"), c("a0") * c("b1") - c("a1") * c("b0"))
     out = both.select(*rest, F.posexplode(parts).alias(d, "value")).withColumn(d, c(d).cast("long"))
-    return Tensor(out.select(*a.dims, "value"), a.dims, tuple(3 if x == d else s for x, s in zip(a.dims, a.sizes, strict=True)), None)
+    return Tensor(out.select(*a.dims, "value"), a.dims, tuple(3 if x == d else s for x, s in zip(a.dims, a.sizes, strict=True)), 0.0 if sparse else None)
 
 
 def linear(x: Tensor, weight: Tensor, bias: Tensor | None = None) -> Tensor:
@@ -262,7 +268,7 @@ def linear(x: Tensor, weight: Tensor, bias: Tensor | None = None) -> Tensor:
     n, m = x.size(-1), weight.size(1)
     fail_unless(n is None or m is None or n == m, f"input width {n}, weight width {m}")
     out = tensordot(x, weight, [x.dims[-1]], [weight.dims[1]])
-    return out if bias is None else binary(out, bias.rename(**{bias.dims[0]: out.dims[-1]}), "add", outer=False)
+    return out if bias is None else binary(out, bias.rename(**{bias.dims[0]: out.dims[-1]}), "add")
 
 
 def packed_linear(df, column: str, weight: list[list[float]], out: str = "scores"):
@@ -293,13 +299,17 @@ def cosine(a, b):
 
 
 def cosine_similarity(a: Tensor, b: Tensor, axis: str | int = -1) -> Tensor:
-    """Drops one dim; the other dims are shared."""
+    """Drops one dim; the other dims are shared. 0 where one side has length 0."""
     d = a.name(axis)
-    pair = align(a, b)
-    sums = pair.df.groupBy(*(x for x in pair.dims if x != d)).agg(F.sum(F.col("left") * F.col("right")).alias("p"), F.sum(F.col("left") ** 2).alias("x"), F.sum(F.col("right") ** 2).alias("y"))
-    n = F.sqrt("x") * F.sqrt("y")
-    kept = [x for x in pair.dims if x != d]
-    return Tensor(sums.select(*kept, F.when(n == 0, 0.0).otherwise(F.col("p") / n).alias("value")), kept, [s for x, s in zip(pair.dims, pair.sizes, strict=True) if x != d], None)
+    ratio = lambda p, x, y: F.when(x * y == 0, 0.0).otherwise(p / (F.sqrt(x) * F.sqrt(y)))
+    if a.fill is None and b.fill is None:  # every cell is there: all sums in one pass
+        pair = align(a, b)
+        kept = [x for x in pair.dims if x != d]
+        sums = pair.df.groupBy(*kept).agg(F.sum(F.col("left") * F.col("right")).alias("p"), F.sum(F.col("left") ** 2).alias("x"), F.sum(F.col("right") ** 2).alias("y"))
+        return Tensor(sums.select(*kept, ratio(F.col("p"), F.col("x"), F.col("y")).alias("value")), kept, [s for x, s in zip(pair.dims, pair.sizes, strict=True) if x != d], None)
+    a, b = (t if t.fill in (0, None) else t.dense() for t in (a, b))
+    square = lambda t: Tensor(t.df.groupBy(*t.others(d)).agg(F.sum(F.col("value") ** 2).alias("value")), t.others(d), [t.size(x) for x in t.others(d)], 0.0)
+    return joined(contract(a, b, [d]), square(a), square(b)).map(ratio)
 
 
 def attention(q: Tensor, k: Tensor, v: Tensor) -> Tensor:
@@ -312,5 +322,5 @@ def attention(q: Tensor, k: Tensor, v: Tensor) -> Tensor:
     k = k.rename(**{k.dims[-2]: key, k.dims[-1]: q.dims[-1]})
     out = fresh(v.dims[-1], (*q.dims, key)) if v.dims[-1] in q.dims[:-1] else v.dims[-1]
     v = v.rename(**{v.dims[-2]: key, v.dims[-1]: out})
-    scores = contract(q, k, [q.dims[-1]]).map(lambda x: x / F.sqrt(F.lit(float(width))), fill=None)
+    scores = contract(q, k, [q.dims[-1]]).map(lambda x: x / F.sqrt(F.lit(float(width))))
     return contract(softmax(scores, key), v, [key])

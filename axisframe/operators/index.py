@@ -75,7 +75,7 @@ def take(t: Tensor, at, axis) -> Tensor:
         out = t.df.withColumnRenamed(d, "old_").join(F.broadcast(table), "old_").withColumn(d, F.col("new_"))
         return t.with_df(out, sizes=resized(t, d, len(at)))
     fail_unless(not set(at.dims) & set(t.others(d)), "the index shares a dim with the data")
-    table = at.df.select(*(F.col(x).alias(f"{x}__") for x in at.dims), F.col("value").cast("long").alias("old_"))
+    table = at.dense().df.select(*(F.col(x).alias(f"{x}__") for x in at.dims), F.col("value").cast("long").alias("old_"))
     if t.sizes[t.axis(d)] is not None:
         table = table.withColumn("old_", F.when(F.col("old_") < 0, F.col("old_") + t.size(d)).otherwise(F.col("old_")))
     joined = t.df.withColumnRenamed(d, "old_").join(table, "old_").drop("old_")
@@ -89,7 +89,7 @@ def take_along(t: Tensor, at: Tensor, axis) -> Tensor:
     """The value at the index found in each cell of `at`, whose other dims are t's."""
     d = t.name(axis)
     fail_unless(set(at.dims) == set(t.dims), "the index needs the data's dims")
-    table = at.df.withColumnRenamed("value", "at_")
+    table = at.dense().df.withColumnRenamed("value", "at_")
     source = t.dense().df.withColumnRenamed(d, "at_")
     rest = t.others(d)
     return Tensor(table.join(source, [*rest, "at_"]).select(*at.dims, "value"), at.dims, at.sizes, None)
@@ -132,12 +132,12 @@ def scatter_apply(t: Tensor, at: DataFrame, f) -> Tensor:
 
 def dynamic_update_slice(t: Tensor, update: Tensor, start: dict[str, int]) -> Tensor:
     """update written over t from start on, the start clamped so that it fits."""
-    out = update.df
+    out = update.dense().df
     for d in t.dims:
         n, m = t.length(d), update.length(d)
         fail_unless(m <= n, f"update of size {m} in size {n} of {d}")
         out = out.withColumn(d, F.col(d) + min(max(start.get(d, 0), 0), n - m))
-    return scatter(t, Tensor(out, update.dims, update.sizes, update.fill))
+    return scatter(t, Tensor(out, update.dims, update.sizes, None))
 
 
 def narrow(t: Tensor, axis, start: int, length: int) -> Tensor:

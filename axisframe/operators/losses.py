@@ -30,7 +30,7 @@ def loss(name: str, x: Tensor, y: Tensor, reduction: str = "mean", **options) ->
     fail_unless(reduction in ("none", "mean", "sum"), f"unknown reduction {reduction}")
     if name.startswith("bce"):
         fail_unless(x.rank == y.rank and all(None in (a, b) or a == b for a, b in zip(x.sizes, y.sizes, strict=True)), f"sizes {x.sizes} and {y.sizes} differ")
-    return finished(binary(x, y, expression=lambda a, b: POINTWISE[name](a, b, **options), outer=False), reduction)
+    return finished(binary(x, y, expression=lambda a, b: POINTWISE[name](a, b, **options)), reduction)
 
 
 def cross_entropy(x: Tensor, target: Tensor, reduction: str = "mean") -> Tensor:
@@ -38,10 +38,10 @@ def cross_entropy(x: Tensor, target: Tensor, reduction: str = "mean") -> Tensor:
     fail_unless(reduction in ("none", "mean", "sum"), f"unknown reduction {reduction}")
     c = x.dims[0 if x.rank == 1 else 1]
     if set(target.dims) == set(x.dims):
-        per_cell = binary(softmax(x, c, log=True), target, expression=lambda a, b: -a * b, outer=False)
+        per_cell = binary(softmax(x, c, log=True), target, expression=lambda a, b: -a * b)
         return finished(reduce(per_cell, "sum", c), reduction)
     fail_unless(set(target.dims) == set(x.others(c)), f"target dims {target.dims} for {x.dims}")
-    return finished(binary(logsumexp(x, c), picked(x, target, c), "subtract", outer=False), reduction)
+    return finished(binary(logsumexp(x, c), picked(x, target, c), "subtract"), reduction)
 
 
 def picked(x: Tensor, target: Tensor, c: str) -> Tensor:

@@ -7,6 +7,7 @@ from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..tensor import Tensor, fail_unless
 from .broadcast import numbered
@@ -26,18 +27,19 @@ def aggregates() -> dict[str, Column]:
 SPARSE_SAFE = {"sum", "count_nonzero", "norm1", "norm2", "norminf", "any"}
 
 
-def reduced(t: Tensor, agg: Column, axis=None, keepdims: bool = False) -> Tensor:
+def reduced(t: Tensor, agg: Column, axis=None, keepdims: bool = False, fill=None) -> Tensor:
+    """An aggregate over dims; `fill` is its value of a slice without rows."""
     gone = t.names(axis)
     kept = [d for d in t.dims if d not in gone]
-    out = t.df.groupBy(*kept).agg(agg.alias("value"))
-    small = Tensor(out, kept, [t.size(d) for d in kept], None)
+    out = t.df.groupBy(*kept).agg((agg if fill is None or kept else F.coalesce(agg, F.lit(fill))).alias("value"))
+    small = Tensor(out, kept, [t.size(d) for d in kept], fill)
     return with_ones(small, t.dims, gone) if keepdims else small
 
 
 def with_ones(t: Tensor, dims, gone: list[str]) -> Tensor:
     """t with the dims that a reduction took away, of size 1."""
     out = t.df.withColumns({d: F.lit(0).cast("long") for d in gone})
-    return Tensor(out.select(*dims, "value"), dims, [1 if d in gone else t.size(d) for d in dims], None)
+    return Tensor(out.select(*dims, "value"), dims, [1 if d in gone else t.size(d) for d in dims], t.fill)
 
 
 def reduce(t: Tensor, how: str, axis=None, keepdims: bool = False, ddof: int = 0) -> Tensor:
@@ -53,11 +55,13 @@ def reduce(t: Tensor, how: str, axis=None, keepdims: bool = False, ddof: int = 0
         out = quantile(t, 0.5, gone)
         return out if not keepdims else with_ones(out, t.dims, gone)
     fail_unless(how in aggs, f"unknown reduction {how}")
+    if how not in ("any", "all") and t.df.schema["value"].dataType == BooleanType():  # truth values count as 1 and 0
+        t = t.map(lambda v: v.cast("long"), fill=None if t.fill is None else float(t.fill))
     if how == "mean" and t.fill == 0 and t.sizes.count(None) == 0:
-        return reduced(t, F.sum("value") / float(prod(t.size(d) for d in gone)), axis, keepdims)
+        return reduced(t, F.sum("value") / float(prod(t.size(d) for d in gone)), axis, keepdims, 0.0)
     if t.fill is not None and not (t.fill == 0 and how in SPARSE_SAFE):
         t = t.dense()
-    return reduced(t, aggs[how], axis, keepdims)
+    return reduced(t, aggs[how], axis, keepdims, None if t.fill is None else False if how == "any" else 0.0)
 
 
 def minmax(t: Tensor, axis=None) -> tuple[Tensor, Tensor]:
@@ -68,7 +72,8 @@ def norm(t: Tensor, order: float = 2, axis=None, keepdims: bool = False) -> Tens
     if order in (1, 2, float("inf")):
         return reduce(t, f"norm{'inf' if order == float('inf') else int(order)}", axis, keepdims)
     fail_unless(order > 0, f"norm of order {order}")
-    return reduced(t, F.pow(F.sum(F.pow(F.abs("value"), F.lit(float(order)))), F.lit(1 / order)), axis, keepdims)
+    t = t if t.fill == 0 else t.dense()
+    return reduced(t, F.pow(F.sum(F.pow(F.abs("value"), F.lit(float(order)))), F.lit(1 / order)), axis, keepdims, None if t.fill is None else 0.0)
 
 
 def logsumexp(t: Tensor, axis=None, keepdims: bool = False) -> Tensor:

@@ -19,6 +19,8 @@ def concatenate(tensors: list[Tensor], axis=0, skip_empty: bool = False) -> Tens
     fail_unless(bool(tensors), "nothing to join")
     if skip_empty and len(tensors) > 1:
         tensors = [t for t in tensors if not (t.rank == 1 and t.size(0) == 0)] or tensors[:1]
+    if len({t.fill for t in tensors}) > 1:  # absent cells differ: all become rows
+        tensors = [t.dense() for t in tensors]
     first = tensors[0]
     d = first.name(axis)
     parts, at = [], 0
@@ -29,9 +31,8 @@ def concatenate(tensors: list[Tensor], axis=0, skip_empty: bool = False) -> Tens
             fail_unless(None in (t.size(x), first.size(x)) or t.size(x) == first.size(x), f"sizes of {x} differ")
         parts.append(t.df.withColumn(d, F.col(d) + at).select(*first.dims, "value"))
         at += t.length(d)
-    fills = {t.fill for t in tensors}
     out = fold(DataFrame.unionByName, parts)
-    return Tensor(out, first.dims, [at if x == d else s for x, s in zip(first.dims, first.sizes, strict=True)], fills.pop() if len(fills) == 1 else None)
+    return Tensor(out, first.dims, [at if x == d else s for x, s in zip(first.dims, first.sizes, strict=True)], first.fill)
 
 
 def stack(tensors: list[Tensor], at: int = 0, dim: str = "stack") -> Tensor:

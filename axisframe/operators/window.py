@@ -303,7 +303,7 @@ def convolve(x: Tensor, kernel: Tensor, stride: int = 1, padding=0, dilation: in
     lead = x.dims[: -spatial - 1]
     out = both.groupBy(*lead, F.col("o_").alias(c), *space).agg(F.sum(F.col("value") * F.col("w_")).alias("value"))
     t = Tensor(out.select(*x.dims, "value"), x.dims, (*x.sizes[: -spatial - 1], outs, *sizes), 0.0)
-    return t if bias is None else binary(t, bias.rename(**{bias.dims[0]: c}), "add", outer=False)
+    return t if bias is None else binary(t, bias.rename(**{bias.dims[0]: c}), "add")
 
 
 def convolve_transposed(x: Tensor, kernel: Tensor, stride: int = 1, padding: int = 0, output_padding: int = 0, dilation: int = 1) -> Tensor:

@@ -1,8 +1,8 @@
 """All registered queries: QUERIES by name, and SQL for those that SQL expresses."""
 
-from . import aggregates, elementwise, jobs, members, shapes
+from . import absent, aggregates, elementwise, jobs, members, shapes
 from .common import QUERIES, SQL
 
-GROUPS = (elementwise, shapes, aggregates, jobs, members)
+GROUPS = (elementwise, shapes, aggregates, jobs, members, absent)
 
 __all__ = ["GROUPS", "QUERIES", "SQL"]

@@ -191,36 +191,37 @@ def e6_e7_e8_pairs(spark, d):
     return pair.df.select("part", *exact.values(), BINARY["logical_xor"](b % 2, F.col("part") % 2).alias("logical_xor"), *rough.values(), BINARY["heaviside"](a - b, F.lit(0.5)).alias("heaviside"))
 
 
-@query(f"WITH {QTY} SELECT nation, month, 3 - value * 2 AS value FROM qty")
+@query(f"WITH {QTY} SELECT nation, month, 3 - value * 2 AS value FROM dense")
 def e9_scalar_operand(spark, d):
-    return B.binary(3, B.binary(qty(spark, d), 2, "multiply"), "subtract").df
+    return B.binary(3, B.binary(qty(spark, d), 2, "multiply"), "subtract").dense().df
 
 
 @query(f"""WITH {QTY}, n AS (SELECT nation, avg(value) AS mean FROM dense GROUP BY nation)
 SELECT nation, month, round(CASE WHEN value > mean THEN value ELSE mean END, 6) AS value FROM dense JOIN n USING (nation)""")
 def e10_where(spark, d):
-    t = qty(spark, d).dense()
+    t = qty(spark, d)
     mean = R.reduce(t, "mean", "month")
-    return rounded(B.where(B.binary(t, mean, "greater", outer=False), t, mean))
+    return rounded(B.where(B.binary(t, mean, "greater"), t, mean))
 
 
 @query(f"WITH {QTY} SELECT nation, month, CASE WHEN value > 2000 THEN 2.0 WHEN value > 500 THEN value ELSE -1.0 END AS value FROM dense")
 def e11_select(spark, d):
-    t = qty(spark, d).dense()
-    return B.select([B.binary(t, 2000, "greater"), B.binary(t, 500, "greater")], [2.0, t], -1.0).df
+    t = qty(spark, d)
+    return B.select([B.binary(t, 2000, "greater"), B.binary(t, 500, "greater")], [2.0, t], -1.0).dense().df
 
 
 @query(f"WITH {QTY}, n AS (SELECT nation, avg(value) AS mean FROM dense GROUP BY nation) SELECT nation, month, round(least(greatest(value, 100), mean), 6) AS value FROM dense JOIN n USING (nation)")
 def e12_clip(spark, d):
-    t = qty(spark, d).dense()
+    t = qty(spark, d)
     return rounded(B.clip(t, 100, R.reduce(t, "mean", "month")))
 
 
-@query(f"WITH {QTY} SELECT nation, month, CASE WHEN month % 12 = 0 THEN -1 ELSE value END AS value FROM qty")
+@query(f"WITH {QTY} SELECT nation, month, CASE WHEN month % 12 = 0 THEN -1 ELSE value END AS value FROM dense")
 def e13_masked_fill(spark, d):
+    """January of every year filled, whether or not a nation sold anything."""
     t = qty(spark, d)
-    mask = t.with_df(t.df.withColumn("value", F.col("month") % 12 == 0))
-    return B.masked_fill(t, mask, -1.0).df
+    january = B.mapped(build.arange(spark, t.length("month"), dim="month"), lambda v: v % 12 == 0)
+    return B.masked_fill(t, january, -1.0).dense().df
 
 
 @query(f"WITH {QTY} SELECT row_number() OVER (ORDER BY nation, month) - 1 AS i, value FROM dense WHERE value > 800")
