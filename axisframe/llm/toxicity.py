@@ -36,15 +36,19 @@ BREAK = re.compile(rb"\s")
 
 
 def parts_of(text: str) -> list[bytes]:
-    """The lower-case text as UTF-8, in parts that end at the first white space after PART bytes; every part after the
-    first starts with the last WINDOW - 1 words before it, so that each window lies whole in one part."""
-    raw, out, before = text.lower().encode(), [], b""
-    while len(raw) > PART and (found := BREAK.search(raw, PART)):
-        words = raw[: found.start()].split()
-        out.append(before + raw[: found.start()])
-        before = b" ".join([*before.split(), *words][1 - WINDOW :]) + b" "
-        raw = raw[found.start() :]
-    return [*out, before + raw]
+    """The words of the lower-case text as UTF-8, in parts that end at the first white space after PART bytes. Every part
+    after the first starts with the last WINDOW - 1 words before it and has new words, and where there are several, each
+    has WINDOW words at least: their windows are those of the whole text."""
+    raw, out, words, start = text.lower().encode(), [], [], 0
+    while start < len(raw):
+        found = BREAK.search(raw, start + PART)
+        end = found.start() if found else len(raw)
+        new = raw[start:end].split()
+        words, start = words + new, end
+        if new and len(words) >= WINDOW:
+            out.append(b" ".join(words))
+            words = words[1 - WINDOW :]
+    return out or [b" ".join(words)]
 
 
 def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:

@@ -328,6 +328,23 @@ def test_toxic_words_across_the_seams_of_long_texts(monkeypatch):
         assert [toxicity.score(model, t) for t in texts] == whole
 
 
+def test_toxicity_does_not_depend_on_where_parts_end(monkeypatch):
+    """Random cuts, texts whose last white space alone lies behind a cut, and words longer than a part."""
+    rows = corpus(200, 9)
+    model = toxicity.train([t for t, _, _ in rows], [y for _, y, _ in rows])
+    rng = random.Random(4)
+    texts = []
+    for k in range(60):
+        words = rng.choices(["an", "er", "theor", "stupid", "es", "trashy"], weights=[9, 9, 9, 1, 9, 1], k=rng.choice([1, 5, 7, 8, 9, 60]))
+        if k % 3 == 0:
+            words[rng.randrange(len(words))] = "stupid" * rng.randrange(5, 60)
+        texts.append(rng.choice(["", "\n"]) + " ".join(words) + rng.choice(["", "\n", " \n "]))
+    whole = [toxicity.score(model, t) for t in texts]
+    for part in [1, 2, *(rng.randrange(3, 400) for _ in range(12)), *(len(t.rstrip()) for t in texts[:6])]:
+        monkeypatch.setattr(toxicity, "PART", part)
+        assert [toxicity.score(model, t) for t in texts] == whole
+
+
 def test_samples_keep_within_their_bytes(spark):
     from axisframe.llm.labelled import labelled_sample
 
