@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import durable
 from ..tensor import Tensor, fail_unless, fresh
+from .blocks import blocked, pays
 from .broadcast import align, binary, join_sizes, joined
+from .cyclic import applies, cyclic_sum
 
 SMALL = 100_000  # cells of a side that is sent to every task
 
@@ -23,7 +25,10 @@ def small(t: Tensor) -> bool:
 
 
 def contract(a: Tensor, b: Tensor, over: list[str], keep: list[str] | None = None) -> Tensor:
-    """Sum over the dims `over` of products of cells that agree on all shared dims; `keep` orders the result's dims."""
+    """Sum over the dims `over` of products of cells that agree on all shared dims; `keep` orders the result's dims.
+
+    A small side is sent to every task; two large ones of known sizes are multiplied in tiles; otherwise products are rows.
+    """
     a, b = (t if not t.fill else t.dense() for t in (a, b))
     for d in a.dims:
         if d in b.dims:
@@ -32,10 +37,13 @@ def contract(a: Tensor, b: Tensor, over: list[str], keep: list[str] | None = Non
     dims = [d for d in (*a.dims, *(d for d in b.dims if d not in a.dims)) if d not in over]
     dims = keep if keep is not None else dims
     size = {d: join_sizes(d, *(t.size(d) for t in (a, b))) if d in a.dims and d in b.dims else (a if d in a.dims else b).size(d) for d in dims}
-    sides = a, b
+    if over and not small(a) and not small(b) and all(d in a.dims and d in b.dims for d in over) and pays(a, b, over):
+        return blocked(a, b, over, list(dims))
     if small(b):  # its size is known and bounded
-        sides = a, b.with_df(F.broadcast(b.df))
-    pair = align(*sides)
+        b = b.with_df(F.broadcast(b.df))
+    elif small(a):
+        a = a.with_df(F.broadcast(a.df))
+    pair = align(a, b)
     out = pair.df.withColumn("value", F.col("left") * F.col("right"))
     if over:
         out = out.groupBy(*dims).agg(F.sum("value").alias("value"))
@@ -178,7 +186,7 @@ def parse_einsum(spec: str, ranks: list[int]) -> tuple[list[str], str]:
 
 def einsum(spec: str, *tensors: Tensor) -> Tensor:
     """Any labels. Operands are joined two at a time, the pair with the smallest result first, and labels that nothing
-    else needs are summed away at once."""
+    else needs are summed away at once. Labels that form a cycle are joined in one round instead."""
     inputs, output = parse_einsum(spec, [t.rank for t in tensors])
     sizes: dict[str, int | None] = {}
     parts = []
@@ -194,6 +202,8 @@ def einsum(spec: str, *tensors: Tensor) -> Tensor:
         labels = list(seen)
         one = Tensor(df.select(*(F.col(seen[c]).alias(c) for c in labels), "value"), labels, [t.size(seen[c]) for c in labels], 0.0)
         parts.append(one)
+    if applies(parts):
+        return Tensor(cyclic_sum(parts, list(output)).select(*output, "value"), list(output), [sizes[c] for c in output], 0.0)
     guess = lambda c: sizes[c] or 1000  # noqa: E731  only to order the joins
     while len(parts) > 1:
         best = None
