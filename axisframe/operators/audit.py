@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..tensor import ShapeError, fail_unless
-from .reduce import placed
+from .segments import placed
 
 FINDING = ["source", "row_key", "rule", "kind", "message", "axis"]
 

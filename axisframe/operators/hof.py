@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import durable
 from ..tensor import Tensor, fail_unless
+from .segments import fits
 from .split import stack
 
 
@@ -52,7 +53,11 @@ def averaged(df: DataFrame, keys: list[str], order: list[str], value: str, alpha
     """
     clear = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
     used = df.select(*dict.fromkeys([*keys, *order]), F.col(value).cast("double").alias("x_"), clear.alias("clear_"))
-    rows = durable(used.orderBy(*keys, *order).withColumn("at_", F.monotonically_increasing_id()))
+    small = bool(keys) and fits(used, keys)
+    if small:  # every key fits a task: its rows are one range, in the order of their struct
+        rows, part = used.withColumn("at_", F.struct(*order)), F.lit(0)
+    else:
+        rows, part = durable(used.orderBy(*keys, *order).withColumn("at_", F.monotonically_increasing_id())), F.shiftright("at_", 33)
     steps = F.array_sort(F.collect_list(F.struct("at_", "x_", "clear_")))
     none = F.lit(None).cast("double")
     keep = 1 - alpha
@@ -67,7 +72,7 @@ def averaged(df: DataFrame, keys: list[str], order: list[str], value: str, alpha
         )
 
     empty = F.struct(none.alias("v"), F.lit(False).alias("clear"), F.lit(1.0).alias("fade"), F.lit(0.0).alias("gain"))
-    parts = rows.groupBy(*keys, F.shiftright("at_", 33).alias("range_")).agg(F.aggregate(steps, empty, step).alias("s_"))
+    parts = rows.groupBy(*keys, part.alias("range_")).agg(F.aggregate(steps, empty, step).alias("s_"))
     join = lambda a, p: F.when(p["s_"]["clear"] | a.isNull(), p["s_"]["v"]).otherwise(a * p["s_"]["fade"] + p["s_"]["gain"])
     whole = F.aggregate(F.array_sort(F.collect_list(F.struct("range_", "s_"))), none, join)
     return parts.groupBy(*keys).agg(whole.alias(out))

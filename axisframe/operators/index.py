@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..tensor import Tensor, fail_unless, fresh
 from .broadcast import spread
 from .reshape import expand_dims
+from .segments import running_total
 
 
 def resized(t: Tensor, d: str, n: int | None) -> list:
@@ -180,12 +181,10 @@ def searchsorted(a: DataFrame, values: DataFrame, column: str, side: str = "left
     Counts per distinct value are accumulated over range-sorted data, so no task gets all rows.
     """
     fail_unless(side in ("left", "right"), f"unknown side {side}")
-    from .window import accumulated
-
     counts = a.groupBy(F.col(column).alias("v_")).agg(F.count("*").alias("n_"))
     probes = values.select(F.col(column).alias("v_")).distinct().withColumn("n_", F.lit(0).cast("long"))
     steps = counts.unionByName(probes).groupBy("v_").agg(F.sum("n_").alias("n_"))
-    sums = accumulated(steps, ["v_"], "n_", "up_to_")
+    sums = running_total(steps, [], ["v_"], "n_", "up_to_")
     position = F.col("up_to_") - F.col("n_") if side == "left" else F.col("up_to_")
     return values.join(sums, values[column] == F.col("v_")).withColumn("position", position.cast("long")).drop("v_", "n_", "up_to_")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import durable, forget
 from ..tensor import fail_unless
+from .segments import fits
 
 
 def asof_lookup(probes: DataFrame, bindings: DataFrame, keys: list[str], at: str, value: str, since: str | None = None, out: str | None = None) -> DataFrame:
@@ -22,6 +23,13 @@ def asof_lookup(probes: DataFrame, bindings: DataFrame, keys: list[str], at: str
     ready = bindings.groupBy(*keys, F.col(since).alias("t_")).agg(F.max(value).alias("b_"))
     side = ready.select(*keys, "t_", F.lit(0).alias("side_"), F.struct("b_").alias("b_"), F.lit(None).cast(probes.select(F.struct("*").alias("p")).schema["p"].dataType).alias("p_"))
     asked = probes.select(*keys, F.col(at).alias("t_"), F.lit(1).alias("side_"), F.lit(None).cast(side.schema["b_"].dataType).alias("b_"), F.struct(*probes.columns).alias("p_"))
+    complete = F.col("t_").isNotNull()
+    for k in keys:
+        complete = complete & F.col(k).isNotNull()
+    if keys and fits(bindings.select(*keys).unionByName(probes.select(*keys)), keys):  # every key fits a task: one window
+        whole = Window.partitionBy(*keys).orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+        found = side.unionByName(asked).withColumn("found_", F.last("b_", ignorenulls=True).over(whole)).filter("side_ = 1")
+        return found.select("p_.*", F.when(complete, F.col("found_")["b_"]).alias(out))
     rows = durable(side.unionByName(asked).orderBy(*keys, "t_", "side_").withColumn("row_", F.monotonically_increasing_id())).withColumn("range_", F.shiftright("row_", 33))
     w = Window.partitionBy("range_", *keys).orderBy("row_").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("found_", F.last("b_", ignorenulls=True).over(w))
@@ -32,9 +40,6 @@ def asof_lookup(probes: DataFrame, bindings: DataFrame, keys: list[str], at: str
     carried = last.withColumn("l_", F.last("l_", ignorenulls=True).over(before)).withColumn("until_", F.lead("range_").over(Window.orderBy("range_")))
     carried = F.broadcast(carried.select(F.col("until_").alias("to_"), F.col("k_").alias("of_"), F.col("l_").alias("carried_")))  # what the next range starts with
     both = run.filter("side_ = 1").join(carried, (F.col("range_") == F.col("to_")) & (F.struct(*keys) == F.col("of_")), "left")
-    complete = F.col("t_").isNotNull()
-    for k in keys:
-        complete = complete & F.col(k).isNotNull()
     return both.select("p_.*", F.when(complete, F.coalesce("found_", "carried_")["b_"]).alias(out))
 
 

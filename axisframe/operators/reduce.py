@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce as fold
 from math import prod
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql.types import BooleanType
 
 from ..tensor import Tensor, fail_unless
 from .broadcast import numbered
+from .segments import placed
 
 
 def aggregates() -> dict[str, Column]:
@@ -118,19 +118,6 @@ def percentile(t: Tensor, q, axis=None) -> Tensor:
     return quantile(t, q / 100 if isinstance(q, (int, float)) else [x / 100 for x in q], axis)
 
 
-def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with each row's 0-based rank within its keys (`r_`) and their number of rows (`n_`), from one sort by ranges of
-    keys and order: no task holds a whole group."""
-    rows = numbered(df, [*keys, *order], "r_")
-    own = [f"{k}_own_" for k in keys]
-    starts = rows.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.min("r_").alias("first_"), F.count("*").alias("n_"))
-    if keys:
-        both = rows.join(starts, fold(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True))))
-    else:
-        both = rows.crossJoin(F.broadcast(starts))
-    return both.withColumn("r_", F.col("r_") - F.col("first_")).drop("first_", *own)
-
-
 def kth_value(t: Tensor, k: int, axis: str | int) -> tuple[Tensor, Tensor]:
     """(values, indices) of the k-th smallest along a dim, counted from 1."""
     t = t.dense()

@@ -2,48 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import durable
 from ..tensor import Tensor, fail_unless
-from .broadcast import binary, numbered
+from . import segments
+from .broadcast import binary
 from .reduce import aggregates
 from .reshape import flatten, pad
+from .segments import RUNNING, placed, running_total
 
+WIDE = 16  # cells of a window from which running totals pay
 SMALL = 1_000_000  # cells of a table that is sent to every task
-RUNNING = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min, "any": F.bool_or, "all": F.bool_and}
-
-
-def combined(how: str, a: Column, b: Column) -> Column:
-    return {"sum": a + b, "prod": a * b, "max": F.greatest(a, b), "min": F.least(a, b), "any": a | b, "all": a & b}[how]
-
-
-def accumulated(df: DataFrame, order: list[str], column: str, out: str, how: str = "sum") -> DataFrame:
-    """df with a running total over all rows in order: totals within range partitions, shifted by those of the partitions before."""
-    rows = durable(df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id())).withColumn("part_", F.shiftright("at_", 33))
-    agg = RUNNING[how]
-    whole = rows.groupBy("part_").agg(agg(column).alias("total_"))
-    before = whole.select("part_", agg("total_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)).alias("before_"))
-    within = agg(column).over(Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, 0))
-    both = rows.withColumn(out, within).join(F.broadcast(before), "part_")  # a row for each partition
-    return both.withColumn(out, F.when(F.col("before_").isNull(), F.col(out)).otherwise(combined(how, F.col("before_"), F.col(out)))).drop("at_", "part_", "before_")
 
 
 def running(t: Tensor, axis, how: str) -> Tensor:
-    """A running total along a dim (associative_scan with a named operation); without an axis, over the flattened cells."""
+    """A running total along a dim with a named operation; without an axis, over the flattened cells."""
     fail_unless(how in RUNNING, f"unknown operation {how}")
     if axis is None:
         t, axis = flatten(t), 0
     d = t.name(axis)
     t = t.dense()
-    rest = t.others(d)
-    if not rest:
-        return t.with_df(accumulated(t.df, [d], "value", "sum_", how).withColumn("value", F.col("sum_")))
-    w = Window.partitionBy(*rest).orderBy(d).rowsBetween(Window.unboundedPreceding, 0)
-    return t.with_df(t.df.withColumn("value", RUNNING[how]("value").over(w)))
+    totals = running_total(t.df, t.others(d), [d], "value", "sum_", how, small=t.length(d) <= segments.ONE_TASK)
+    return t.with_df(totals.withColumn("value", F.col("sum_")))
+
+
+def associative_scan(t: Tensor, axis, combine) -> Tensor:
+    """A running combination along a dim under a user's associative operation on numpy arrays."""
+    d = t.name(axis)
+    t = t.dense()
+    return t.with_df(segments.associative_scan(t.df, t.others(d), [d], ["value"], lambda a, b: [combine(a[0], b[0])]))
 
 
 def cumsum(t: Tensor, axis=None) -> Tensor:
@@ -60,11 +51,8 @@ def sort_with_positions(t: Tensor, axis=-1, descending: bool = False) -> tuple[T
     d = t.name(axis)
     rest = t.others(d)
     value = F.desc("value") if descending else F.asc("value")
-    if rest:
-        placed = t.df.withColumn("r_", (F.row_number().over(Window.partitionBy(*rest).orderBy(value, d)) - 1).cast("long"))
-    else:
-        placed = numbered(t.df, [value, F.asc(d)], "r_")
-    cut = lambda c: Tensor(placed.select(*rest, F.col("r_").alias(d), c.alias("value")).select(*t.dims, "value"), t.dims, t.sizes, None)
+    rows = placed(t.df, rest, [value, F.asc(d)], small=t.length(d) <= segments.ONE_TASK)
+    cut = lambda c: Tensor(rows.select(*rest, F.col("r_").alias(d), c.alias("value")).select(*t.dims, "value"), t.dims, t.sizes, None)
     return cut(F.col("value")), cut(F.col(d))
 
 
@@ -107,16 +95,23 @@ def ranks(t: Tensor, axis, kind: str = "rank", descending: bool = False, step: i
     t = t.dense()
     d = t.name(axis)
     rest = t.others(d)
-    fail_unless(bool(rest), "ranks need a dim besides the axis")
-    by_value = Window.partitionBy(*rest).orderBy(F.desc("value") if descending else F.asc("value"))
-    by_place = Window.partitionBy(*rest).orderBy(d)
-    forms = {
-        "rank": lambda: F.rank().over(by_value), "dense_rank": lambda: F.dense_rank().over(by_value),
-        "row_number": lambda: F.row_number().over(Window.partitionBy(*rest).orderBy(F.desc("value") if descending else F.asc("value"), d)),
-        "lag": lambda: F.col("value") - F.lag("value", step).over(by_place), "lead": lambda: F.lead("value", step).over(by_place) - F.col("value"),
-    }
+    if kind in ("lag", "lead"):
+        near = t.df.select(*rest, (F.col(d) + (step if kind == "lag" else -step)).alias(d), F.col("value").alias("near_"))
+        change = F.col("value") - F.col("near_") if kind == "lag" else F.col("near_") - F.col("value")
+        return t.with_df(t.df.join(near, list(t.dims), "left").withColumn("value", change))
+    order = F.desc("value") if descending else F.asc("value")
+    by_value = Window.partitionBy(*rest).orderBy(order)
+    forms = {"rank": lambda: F.rank().over(by_value), "dense_rank": lambda: F.dense_rank().over(by_value), "row_number": lambda: F.row_number().over(Window.partitionBy(*rest).orderBy(order, d))}
     fail_unless(kind in forms, f"unknown rank {kind}")
-    return t.with_df(t.df.withColumn("value", forms[kind]()))
+    if rest and t.length(d) <= segments.ONE_TASK:
+        return t.with_df(t.df.withColumn("value", forms[kind]()))
+    by = segments.Sorted(t.df, *rest, order, d)
+    rows = by.places(by.rows, rest, "r_") if kind != "dense_rank" else by.rows
+    if kind != "row_number":
+        rows = by.places(rows, [*rest, "value"], "tie_")
+    if kind == "dense_rank":
+        rows = by.running(rows, rest, "sum", (F.col("tie_") == 0).cast("long"), "r_")
+    return t.with_df(rows.withColumn("value", {"row_number": F.col("r_") + 1, "rank": F.col("r_") + 1 - F.col("tie_") if kind == "rank" else F.lit(0), "dense_rank": F.col("r_")}[kind]))
 
 
 def with_totals(df: DataFrame, keys: list, *totals: Column) -> DataFrame:
@@ -190,25 +185,94 @@ def padding_of(n: int, size: int, stride: int, padding, dilation: int = 1) -> tu
     return (padding, padding) if isinstance(padding, int) else tuple(padding)
 
 
+@dataclass(frozen=True)
+class Along:
+    """Windows along a dim of n cells: their size, stride, dilation and number; window o starts at o * stride - low."""
+
+    n: int
+    window: int
+    stride: int
+    low: int
+    dilation: int
+    count: int
+
+
 def reduce_window(t: Tensor, windows: dict[str, int], strides: dict[str, int] | None = None, padding=None, how: str = "max", dilation: dict[str, int] | None = None, ceil_mode: bool = False, count_padding: bool = False) -> Tensor:
     """An aggregate over the window at each output cell. padding: VALID, SAME, or by dim a number or a pair.
 
-    Each cell is sent to the windows that hold it; sums and extremes combine on the map side. With count_padding a
-    mean divides by the window's size.
+    Small windows send each cell to the windows that hold it; sums and extremes combine on the map side. Where a window of a
+    sum, mean or extreme has more than WIDE cells, dims are taken one after the other, and one of more than WIDE cells from two
+    running totals a cell (`by_blocks`), so its cost does not grow with it. With count_padding a mean divides by the window's size.
     """
     t = t.dense()
-    strides, dilation, sizes, out = strides or windows, dilation or {}, {}, t.df
+    strides, dilation = strides or windows, dilation or {}
+    shape = {}
     for d, w in windows.items():
         n, s, e = t.length(d), strides.get(d, w), dilation.get(d, 1)
         fail_unless(w > 0 and s > 0 and e > 0, f"window {w}, stride {s}, dilation {e}")
         given = padding if padding is None or isinstance(padding, str) else padding.get(d, 0)
         lo, hi = padding_of(n, w, s, given or 0, e)
-        sizes[d] = window_count(n, w, s, lo, hi, e, ceil_mode)
-        fail_unless(sizes[d] > 0, f"window of {w} in size {n} of {d}")
-        first = F.col(d) + lo - F.col("k_") * e
-        out = out.withColumn("k_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(w - 1).cast("long")))).filter((first % s == 0) & (first >= 0) & (first < sizes[d] * s)).withColumn(d, (first / s).cast("long")).drop("k_")
-    agg = F.sum("value") / float(prod(windows.values())) if how == "mean" and count_padding else aggregates()[how]
-    return Tensor(out.groupBy(*t.dims).agg(agg.alias("value")), t.dims, [sizes.get(d, s) for d, s in zip(t.dims, t.sizes, strict=True)], None)
+        count = window_count(n, w, s, lo, hi, e, ceil_mode)
+        fail_unless(count > 0, f"window of {w} in size {n} of {d}")
+        shape[d] = Along(n, w, s, lo, e, count)
+    sizes = [shape[d].count if d in shape else s for d, s in zip(t.dims, t.sizes, strict=True)]
+    whole = float(prod(windows.values()))
+    if how in (*RUNNING, "mean") and whole > WIDE:
+        out = t.df
+        for d, a in shape.items():
+            out = (by_blocks if a.window > WIDE and a.dilation == 1 else by_cells)(out, t.dims, d, a, "sum" if how == "mean" else how)
+        if how == "mean":
+            cells = F.lit(whole)
+            if not count_padding:
+                for i, (d, a) in enumerate(shape.items()):
+                    cells = inside(F.col(d), a) if i == 0 else cells * inside(F.col(d), a)
+            out = out.withColumn("value", F.col("value") / cells)
+        return Tensor(out.select(*t.dims, "value"), t.dims, sizes, None)
+    out = t.df
+    for d, a in shape.items():
+        out = exploded(out, d, a)
+    agg = F.sum("value") / whole if how == "mean" and count_padding else aggregates()[how]
+    return Tensor(out.groupBy(*t.dims).agg(agg.alias("value")), t.dims, sizes, None)
+
+
+def exploded(df: DataFrame, d: str, a: Along) -> DataFrame:
+    """Every cell for each window that holds it, d being the window."""
+    first = F.col(d) + a.low - F.col("k_") * a.dilation
+    out = df.withColumn("k_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a.window - 1).cast("long"))))
+    return out.filter((first % a.stride == 0) & (first >= 0) & (first < a.count * a.stride)).withColumn(d, (first / a.stride).cast("long")).drop("k_")
+
+
+def by_cells(df: DataFrame, dims, d: str, a: Along, how: str) -> DataFrame:
+    return exploded(df, d, a).groupBy(*dims).agg(RUNNING[how]("value").alias("value"))
+
+
+def by_blocks(df: DataFrame, dims, d: str, a: Along, how: str) -> DataFrame:
+    """Windows along one dim from blocks as long as the window: a window reaches over two blocks at most, so it is what its first
+    cell has up to its block's end, and what its last cell has from its block's start. Each cell gives two rows whatever the
+    window, and a task holds blocks, not slices."""
+    rest = [x for x in dims if x != d]
+    block = Window.partitionBy(*rest, F.floor(F.col(d) / a.window))
+    upto = lambda order: RUNNING[how]("value").over(block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn("from_start_", upto(F.asc(d))).withColumn("to_end_", upto(F.desc(d)))
+    at = F.col(d)
+    as_first = F.when((at + a.low) % a.stride == 0, F.array((at + a.low) / a.stride)).otherwise(F.array())  # of which window it is the first cell
+    last = at + a.low - a.window + 1
+    beyond = F.sequence(F.greatest(F.ceil(last / a.stride), F.lit(0)).cast("long"), F.lit(a.count - 1).cast("long"))  # all that end there or behind
+    none = F.array().cast("array<long>")
+    as_last = F.when(at == a.n - 1, F.when(last <= (a.count - 1) * a.stride, beyond).otherwise(none)).when((last >= 0) & (last % a.stride == 0), F.array((last / a.stride).cast("long"))).otherwise(none)
+    start = lambda o: o * a.stride - a.low
+    reaches = F.filter(as_last, lambda o: F.floor(at / a.window) > F.floor(start(o) / a.window))
+    ends = F.concat(F.transform(as_first.cast("array<long>"), lambda o: F.struct(o.alias("o"), F.col("to_end_").alias("v"))), F.transform(reaches, lambda o: F.struct(o.alias("o"), F.col("from_start_").alias("v"))))
+    parts = rows.select(*rest, F.explode(ends).alias("e_")).select(*rest, F.col("e_.o").alias(d), F.col("e_.v").alias("value")).filter((F.col(d) >= 0) & (F.col(d) < a.count))
+    return parts.groupBy(*dims).agg(RUNNING[how]("value").alias("value"))
+
+
+def inside(o: Column, a: Along) -> Column:
+    """How many cells of window o lie in the tensor."""
+    start = o * a.stride - a.low
+    before = F.when(start < 0, F.ceil(-start / a.dilation)).otherwise(0)
+    upto = F.floor((a.n - 1 - start) / a.dilation) + 1
+    return F.least(upto, F.lit(a.window)) - before
 
 
 def pool(t: Tensor, size, how: str = "max", stride=None, padding: int = 0, dilation: int = 1, ceil_mode: bool = False, spatial: int = 2) -> Tensor:
