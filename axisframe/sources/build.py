@@ -246,16 +246,51 @@ def sample(spark: SparkSession, sizes: dict[str, int], kind: str = "uniform", se
     return Tensor(out, tuple(sizes), tuple(sizes.values()), None)
 
 
+BLOCK = 4096  # categories whose counts are drawn at once
+
+
+def drawn(rows: DataFrame, keys: list[str], n: str, seed: int) -> DataFrame:
+    """(keys, n_): rows with a column p of weights, replaced by the counts of n draws among them.
+
+    Each count is a binomial of what is left, given the counts before it, so a draw costs its categories whatever n. The
+    generator of a row depends on its keys only. Without a positive weight all counts are 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, count, p in zip(batch["key_"].to_pylist(), batch["draws_"].to_pylist(), batch["p"].to_pylist(), strict=True):
+                p = np.array([x or 0.0 for x in p])
+                random = np.random.Generator(np.random.PCG64([seed, key % 2**64]))
+                out.append(random.multinomial(count, p / p.sum()).tolist() if p.sum() > 0 else [0] * len(p))
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), pa.array(out, pa.list_(pa.int64()))], [*keys, "n_"])
+
+    given = rows.select(*keys, F.xxhash64(F.lit(seed), *keys).alias("key_"), F.col(n).cast("long").alias("draws_"), "p")
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return given.mapInArrow(run, f"{kinds}n_ array<long>")
+
+
 def sample_multinomial(p: Tensor, n: int, seed: int = 0) -> Tensor:
-    """Counts of n draws for each cell of the leading dims over the categories of the last dim; the draws come by thinning
-    cumulated probabilities, found in each row's array of them."""
-    fail_unless(p.rank >= 1 and n >= 0, "multinomial needs categories and a count that is not negative")
+    """Counts of n draws for each cell of the leading dims over the categories of the last dim, whose values are weights.
+
+    The draws go to blocks of categories first and then to the categories of each block, so neither n nor the number of
+    categories makes rows: the result has one for each category that was drawn.
+    """
+    fail_unless(p.rank >= 1 and 0 <= n < 2**63, "multinomial needs categories and a count that is not negative")
     c, rest = p.dims[-1], list(p.dims[:-1])
-    packed = pack(p, c, "p").withColumn("total", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
-    draws = packed.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", F.rand(seed) * F.col("total")) if n else packed.limit(0).withColumn("u", F.lit(0.0))
-    edges = F.aggregate("p", F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("at")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["at"] + F.when(a["s"] + x <= F.col("u"), 1).otherwise(0)).alias("at")))
-    hit = draws.withColumn(c, F.least(edges["at"], F.size("p").cast("long") - 1))
-    return Tensor(hit.groupBy(*rest, c).agg(F.count("*").cast("double").alias("value")), p.dims, p.sizes, 0.0)
+    cells = p.dense().df.withColumn("block_", F.floor(F.col(c) / BLOCK).cast("long")).withColumn("at_", (F.col(c) % BLOCK).cast("int"))
+    listed = lambda at, x: F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), x.alias("p"))))
+    blocks = cells.groupBy(*rest, "block_").agg(listed("at_", F.col("value").cast("double")).alias("list_"))
+    blocks = blocks.withColumn("p", F.transform("list_", lambda x: x["p"])).withColumn("whole_", F.aggregate("p", F.lit(0.0), lambda s, x: s + x))
+    slices = blocks.groupBy(*rest).agg(listed("block_", F.col("whole_")).alias("list_")).withColumn("p", F.transform("list_", lambda x: x["p"])).withColumn("asked_", F.lit(n))
+    shared = drawn(slices.withColumn("none_", F.lit(0)), [*rest, "none_", "list_"], "asked_", seed)
+    share = shared.select(*rest, F.explode(F.arrays_zip("list_", "n_")).alias("e_")).select(*rest, F.col("e_.list_.at").alias("block_"), F.col("e_.n_").alias("asked_")).filter("asked_ > 0")
+    inside = drawn(blocks.join(share, [*rest, "block_"]), [*rest, "block_", "list_"], "asked_", seed + 1)
+    hit = inside.select(*rest, "block_", F.explode(F.arrays_zip("list_", "n_")).alias("e_")).filter("e_.n_ > 0")
+    out = hit.select(*rest, (F.col("block_") * BLOCK + F.col("e_.list_.at")).alias(c), F.col("e_.n_").cast("double").alias("value"))
+    return Tensor(out, p.dims, p.sizes, 0.0)
 
 
 def circulant(c: Tensor, dim: str = "j") -> Tensor:
