@@ -149,8 +149,9 @@ def check_contract(df: DataFrame, key: str, column: str, spec: str, sizes: Colum
 
 
 def bind_dims(observed: DataFrame) -> DataFrame:
-    """(name, least, most, sizes, one_size) of observed rows (name, size): a name has one size throughout, 1 aside for stretched dims."""
-    return observed.groupBy("name").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count_distinct("size").alias("sizes")).withColumn("one_size", F.col("least") == F.col("most"))
+    """(name, least, most, sizes, one_size) of observed rows (name, size): a name has one size throughout, 1 aside, which a dim has
+    where it is stretched."""
+    return observed.groupBy("name").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count_distinct("size").alias("sizes"), (F.count_distinct(F.when(F.col("size") != 1, F.col("size"))) <= 1).alias("one_size"))
 
 
 def observed_sizes(df: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -181,29 +182,59 @@ def broadcast_audit(ops: DataFrame, key: str = "op_id", left: str = "left_shape"
 
 
 def contraction_audit(ops: DataFrame, left: str = "left_shape", right: str = "right_shape") -> DataFrame:
-    """ops with `conflict`: the inner sizes of a logged product differ."""
-    inner = F.when(F.size(right) > 1, F.try_element_at(right, F.lit(-2))).otherwise(F.try_element_at(right, F.lit(-1)))
-    return ops.withColumn("conflict", F.coalesce(F.try_element_at(left, F.lit(-1)) != inner, F.lit(True)))
+    """ops with `conflict` and `result` (null on a conflict) of logged products of any ranks.
+
+    The last size of the left meets the last but one of the right, or its only one; the sizes before these two on each side are
+    batch sizes and broadcast from the right. Scalars are refused. An unknown size (null) conflicts with nothing, an unknown
+    shape gives no result.
+    """
+    a, b = F.col(left), F.col(right)
+    rank_a, rank_b = F.size(a), F.size(b)
+    lead = lambda x, rank: F.slice(x, F.lit(1), F.greatest(rank - 2, F.lit(0)))
+    inner = F.when(rank_b > 1, F.try_element_at(b, F.lit(-2))).otherwise(F.try_element_at(b, F.lit(-1)))
+    pairs = aligned_sizes(lead(a, rank_a), lead(b, rank_b))
+    clash = lambda p: F.coalesce((p["l"] != p["r"]) & (p["l"] != 1) & (p["r"] != 1), F.lit(False))
+    conflict = (rank_a == 0) | (rank_b == 0) | F.coalesce(F.try_element_at(a, F.lit(-1)) != inner, F.lit(False)) | F.exists(pairs, clash)
+    own = lambda x, rank, at: F.when(rank > 1, F.array(F.try_element_at(x, F.lit(at)))).otherwise(F.slice(x, F.lit(1), F.lit(0)))
+    batch = F.transform(pairs, lambda p: F.when(p["l"] == 1, p["r"]).when(p["r"] == 1, p["l"]).otherwise(F.coalesce(p["l"], p["r"])))
+    result = F.concat(batch, own(a, rank_a, -2), own(b, rank_b, -1))
+    known = a.isNotNull() & b.isNotNull()
+    return ops.withColumn("conflict", known & conflict).withColumn("result", F.when(known & ~conflict, result))
 
 
 def reshape_audit(ops: DataFrame, old: str = "old_shape", new: str = "new_shape") -> DataFrame:
-    """ops with `conflict`: the element counts differ; one -1 stands for what divides."""
+    """ops with `conflict`: the element counts differ; one -1 stands for what divides, and other negative sizes are refused."""
+    negative = F.exists(F.col(new), lambda x: x < -1)
     known = product_of(F.filter(F.col(new), lambda x: x != -1))
     free = F.size(F.filter(F.col(new), lambda x: x == -1))
     fits = F.when(free == 0, known == product_of(F.col(old))).when(free == 1, (known > 0) & (product_of(F.col(old)) % F.when(known > 0, known).otherwise(1) == 0)).otherwise(F.lit(False))
-    return ops.withColumn("conflict", ~fits)
+    return ops.withColumn("conflict", negative | ~fits)
 
 
 def concat_audit(operands: DataFrame, key: str = "op_id", shape: str = "shape", axis: str = "axis") -> DataFrame:
-    """(op_id, conflict) of operand rows: ranks or sizes other than the joined one differ."""
-    sizes = operands.select(key, axis, F.size(shape).alias("rank"), F.posexplode(shape).alias("at", "size"))
-    per_axis = sizes.groupBy(key, "at").agg(F.count_distinct("size").alias("n"), F.min(axis).alias("axis"), F.count_distinct("rank").alias("ranks"))
-    return per_axis.groupBy(key).agg(F.bool_or(((F.col("n") > 1) & (F.col("at") != F.col("axis"))) | (F.col("ranks") > 1)).alias("conflict"))
+    """(op_id, conflict) of operand rows: ranks differ, sizes beside the joined axis differ, an operand is a scalar, or the axis,
+    negative ones counted from the end, does not exist.
+
+    Where an empty vector is among operands of other ranks, nothing is claimed: some libraries skip it. Unknown shapes and
+    sizes conflict with nothing.
+    """
+    rows = operands.filter(F.col(shape).isNotNull()).select(key, axis, shape, F.size(shape).alias("rank_"))
+    ranks = rows.groupBy(key).agg(
+        F.min("rank_").alias("least"), F.max("rank_").alias("most"), F.min(axis).alias("axis_"),
+        F.bool_or((F.col("rank_") == 1) & F.coalesce(F.try_element_at(F.col(shape), F.lit(1)) == 0, F.lit(False))).alias("empty"), F.bool_or(F.col("rank_") != 1).alias("other"),
+    )
+    place = F.when(F.col("axis_") < 0, F.col("axis_") + F.col("most")).otherwise(F.col("axis_"))
+    sizes = rows.select(key, F.posexplode_outer(shape).alias("at", "size")).groupBy(key, "at").agg((F.min("size") != F.max("size")).alias("differ"))
+    beside = ranks.select(key, place.alias("place")).join(sizes, key).groupBy(key).agg(F.bool_or(F.coalesce("differ", F.lit(False)) & (F.col("at") != F.col("place"))).alias("beside"))
+    wrong = (F.col("least") != F.col("most")) | (F.col("least") == 0) | (place < 0) | (place >= F.col("most")) | F.coalesce("beside", F.lit(False))
+    claimed = ranks.join(beside, key).select(key, (wrong & ~(F.col("empty") & F.col("other"))).alias("conflict"))
+    return operands.select(key).distinct().join(claimed, key, "left").select(key, F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
 def grade(df: DataFrame, declared: str, measured: str) -> DataFrame:
-    """df with `kind`: mismatch where two known sizes differ, approximation where only a name speaks, else null."""
-    number = F.col(declared).cast("int")
+    """df with `kind`: mismatch where two known sizes differ, approximation where only a name speaks, else null. Declared sizes are
+    numbers or names, as text."""
+    number = F.col(declared).try_cast("int")
     return df.withColumn("kind", F.when(number.isNotNull() & F.col(measured).isNotNull() & (number != F.col(measured)), "mismatch").when(number.isNull() | F.col(measured).isNull(), "approximation"))
 
 

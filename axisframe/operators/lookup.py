@@ -98,19 +98,41 @@ def references(sites: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     return sites.join(wanted.select(*on).distinct(), on, "left_semi")
 
 
+def refused(sites: DataFrame, renames: DataFrame, scope: str, name: str, new: str) -> DataFrame:
+    """(scope, name, new) of the renames that cannot be done together.
+
+    All are done at once, so a name may go to one that is itself renamed away, and two names may change places. Refused are names
+    that go to the same new one, and those whose new name stays in use; what a refused rename keeps in use may refuse others,
+    round by round, until nothing changes. Where a name has several new ones, the first counts.
+    """
+    used = durable(sites.select(scope, name).distinct(), "names")
+    asked = renames.groupBy(scope, name).agg(F.min(new).alias(new)).filter(F.col(new) != F.col(name)).join(used, [scope, name], "left_semi")
+    asked = durable(asked, "renames")
+    twins = asked.groupBy(scope, new).count().filter("count > 1").select(scope, new)
+    live, out = durable(asked.join(twins, [scope, new], "left_anti").select(scope, name, new), "live"), asked.join(twins, [scope, new], "left_semi").select(scope, name, new)
+    while True:
+        staying = used.join(live.select(scope, name), [scope, name], "left_anti").withColumnRenamed(name, new)
+        bad = durable(live.join(staying, [scope, new], "left_semi").select(scope, name, new), "refused")
+        if bad.isEmpty():
+            return out
+        out = out.unionByName(bad)
+        left = durable(live.join(bad.select(scope, name), [scope, name], "left_anti").select(scope, name, new), "live")
+        forget(live)
+        live = left
+
+
 def rename_clashes(sites: DataFrame, renames: DataFrame, scope: str = "scope_id", name: str = "name", new: str = "new_name") -> DataFrame:
-    """The renames whose new name is in use in their scope."""
-    used = sites.select(scope, F.col(name).alias(new)).distinct()
-    return renames.join(used, [scope, new], "left_semi")
+    """The renames that cannot be done together with the others; see `refused`."""
+    bad = refused(sites, renames, scope, name, new)
+    return renames.join(bad, [scope, name, new], "left_semi")
 
 
 def rename(sites: DataFrame, renames: DataFrame, scope: str = "scope_id", name: str = "name", new: str = "new_name") -> DataFrame:
-    """sites with new names; a rename that would clash is left out, and the first new name counts where one has several."""
-    safe = renames.join(rename_clashes(sites, renames, scope, name, new).select(scope, name).distinct(), [scope, name], "left_anti")
-    one = safe.groupBy(scope, name).agg(F.min(new).alias("new_"))
+    """sites with new names, all at once; renames that would clash are left out, and the first new name counts where one has several."""
+    bad = refused(sites, renames, scope, name, new)
+    one = renames.groupBy(scope, name).agg(F.min(new).alias("new_")).join(bad.select(scope, name), [scope, name], "left_anti")
     return sites.join(one, [scope, name], "left").withColumn(name, F.coalesce("new_", name)).select(*sites.columns)
 
-
 def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, group): the smallest node that edges reach. Labels spread to neighbours and jump to their label's label,
     so long chains take few rounds; every round is a written table, and rounds end when no label changes."""

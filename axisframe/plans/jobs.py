@@ -112,12 +112,12 @@ def q1_check_contract(spark, d):
     return Q.check_contract(e, "vec_id", "embedding", "k=64")
 
 
-@query("""SELECT name, min(size)::INT AS least, max(size)::INT AS most, count(DISTINCT size) AS sizes, min(size) = max(size) AS one_size FROM (SELECT 'width' AS name, len(embedding) AS size FROM embeddings UNION ALL
-SELECT 'words', len(string_split(p_name, ' ')) FROM part UNION ALL SELECT 'width', 64 FROM nation) GROUP BY name""")
+@query("""SELECT name, min(size)::INT AS least, max(size)::INT AS most, count(DISTINCT size) AS sizes, count(DISTINCT size) FILTER (size <> 1) <= 1 AS one_size FROM (SELECT 'width' AS name, len(embedding) AS size FROM embeddings UNION ALL
+SELECT 'words', len(string_split(p_name, ' ')) FROM part UNION ALL SELECT 'width', CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 64 END FROM nation) GROUP BY name""")
 def q2_bind_dims(spark, d):
     a = Q.observed_sizes(table(spark, d, "embeddings"), "embedding", ["width"])
     b = Q.observed_sizes(table(spark, d, "part").withColumn("w", F.split("p_name", " ")), "w", ["words"])
-    c = table(spark, d, "nation").select(F.lit("width").alias("name"), F.lit(64).alias("size"))
+    c = table(spark, d, "nation").select(F.lit("width").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, 1).otherwise(64).alias("size"))  # stretched in half of the rows
     return Q.bind_dims(a.unionByName(b).unionByName(c))
 
 
@@ -141,6 +141,17 @@ def q4_contraction_audit(spark, d):
     return Q.contraction_audit(ops(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "conflict")
 
 
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey % 4 AS k, (l_partkey % 3 + 1)::INT AS a0, (l_suppkey % 2 + 1)::INT AS a1, (l_linenumber % 4 + 1)::INT AS a2, (l_orderkey // 4 % 3 + 1)::INT AS b0, (l_suppkey % 4 + 1)::INT AS b1, (l_partkey % 2 + 1)::INT AS b2 FROM lineitem),
+c AS (SELECT *, CASE k WHEN 0 THEN (a0 <> b0 AND a0 <> 1 AND b0 <> 1) OR a2 <> b1 WHEN 3 THEN true ELSE a2 <> b1 END AS conflict FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, conflict, CASE WHEN conflict THEN NULL WHEN k = 0 THEN [greatest(a0, b0), a1, b2] WHEN k = 1 THEN [a0, a1] ELSE [b0, b2] END AS result FROM c""")
+def q4_products_of_any_ranks(spark, d):
+    """Batch sizes that broadcast, vectors on either side, and scalars."""
+    n = lambda c, m: (c % m + 1).cast("int")
+    k, left, right = F.col("l_orderkey") % 4, F.array(n(F.col("l_partkey"), 3), n(F.col("l_suppkey"), 2), n(F.col("l_linenumber"), 4)), F.array(n(F.floor(F.col("l_orderkey") / 4), 3), n(F.col("l_suppkey"), 4), n(F.col("l_partkey"), 2))
+    shaped = table(spark, d, "lineitem").withColumn("left_shape", F.when(k == 2, F.slice(left, 3, 1)).when(k == 3, F.slice(left, 1, 0)).otherwise(left)).withColumn("right_shape", F.when(k == 1, F.slice(right, 2, 1)).when(k == 3, F.slice(right, 2, 1)).otherwise(right))
+    return Q.contraction_audit(shaped).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "conflict", "result")
+
+
 @query(f"WITH {OPS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a0 * a1 * a2 % b2 <> 0 AS conflict FROM ops")
 def q5_reshape_audit(spark, d):
     new = ops(spark, d).withColumn("new_shape", F.array(F.col("right_shape")[1], F.lit(-1)))
@@ -153,6 +164,16 @@ def q5_concat_audit(spark, d):
     return Q.concat_audit(operands)
 
 
+@query("""WITH o AS (SELECT l_orderkey AS op_id, l_orderkey % 4 AS k, (l_partkey % 3 + 1)::INT AS a, (l_suppkey % 2 + 1)::INT AS b, l_linenumber AS n, count(*) OVER (PARTITION BY l_orderkey) AS rows FROM lineitem)
+SELECT op_id, CASE k WHEN 0 THEN count(DISTINCT a) > 1 WHEN 1 THEN count(DISTINCT b) > 1 WHEN 2 THEN true ELSE NOT bool_or(n % 2 = 0) AND count(DISTINCT a) > 1 END AS conflict FROM o GROUP BY op_id, k""")
+def q5_concat_of_any_axes(spark, d):
+    """By order: the last axis as -1, the last but one as -2, an axis beyond the rank, and empty vectors among other ranks."""
+    k, n = F.col("l_orderkey") % 4, lambda c, m: (F.col(c) % m + 1).cast("int")
+    shape = F.array(n("l_partkey", 3), n("l_suppkey", 2))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("op_id"), F.when((k == 3) & (F.col("l_linenumber") % 2 == 0), F.array(F.lit(0))).otherwise(shape).alias("shape"), F.when(k == 1, -2).when(k == 2, -3).otherwise(-1).alias("axis"))
+    return Q.concat_audit(rows)
+
+
 FINDINGS = "f AS (SELECT c_mktsegment AS source, c_custkey AS row_key, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE (c_custkey % 7)::INT END AS measured, CASE WHEN c_custkey % 3 = 0 THEN 'n' ELSE (c_custkey % 2)::VARCHAR END AS declared FROM customer), g AS (SELECT *, CASE WHEN TRY_CAST(declared AS INT) IS NOT NULL AND measured IS NOT NULL AND declared::INT <> measured THEN 'mismatch' WHEN TRY_CAST(declared AS INT) IS NULL OR measured IS NULL THEN 'approximation' END AS kind FROM f)"
 
 
@@ -161,7 +182,7 @@ def graded(spark, d) -> DataFrame:
     measured = F.when(F.col("c_nationkey") % 5 != 0, (F.col("c_custkey") % 7).cast("int"))
     declared = F.when(F.col("c_custkey") % 3 == 0, "n").otherwise((F.col("c_custkey") % 2).cast("string"))
     df = c.select(F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("row_key"), measured.alias("measured"), declared.alias("declared"))
-    return Q.grade(df.withColumn("number", F.expr("try_cast(declared AS int)")), "number", "measured").drop("number")
+    return Q.grade(df, "declared", "measured")
 
 
 @query(f"WITH {FINDINGS} SELECT row_key, kind FROM g")
@@ -243,6 +264,21 @@ def d4_rename(spark, d):
     return K.rename(s, plans)
 
 
+@query("""WITH RECURSIVE s AS (SELECT event_id, user_id % 20 AS scope_id, event_type AS name FROM events), u AS (SELECT DISTINCT scope_id, name FROM s),
+r AS (SELECT scope_id, name, CASE WHEN name = 'click' THEN CASE scope_id % 4 WHEN 0 THEN 'view' WHEN 3 THEN 'x' ELSE 'error' END WHEN name = 'view' THEN CASE scope_id % 4 WHEN 0 THEN 'click' WHEN 3 THEN 'x' END WHEN name = 'error' THEN CASE scope_id % 4 WHEN 1 THEN 'error_2' WHEN 2 THEN 'purchase' END END AS new_name FROM u),
+a AS (SELECT * FROM r WHERE new_name IS NOT NULL), t AS (SELECT scope_id, new_name FROM a GROUP BY ALL HAVING count(*) > 1),
+bad AS (SELECT scope_id, name FROM a WHERE EXISTS (SELECT 1 FROM t WHERE t.scope_id = a.scope_id AND t.new_name = a.new_name) OR (EXISTS (SELECT 1 FROM u WHERE u.scope_id = a.scope_id AND u.name = a.new_name) AND NOT EXISTS (SELECT 1 FROM a b WHERE b.scope_id = a.scope_id AND b.name = a.new_name))
+  UNION SELECT a.scope_id, a.name FROM a JOIN bad ON bad.scope_id = a.scope_id AND bad.name = a.new_name)
+SELECT event_id, s.scope_id, coalesce(a.new_name, s.name) AS name FROM s LEFT JOIN (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.scope_id = a.scope_id AND bad.name = a.name)) a ON a.scope_id = s.scope_id AND a.name = s.name""")
+def d4_renames_together(spark, d):
+    """By scope: two names change places, a chain that ends in a free name, one that ends in a name in use, and twins."""
+    s, _ = sites(spark, d)
+    k, is_ = F.col("scope_id") % 4, lambda n: F.col("name") == n
+    new = F.when(is_("click"), F.when(k == 0, "view").when(k == 3, "x").otherwise("error")).when(is_("view"), F.when(k == 0, "click").when(k == 3, "x")).when(is_("error"), F.when(k == 1, "error_2").when(k == 2, "purchase"))
+    plans = s.select("scope_id", "name").distinct().withColumn("new_name", new).filter("new_name IS NOT NULL")
+    return K.rename(s, plans)
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 cc(node, g) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ UNION (SELECT p.node, min(i.g) FROM recurring.cc p JOIN both_ x ON x.a = p.node JOIN cc i ON i.node = x.b WHERE i.g < p.g GROUP BY p.node)) SELECT node, g AS "group" FROM cc""")
 def d5_connected_groups(spark, d):
