@@ -15,6 +15,7 @@ from .streams import newest
 
 BUCKETS = 512
 FAN = 4
+FILTER_BYTES = 1 << 16  # of a row group's Bloom filter at most
 LOOKED_UP = 10_000  # keys that a look-up may name
 
 
@@ -49,7 +50,7 @@ def forget_replaced(spark: SparkSession, path: str) -> None:
 
 
 def write_run(rows: DataFrame, path: str, first: int, last: int, keys: list[str]) -> None:
-    filters = {f"parquet.bloom.filter.enabled#{k}": "true" for k in keys}
+    filters = {f"parquet.bloom.filter.enabled#{k}": "true" for k in keys} | {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(FILTER_BYTES)}
     placed = rows.withColumn("bucket", bucket(keys)).repartition("bucket").sortWithinPartitions("bucket", *keys)
     placed.write.mode("overwrite").options(**filters).partitionBy("bucket").parquet(f"{path}/run={first}-{last}")
 
