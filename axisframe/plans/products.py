@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..operators import contract as C
-from ..operators.blocks import blocked
+from ..operators.blocks import row_totals
 from ..sources.build import tensor_from_table
 from .common import EMB, emb, query, sales
 
@@ -15,13 +15,12 @@ from .common import EMB, emb, query, sales
 @query(f"""WITH {EMB}, p AS (SELECT a.vec, b.vec AS other, sum(a.value * b.value) AS value FROM emb a JOIN emb b USING (k) GROUP BY ALL)
 SELECT vec, round(sum(value), 5) + 0.0 AS total, round(max(value) FILTER (other <> vec), 6) + 0.0 AS most, round(sum(value * value), 5) AS square FROM p GROUP BY vec""")
 def j1_product_by_tiles(spark, d):
-    """All inner products of the embeddings, multiplied tile by tile; of each vector's row the sum, the largest but its own, and
-    the sum of squares."""
+    """All inner products of the embeddings, multiplied tile by tile and summed up where they arise; of each vector's row the sum,
+    the largest but its own, and the sum of squares."""
     t = emb(spark, d)
     t = replace(t, sizes=t.measured)
-    product = blocked(t, t.rename(vec="other"), ["k"], ["vec", "other"]).df
-    most = F.max(F.when(F.col("other") != F.col("vec"), F.col("value")))
-    return product.groupBy("vec").agg(*(F.round(x, n).alias(c) for x, n, c in ((F.sum("value") + 0.0, 5, "total"), (most + 0.0, 6, "most"), (F.sum(F.col("value") ** 2), 5, "square"))))
+    rows = row_totals(t, t.rename(vec="other"), ["k"])
+    return rows.select("vec", *(F.round(F.col(c) + 0.0, n).alias(c) for c, n in (("total", 5), ("most", 6), ("square", 5))))
 
 
 @query("""WITH s AS (SELECT l_partkey AS p, l_suppkey AS s, c_nationkey AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),

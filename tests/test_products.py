@@ -112,3 +112,48 @@ def test_hot_values_are_spread(spark, monkeypatch):
     p = cyclic.spread_hot([df, small, third], terms, first)
     assert cyclic.fullest(df, terms[0], p) <= 300 < 2000
     assert p["b"] > 1
+
+
+def test_tiles_are_sent_to_strips(spark, monkeypatch):
+    """A tile goes once to each strip of the other side, not to each of its tiles."""
+    monkeypatch.setattr(blocks, "TILE", 4)
+    monkeypatch.setattr(blocks, "DEPTH", 8)
+    monkeypatch.setattr(blocks, "PAIRS", 4)
+    x = np.random.default_rng(2).normal(size=(160, 16))
+    left, right = tensor(spark, x, ["i", "k"]), tensor(spark, x.T, ["k", "j"])
+    pairs, _, strip = blocks.met(left, right, ["k"], None)
+    assert strip and pairs.count() == 40 * 2 * 2 * 2  # 40 tiles by 2 summed ranges, 2 sides, 2 strips of the other side
+    assert array(blocks.blocked(left, right, ["k"], ["i", "j"])) == pytest.approx(x @ x.T)
+    monkeypatch.setattr(blocks, "HELD", 16 * 4 * 5)
+    pairs, keys, _ = blocks.met(left, right, ["k"], None)
+    assert pairs.count() == 40 * 2 * 2 * 8  # strips of 5 tiles, as many as may be held
+    assert max(r["count"] for r in pairs.groupBy(*keys).count().collect()) == 2 * 5 * 2
+
+
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_totals_of_rows(spark, monkeypatch, held):
+    """Over all cells that meet, be they zero, and none of those that do not; no largest value where a row meets itself only."""
+    for name, value in (("TILE", 8), ("DEPTH", 4), ("GROUP", 2), ("PAIRS", 4), ("HELD", held)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(-2, 3, size=s).astype(float) for s in ((50, 23), (23, 41)))
+    a, b = rng.random(x.shape) < 0.15, rng.random(y.shape) < 0.15
+    a[20:28], b[:, 16:24] = True, True
+    a[7], a[11], b[9] = False, False, False
+    a[7, 9], b[9, 7] = True, True
+    one = lambda v, there, dims: Tensor(spark.createDataFrame([(int(i), int(j), float(v[i, j])) for i, j in zip(*np.nonzero(there), strict=True)], f"{dims[0]} long, {dims[1]} long, value double"), dims, v.shape, None)
+    got = {r["i"]: r[1:] for r in blocks.row_totals(one(x, a, ("i", "k")), one(y, b, ("k", "j")), ["k"]).collect()}
+    value, meets = (x * a) @ (y * b), a.astype(int) @ b.astype(int) > 0
+    assert got.keys() == set(np.flatnonzero(meets.any(axis=1)).tolist()) and 11 not in got
+    for i, (total, most, square) in got.items():
+        others = [value[i, j] for j in range(41) if meets[i, j] and j != i]
+        assert total == pytest.approx(value[i][meets[i]].sum()) and square == pytest.approx((value[i][meets[i]] ** 2).sum())
+        assert most == (max(others) if others else None)
+    assert got[7][1] is None
+
+
+def test_the_embeddings_product_gives_totals_and_no_cells(spark):
+    from axisframe.plans.catalogue import QUERIES
+
+    plan = QUERIES["j1_product_by_tiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "square" in plan and "j_" not in plan
