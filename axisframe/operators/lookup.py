@@ -11,6 +11,8 @@ from ..sources.scratch import durable, forget
 from ..tensor import fail_unless
 from .segments import fits
 
+ROWS = 1 << 21  # edges of a task that makes them distinct
+
 
 def asof_lookup(probes: DataFrame, bindings: DataFrame, keys: list[str], at: str, value: str, since: str | None = None, out: str | None = None) -> DataFrame:
     """probes with the last value bound at or before each one's time: a union and a running last, no range join.
@@ -133,16 +135,30 @@ def rename(sites: DataFrame, renames: DataFrame, scope: str = "scope_id", name:
     one = renames.groupBy(scope, name).agg(F.min(new).alias("new_")).join(bad.select(scope, name), [scope, name], "left_anti")
     return sites.join(one, [scope, name], "left").withColumn(name, F.coalesce("new_", name)).select(*sites.columns)
 
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by the keys in so many tasks that each has about ROWS rows, however many there are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+
+
 def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, group): the smallest node that edges reach. Labels spread to neighbours and jump to their label's label,
-    so long chains take few rounds; every round is a written table, and rounds end when no label changes."""
-    both = durable(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b), F.col(a)).toDF("node", "other")).dropna().distinct())
-    labels = durable(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("group")))
+    so long chains take few rounds; every round is a written table, and rounds end when no label changes.
+
+    Edges need not be distinct: they are made so in tasks cut by their number, so that what a task holds does not grow with them.
+    Jumps are looked up for distinct labels, few where a group is large.
+    """
+    given = durable(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).dropna())
+    all_ = given.unionByName(given.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    both = durable(spread(all_, 2 * given.count(), "node", "other").distinct())
+    forget(given)
+    labels = durable(spread(both, both.count(), "node").groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("group")))
     written = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("group").alias("g_")), "other").groupBy("node").agg(F.min("g_").alias("g_"))
         met = labels.join(near, "node").select("node", F.least("group", "g_").alias("new_"), "group")
         jump = labels.select(F.col("node").alias("new_"), F.col("group").alias("far_"))
+        jump = labels.select(F.col("group").alias("new_")).distinct().join(jump, "new_").filter("far_ < new_")
         after = durable(met.join(jump, "new_", "left").select("node", F.least("new_", F.coalesce("far_", "new_")).alias("new_"), "group"))
         forget(written)
         written, labels = after, after.select("node", F.col("new_").alias("group"))

@@ -258,3 +258,18 @@ def test_error_function(spark):
     xs = [x / 16 for x in range(-120, 121)] + [1e-300, 30.0, -30.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", UNARY["erf"](F.col("x")).alias("e")).collect()
     assert all(abs(r["e"] - erf(r["x"])) < 4e-15 for r in got)
+
+
+def test_groups_cut_their_tasks_by_edges(spark, monkeypatch):
+    """1,000 distinct edges, each twice and back: 20 tasks of about 200 rows make them distinct, with 4 shuffle partitions."""
+    from axisframe.operators import lookup as K
+
+    most, whole = [], K.durable
+    per_task = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(K, "ROWS", 200)
+    monkeypatch.setattr(K, "durable", lambda df, *name: most.append(per_task(df)) or whole(df, *name))
+    edges = [(i, i + 1) for i in range(500)] + [(1000, 1001 + i) for i in range(500)]
+    df = spark.createDataFrame(edges + [(b, a) for a, b in edges] + [(7, None), (5000, 5000)], "a long, b long")
+    got = {r["node"]: r["group"] for r in K.connected_groups(df).collect()}
+    assert got == {n: 0 for n in range(501)} | {n: 1000 for n in range(1000, 1501)} | {5000: 5000}
+    assert most[1] < 200
