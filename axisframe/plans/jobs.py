@@ -391,11 +391,11 @@ def t7_daily_windows_batch(spark, d):
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "v")
 
 
-def streamed(spark, d, job, keys: list[str], order: str, mode: str = "update", source: DataFrame | None = None) -> DataFrame:
+def streamed(spark, d, job, keys: list[str], order: str, mode: str = "update", source: DataFrame | None = None, **step) -> DataFrame:
     """The table that a streaming job over events (or another stream) leaves behind."""
     path = f"{scratch_folder(spark, 'stream')}/rows"
     events_ = source if source is not None else T.read_events(spark, d, "events.parquet")
-    T.run_once(T.upserts(job(events_), path, keys, order, f"{path}-checkpoint", mode), spark)
+    T.run_once(T.upserts(job(events_), path, keys, order, f"{path}-checkpoint", mode, **step), spark)
     return T.current(spark, path, keys, order)
 
 
@@ -412,7 +412,9 @@ def t4_change_log_stream(spark, d):
     path = f"{scratch_folder(spark, 'changes')}/log"
     change_log(spark, d).write.parquet(path)
     log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    out = streamed(spark, d, lambda s: T.apply_change_log(s, "key"), ["key"], "version", source=log)
+    step = lambda batch, now: T.change_log_step(batch, now, "key")
+    schema = f"key {log.schema['key'].dataType.simpleString()}, version long, text string, in_sync boolean"
+    out = streamed(spark, d, lambda s: s, ["key"], "version", source=log, step=step, schema=schema)
     return out.select("key", F.nullif("version", F.lit(-1)).alias("version"), "text", "in_sync")
 
 

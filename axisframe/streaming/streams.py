@@ -88,6 +88,24 @@ def apply_change_log(events: DataFrame, key: str, version: str = "version", kind
     return events.groupBy(key).applyInPandasWithState(run, f"`{key}` {key_type}, version long, text string, in_sync boolean", "version long, text string, in_sync boolean", "update", timeout(keep))
 
 
+def change_log_step(batch: DataFrame, now: DataFrame, key: str, version: str = "version", kind: str = "kind", payload: str = "payload") -> DataFrame:
+    """(key, version, text, in_sync) of the keys of a micro-batch, from their rows before it: what `apply_change_log` does, as
+    expressions over each key's changes in order, for `upserts` to fold batch by batch. No Python runs for a key."""
+    rows = batch.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(version).cast("long").alias("v"), F.col(kind).alias("k"), F.col(payload).alias("p")))).alias("rows_"))
+    stored = now.select(key, F.struct("version", "text", "in_sync").alias("now_"))
+    none = F.struct(F.lit(-1).cast("long").alias("version"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("in_sync"))
+    state = lambda v, text, in_sync: F.struct(v.alias("version"), text.alias("text"), in_sync.alias("in_sync"))
+
+    def step(s, r):
+        newer = r["v"] > s["version"]
+        fits = s["in_sync"] & (r["v"] == s["version"] + 1)
+        longer = F.concat(F.coalesce(s["text"], F.lit("")), F.coalesce(r["p"], F.lit("")))
+        return F.when(newer & (r["k"] == "full"), state(r["v"], r["p"], F.lit(True))).when(newer & fits, state(r["v"], longer, F.lit(True))).when(newer, state(s["version"], s["text"], F.lit(False))).otherwise(s)
+
+    folded = rows.join(stored, key, "left").select(key, F.aggregate("rows_", F.coalesce("now_", none), step).alias("now_"))
+    return folded.select(key, "now_.version", "now_.text", "now_.in_sync")
+
+
 def dedupe_events(events: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
     """Each event once; the state holds keys no longer than the watermark."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
@@ -123,14 +141,25 @@ def compact(spark: SparkSession, path: str, keys: list[str], order: str) -> None
         hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(p), True)
 
 
-def upserts(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, mode: str = "update", every: int = 50):
+def upserts(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, mode: str = "update", every: int = 50, step=None, schema: str | None = None):
     """A writer that keeps one current row for each key below path, in one folder for each micro-batch; read it with
-    `current`. A batch that runs again writes the same folder again, and every so many batches all are made one."""
+    `current`. A batch that runs again writes the same folder again, and every so many batches all are made one.
+
+    With a step, the rows of a batch are step(batch, the rows before it of the batch's keys), which have the schema; a later
+    batch's order must not be less than an earlier one's."""
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if epoch <= folders(spark, path)[0]:
+        base, parts = folders(spark, path)
+        if epoch <= base:
             return  # compacted before the batch was noted as done
+        if step:
+            before = [p for n, p in parts if n < epoch]
+            if before:
+                now = newest(spark.read.parquet(*before).join(batch.select(*keys).distinct(), keys, "left_semi"), keys, order).drop("epoch")
+            else:
+                now = spark.createDataFrame([], schema)
+            batch = step(batch, now)
         newest(batch.withColumn("epoch", F.lit(epoch).cast("long")), keys, order).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
         if epoch % every == every - 1:
             compact(spark, path, keys, order)

@@ -140,3 +140,33 @@ def test_crashes_between_write_and_commit(spark, tmp_path, few_buckets):
     assert as_rows(store.stored(spark, path, ["k"], "at")) == current(everything)
     shutil.copytree(f"{path}/run=0-3", f"{path}/run=2-2")  # a replaced run that was not deleted yet
     assert as_rows(store.stored(spark, path, ["k"], "at")) == current(everything)
+
+
+def test_change_logs_fold_batch_by_batch_without_python_for_a_key(spark, tmp_path, monkeypatch):
+    """Random logs with gaps, early and late changes, null texts and repeats, cut into batches: as a loop over them gives."""
+    from axisframe.plans import jobs
+    from axisframe.streaming import streams as T
+
+    rng, now = random.Random(4), {}
+    path, log = str(tmp_path / "out"), str(tmp_path / "in")
+    for epoch in range(7):
+        batch = [(key, rng.randrange(1, 12) + 3 * epoch, rng.choice(["full", "edit", "edit", "edit"]), rng.choice(["a", "b", "c", None])) for key in range(40) for _ in range(rng.randrange(4))]
+        spark.createDataFrame(batch, "key long, version long, kind string, payload string").coalesce(1).write.mode("append").parquet(log)
+        for key, v, kind, payload in sorted(batch, key=lambda r: (r[0], r[1], r[2], r[3] is not None, r[3] or "")):
+            at, text, in_sync = now.get(key, (-1, None, False))
+            if v > at:
+                if kind == "full":
+                    at, text, in_sync = v, payload, True
+                elif in_sync and v == at + 1:
+                    at, text = v, (text or "") + (payload or "")
+                else:
+                    in_sync = False
+            now[key] = at, text, in_sync
+    read = T.read_events(spark, log, ts="version", files_per_trigger=1).withColumn("version", F.col("version").cast("long"))
+    step = lambda batch, before: T.change_log_step(batch, before, "key")
+    T.run_once(T.upserts(read, path, ["key"], "version", str(tmp_path / "check"), every=3, step=step, schema="key long, version long, text string, in_sync boolean"), spark)
+    assert {r["key"]: tuple(r)[1:] for r in T.current(spark, path, ["key"], "version").select("key", "version", "text", "in_sync").collect()} == now
+    assert len(now) == 40 and any(x[2] for x in now.values()) and not all(x[2] for x in now.values())
+    monkeypatch.setattr(T, "apply_change_log", None)
+    streamed, batched = ({tuple(r) for r in q(spark, "/root/testdata/sf0.001").collect()} for q in (jobs.t4_change_log_stream, jobs.t4_change_log_keys))
+    assert streamed == batched and len(streamed) > 100
