@@ -5,6 +5,8 @@ label gets a share, each row goes to the cells that agree with its hashed labels
 and a cell joins its rows of all operands label by label: a partial binding is extended by the operand that offers it the
 fewest values, the others are asked for each. So no more bindings arise than the result of the worst input of this size has.
 
+Rows for the same cells are sent in bundles, a few bytes each, and not one by one.
+
 Shares are chosen for the least traffic such that a cell's expected rows stay under LOAD; the real largest load is then
 measured, and shares of the fullest operand's labels are doubled until it fits too, so a hot value is spread over the cells
 of the operand's other labels.
@@ -12,6 +14,7 @@ of the operand's other labels.
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations_with_replacement
 from math import prod
 
@@ -27,6 +30,7 @@ from .blocks import runs
 LOAD = 1 << 20  # rows of all operands in a cell
 LEAST_BITS, MOST_BITS = 5, 20  # of the number of cells
 CHUNK = 1 << 18  # bindings extended at once
+BUNDLED = 1 << 19  # rows that a task puts in bundles at once
 
 
 def is_cyclic(terms: list[set[str]]) -> bool:
@@ -158,6 +162,65 @@ def summed_in_cell(columns: list[list[np.ndarray]], values: list[np.ndarray], te
         yield [known[k][rows[i, order[heads]]] for i, k in enumerate(at)], np.add.reduceat(product[order], heads)
 
 
+def bundled(columns: list[np.ndarray], value: np.ndarray) -> bytes:
+    """Rows, in order, as few bytes: each column in the narrowest whole numbers, the first as differences."""
+    stored, kinds = [], ""
+    for k, x in enumerate(columns):
+        x = np.diff(x, prepend=np.int64(0)) if k == 0 else x
+        kinds += next(t for t in "bhiq" if np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max)
+        stored.append(x.astype(kinds[-1]).tobytes())
+    return zlib.compress(b"".join([len(kinds).to_bytes(2, "little"), kinds.encode(), len(value).to_bytes(8, "little"), *stored, value.astype("d").tobytes()]), 1)
+
+
+def unbundled(data) -> list[np.ndarray]:
+    """The columns and the values of a bundle."""
+    raw = zlib.decompress(data)
+    labels = int.from_bytes(raw[:2], "little")
+    kinds, at = raw[2 : 2 + labels].decode(), 2 + labels
+    n, at = int.from_bytes(raw[at : at + 8], "little"), at + 8
+    out = []
+    for t in kinds + "d":
+        out.append(np.frombuffer(raw, t, n, at))
+        at += out[-1].nbytes
+    return [np.cumsum(out[0].astype(np.int64)), *(x.astype(np.int64) for x in out[1:-1]), out[-1]] if labels else out
+
+
+def unpacked(held: list, operands: int) -> list[list[np.ndarray]] | None:
+    """Columns and values of a cell by operand; nothing where one has no rows. One operand's bundles are open at a time."""
+    data = [[x for b in held for k, x in zip(b["operand_"].to_pylist(), b["data"], strict=True) if k == i] for i in range(operands)]
+    if not all(data):
+        return None
+    return [[np.concatenate(x) for x in zip(*(unbundled(x.as_buffer()) for x in own), strict=True)] for own in data]
+
+
+def bundles(df: DataFrame, term: tuple[str, ...]) -> DataFrame:
+    """(own_, data): the rows of up to BUNDLED neighbours in a task that share own_, as one binary value, with no shuffle."""
+    names = ["own_", *term, "value"]
+
+    def pack(batches):
+        import pyarrow as pa
+
+        def made(held):
+            own, *columns, value = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in names)
+            order = np.lexsort([*columns[::-1], own])
+            own, columns, value = own[order], [c[order] for c in columns], value[order]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            data = [bundled([c[i:j] for c in columns], value[i:j]) for i, j in zip(starts, [*starts[1:], len(own)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(own[starts]), pa.array(data, pa.binary())], ["own_", "data"])
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BUNDLED:
+                yield made(held)
+                held, rows = [], 0
+        if rows:
+            yield made(held)
+
+    return df.mapInArrow(pack, "own_ long, data binary")
+
+
 def applies(parts: list[Tensor]) -> bool:
     return len(parts) > 2 and is_cyclic([set(t.dims) for t in parts]) and all(isinstance(t.df.schema[d].dataType, IntegralType) for t in parts for d in t.dims)
 
@@ -175,28 +238,31 @@ def cyclic_sum(parts: list[Tensor], output: list[str]) -> DataFrame:
     terms = [tuple(sorted(t, key=labels.index)) for t in terms]
     counts = [df.count() for df in tables]
     p = spread_hot(tables, terms, shares(counts, terms))
+    weight, cells = {}, 1
+    for c in labels:
+        weight[c], cells = cells, cells * p[c]
     sent = None
     for i, (df, term) in enumerate(zip(tables, terms, strict=True)):
-        cell = F.lit(0).cast("long")
+        own = F.lit(0).cast("long")
+        for c in term:
+            own = own + place(c, p[c]) * weight[c]
+        df, cell = bundles(df.select(own.alias("own_"), *term, "value"), term), F.col("own_")
         for c in labels:
             if c not in term:
                 df = df.withColumn(f"{c}_at_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p[c] - 1).cast("long"))))
-            cell = cell * p[c] + (place(c, p[c]) if c in term else F.col(f"{c}_at_"))
-        row = df.select(cell.alias("cell_"), F.lit(i).alias("operand_"), *((F.col(c) if c in term else F.lit(None).cast("long")).alias(f"{c}_") for c in labels), "value")
+                cell = cell + F.col(f"{c}_at_") * weight[c]
+        row = df.select(cell.alias("cell_"), F.lit(i).alias("operand_"), "data")
         sent = row if sent is None else sent.unionByName(row)
 
     def join(batches):
         import pyarrow as pa
 
         for _, held in runs(batches, ["cell_"]):
-            operand = np.concatenate([b["operand_"].to_numpy() for b in held])
-            value = np.concatenate([b["value"].to_numpy() for b in held])
-            own = [operand == i for i in range(len(terms))]
-            if all(o.any() for o in own):
-                whole = {c: np.concatenate([b[f"{c}_"].fill_null(0).to_numpy(zero_copy_only=False) for b in held]) for c in labels}
-                columns = [[whole[c][o] for c in t] for o, t in zip(own, terms, strict=True)]
-                for out, sums in summed_in_cell(columns, [value[o] for o in own], terms, labels, output):
+            parts = unpacked(held, len(terms))
+            if parts:
+                for out, sums in summed_in_cell([own[:-1] for own in parts], [own[-1] for own in parts], terms, labels, output):
                     yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(sums)], [*output, "value"])
+            del parts, held
 
     kinds = "".join(f"`{c}` long, " for c in output)
     found = sent.repartition("cell_").sortWithinPartitions("cell_").mapInArrow(join, f"{kinds}value double")

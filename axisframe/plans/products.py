@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import contract as C
 from ..operators.blocks import row_totals
 from ..sources.build import tensor_from_table
+from ..sources.scratch import durable
 from .common import EMB, emb, query, sales
 
 
@@ -28,6 +29,6 @@ ps AS (SELECT p, s, count(*) AS v FROM s GROUP BY ALL), sn AS (SELECT s, n, coun
 SELECT ps.s, sum(ps.v * sn.v * np.v)::DOUBLE AS value FROM ps JOIN sn ON ps.s = sn.s JOIN np ON np.n = sn.n AND np.p = ps.p GROUP BY ps.s""")
 def j6_cyclic_einsum(spark, d):
     """Weighted triangles part - supplier - nation of the customer, by supplier: a cycle, joined in one round."""
-    rows = sales(spark, d).select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("c_nationkey").cast("long").alias("n"))
+    rows = durable(sales(spark, d).select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("c_nationkey").cast("long").alias("n")), "sales")
     pairs = [tensor_from_table(rows, {a: F.col(a), b: F.col(b)}, F.lit(1.0)) for a, b in ("ps", "sn", "np")]
     return C.einsum("ps,sn,np->s", *pairs).df

@@ -157,3 +157,25 @@ def test_the_embeddings_product_gives_totals_and_no_cells(spark):
 
     plan = QUERIES["j1_product_by_tiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "square" in plan and "j_" not in plan
+
+
+def test_cyclic_rows_are_sent_in_bundles(spark, monkeypatch):
+    """36,000 rows a side in few rows of few bytes, whatever their signs and widths."""
+    made, whole = [], cyclic.bundles
+    monkeypatch.setattr(cyclic, "bundles", lambda df, term: made.append((df.count(), whole(df, term).selectExpr("count(*) AS n", "sum(length(data)) AS bytes").first())) or whole(df, term))
+    side = lambda a, b: Tensor(spark.range(36000).selectExpr(f"(id * 7) % 300 AS {a}", f"id div 300 AS {b}", "1.0D AS value"), (a, b), (300, 300), 0.0)
+    got = C.einsum("ab,bc,ca->b", side("a", "b"), side("b", "c"), side("c", "a")).df
+    assert got.count() > 0
+    for rows, sent in made:
+        assert rows == 36000 and sent["n"] < 36000 / 20 and sent["bytes"] < 6 * 36000
+    columns = [np.array([-(2**62), 5, 5, 2**61]), np.array([3, -200, 70000, 2**40])]
+    assert [x.tolist() for x in cyclic.unbundled(cyclic.bundled(columns, np.arange(4) / 2))] == [*(c.tolist() for c in columns), [0, 0.5, 1, 1.5]]
+
+
+def test_the_triangles_read_the_sales_once(spark, monkeypatch):
+    from axisframe.plans import products
+
+    calls, whole = [], products.durable
+    monkeypatch.setattr(products, "durable", lambda df, *name: calls.append(name) or whole(df, *name))
+    out = products.j6_cyclic_einsum(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and "orders" not in out._jdf.queryExecution().toString() and out.count() == 10
