@@ -7,13 +7,16 @@ normaliser and pre-tokenizer. The merges always come from the library's model, o
 from __future__ import annotations
 
 import re
+import struct
 
 KEPT = 150_000  # pre-tokens whose ids a worker's cache holds
-# Outside this set normalisation or character classes may differ between libraries.
-UNSAFE = re.compile(r"[^\t\n\r -~¡-įı-ſ]|<\|")
+# Outside these sets normalisation or character classes may differ between libraries.
+PLAIN = b"\t\n\r" + bytes(range(32, 127))
+UNSAFE = re.compile(r"[^\t\n\r -~¡-įı-ſ]")
 LOWER = "a-zªµºß-öø-ſ"
 NUMBER = "0-9²³¹¼-¾"
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[{NUMBER}]|[^\s{LOWER}{NUMBER}]+")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(20)]
+PIECE = re.compile(rf"[{LOWER}]+|[{NUMBER}]|'(?:[stmd]|re|ve|ll)|[^\s{LOWER}{NUMBER}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -31,7 +34,49 @@ def tokenizer_path(name: str, path: str | None) -> str:
     return public_tokenizers.path(name)
 
 
+def plain(text: str) -> bool:
+    """Whether PIECE splits the text as the library does."""
+    if "<|" in text:
+        return False
+    return not text.encode().translate(None, PLAIN) if text.isascii() else not UNSAFE.search(text)
+
+
+class Cached(dict):
+    """Values by key, made on first use; emptied when it holds too many."""
+
+    def __init__(self, make, most: int = KEPT):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
+class Recent(dict):
+    """Values by key, made on first use. When half of `most` are held, they become the older half in place of the one
+    before, and what is used again comes back from there, so that rare keys do not drive out frequent ones."""
+
+    def __init__(self, make, most: int = KEPT):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordBpe:
+    cache = Recent
+
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
@@ -44,7 +89,7 @@ class WordBpe:
 
     def pretokens(self, text: str) -> list[str]:
         """The text's pre-tokens in order; a special token's string stands for itself."""
-        if not UNSAFE.search(text):
+        if plain(text):
             return PIECE.findall(text.lower())
         out = []
         for part in self.at_special.split(text):
@@ -58,21 +103,13 @@ class WordBpe:
     def ids(self, pretoken: str) -> list[int]:
         if pretoken in self.special:
             return [self.special[pretoken]]
-        return [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))]
-
-
-class Cached(dict):
-    """Values by key, made on first use; emptied when it holds too many."""
+        if not (pretoken.isascii() and pretoken.isprintable() and " " not in pretoken):  # such letters stand for themselves
+            pretoken = pretoken.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(pretoken)]
 
-    def __init__(self, make, most: int = KEPT):
-        super().__init__()
-        self.make, self.most = make, most
 
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
+def packed(ids: list[int]) -> bytes:
+    return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _loaded: dict = {}
@@ -82,8 +119,7 @@ def loaded(kind, path: str | None, most: int = KEPT):
     """One tokenizer and one cache of ids for each Python worker: (tokenizer, cache of little-endian uint32 ids)."""
     key = (kind, path)
     if key not in _loaded:
-        import numpy as np
-
         tok = kind(path)
-        _loaded[key] = tok, Cached(lambda p: np.array(tok.ids(p), dtype="<u4").tobytes(), most)
+        _loaded[key] = tok, getattr(kind, "cache", Cached)(lambda p: packed(tok.ids(p)), most)
     return _loaded[key]
+

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from axisframe.llm import bpe, jaccard, lm, media, packing, quality, sharding, toxicity
 from axisframe.llm.graph import components
+from axisframe.llm import wordbpe
 from axisframe.llm.wordbpe import WordBpe, tokenizer_path
 
 from tests.llm.conftest import frame
@@ -58,6 +59,26 @@ def test_word_pretokens_agree_with_the_library():
         assert [i for p in own.pretokens(t) for i in own.ids(p)] == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_word_pretokens_of_marks_and_contractions_agree_with_the_library():
+    tok, own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json", None)), WordBpe()
+    rng = random.Random(4)
+    bits = ["'", "'s", "'T", "'re", "'ve", "'ll", "'d", "'m", "a", "É", "1", "²", " ", "\t", "\n", ".", "...", "<", "|", "<|", "\x7f", "\x00", "ſ", "İ", "\xa0", "x" * 30]
+    for t in ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(400)]:
+        assert [i for p in own.pretokens(t) for i in own.ids(p)] == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_rare_pretokens_do_not_drive_out_frequent_ones(monkeypatch):
+    monkeypatch.setattr(wordbpe, "_loaded", {})
+    made = []
+    monkeypatch.setattr(WordBpe, "ids", lambda self, p, ids=WordBpe.ids: made.append(p) or ids(self, p))
+    tok, cache = wordbpe.loaded(WordBpe, None, most=20)
+    for k in range(300):
+        for p in ("the", f"rare{k}"):
+            assert cache[p] == b"".join(i.to_bytes(4, "little") for i in tok.library.encode(p, add_special_tokens=False).ids) or not p.isalpha()
+    assert made.count("the") == 1
+    assert len(cache) + len(cache.older) <= 20
+
+
 def test_mixture_is_a_distribution_and_em_helps():
     rng = np.random.default_rng(0)
     k = 6
