@@ -93,7 +93,9 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, end: int = END,
     spark = docs.sparkSession
     cut = durable(pieces(docs, capacity, end, path), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs = spark.createDataFrame(plan_slots(histogram, capacity), "length long, rank_from long, rank_to long, first long, each long, at long")
+    fields = ["length", "rank_from", "rank_to", "first", "each", "at"]
+    plan = pa.Table.from_pylist([dict(zip(fields, r, strict=True)) for r in plan_slots(histogram, capacity)], pa.schema([(f, pa.int64()) for f in fields]))
+    runs = spark.createDataFrame(plan)  # from Arrow: a list would start Python workers of another kind on every executor
     p, r = ranked(cut).alias("p"), F.broadcast(runs).alias("r")  # the plan's size is bounded by the capacity
     step = F.col("p.rank") - F.col("r.rank_from")
     return p.join(r, (F.col("p.length") == F.col("r.length")) & (F.col("p.rank") >= F.col("r.rank_from")) & (F.col("p.rank") < F.col("r.rank_to"))).select(

@@ -31,6 +31,11 @@ def test_sharding(spark, edge, empty, edge_rows):
     assert sharding.assign_shards(empty, "doc_id", names, 101).count() == 0
 
 
+def test_the_packing_plan_starts_no_python_workers_of_its_own(edge, empty):
+    for docs in (edge, empty):
+        assert "ExistingRDD" not in packing.best_fit_packing(docs)._jdf.queryExecution().toString()
+
+
 def test_token_counts(edge, empty, edge_rows):
     tok = library("word_bpe_49k.json")
     want = sorted(((i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in edge_rows), key=repr)
